@@ -103,5 +103,6 @@ def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 def decontaminate(docs: DataFrame, items: DataFrame) -> DataFrame:
     """docs without the rows that contain an item."""
-    hit = leaks(docs, items).select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("__hit")).distinct()
-    return docs.join(hit, F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))) == F.col("__hit"), "left_anti")
+    hit = stash(leaks(docs, items).select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("__hit")).distinct(), "hits")
+    own = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
+    return _join(docs, hit, hit.count(), own == F.col("__hit"), "left_anti")

@@ -129,27 +129,31 @@ def train(docs: DataFrame) -> Model | None:
     return Model(langs, counts)
 
 
-def predict(docs: DataFrame, model: Model | None, keep: list[str]) -> DataFrame:
-    """The columns keep of docs, lang_pred, score and ambiguous."""
+def predict(docs: DataFrame, model: Model | None, keep: list[str], prefix: str = "") -> DataFrame:
+    """The columns keep of docs, then lang_pred, score and ambiguous (their names after prefix)."""
     spark = docs.sparkSession
     small_batches(spark)
     hold = spark.sparkContext.broadcast(model)
+    names = [f"{prefix}{c}" for c in ("lang_pred", "score", "ambiguous")]
+    n = len(keep)
 
     def run(batches):
         model = hold.value
         for b in batches:
             out = []
-            for text, letter in zip(binary(b.column(0)), b.column(1).to_pylist(), strict=True):
+            for text, letter in zip(binary(b.column(at)), b.column(b.num_columns - 1).to_pylist(), strict=True):
                 out.append(model.predict(text) if letter and model else ("und", 0.0, False))
             lang, score, near = zip(*out, strict=True) if out else ((), (), ())
-            cols = [*b.columns[2:], pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(near, pa.bool_())]
-            yield pa.RecordBatch.from_arrays(cols, [*b.schema.names[2:], "lang_pred", "score", "ambiguous"])
+            cols = [*b.columns[:n], pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(near, pa.bool_())]
+            yield pa.RecordBatch.from_arrays(cols, [*b.schema.names[:n], *names])
 
     text = F.col("text").cast("string")
-    letter = F.coalesce(text.rlike(r"\p{L}"), F.lit(False))
-    kept = docs.select(text.alias("__text"), letter.alias("__letter"), *keep)
-    schema = ", ".join(f"`{n}` {t}" for n, t in kept.dtypes[2:])
-    return kept.mapInArrow(run, f"{schema}, lang_pred string, score double, ambiguous boolean")
+    kept = docs.select(*(F.col(f"`{c}`") for c in keep))
+    schema = ", ".join(f"`{c}` {t}" for c, t in [*kept.dtypes, *zip(names, ("string", "double", "boolean"), strict=True)])
+    at = keep.index("text") if dict(kept.dtypes).get("text") == "string" else n
+    letter = F.coalesce(text.rlike(r"\p{L}"), F.lit(False)).alias("__letter")
+    rows = docs.select(*(F.col(f"`{c}`") for c in keep), *([text.alias("__text")] if at == n else []), letter)
+    return rows.mapInArrow(run, schema)
 
 
 def identify(docs: DataFrame, folds: int = HOLD) -> DataFrame:

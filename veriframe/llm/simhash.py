@@ -44,15 +44,16 @@ def fingerprint(text: bytes, shingle: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """doc_id and fp (the fingerprint as a signed long) of each row."""
+    """doc_id, th (hash of the text) and fp (the fingerprint as a signed long) of each row."""
     small_batches(docs.sparkSession)
 
     def run(batches):
         for b in batches:
-            fp = np.array([fingerprint(x, shingle) for x in binary(b.column(1))], np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp)], ["doc_id", "fp"])
+            fp = np.array([fingerprint(x, shingle) for x in binary(b.column(2))], np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fp)], ["doc_id", "th", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp long")
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long"), F.xxhash64(text).alias("th"), text.alias("text")).mapInArrow(run, "doc_id long, th long, fp long")
 
 
 def _popcount(x: np.ndarray) -> np.ndarray:
@@ -137,12 +138,31 @@ def links(reps: DataFrame) -> DataFrame:
     return dealt.mapInArrow(link_groups, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits) and component_id (smallest doc_id reachable) of each row."""
+def _roots(docs: DataFrame, shingle: int) -> tuple[DataFrame, DataFrame]:
+    """The rows' fingerprints; of each distinct one its least doc_id (rep) and its component's least fingerprint (root)."""
     fps = stash(fingerprints(docs, shingle), "simhash")
     reps = fps.groupBy("fp").agg(F.min("doc_id").alias("rep"))
     roots = components(links(reps.select("fp")))
-    reps = reps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    return fps, reps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 3) -> DataFrame:
+    """doc_id, fingerprint (16 hex digits) and component_id (smallest doc_id reachable) of each row."""
+    fps, reps = _roots(docs, shingle)
     low = reps.groupBy("root").agg(F.min("rep").alias("component_id"))
     named = reps.join(low, "root").select("fp", "component_id")
     return fps.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame, shingle: int = 3) -> DataFrame:
+    """One row of each component of docs: that with the least doc_id (null only if there is no other)."""
+    fps, reps = _roots(docs, shingle)
+    null = -(1 << 63)
+    first = fps.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "th")).alias("one"))
+    first = first.join(reps.select("fp", "root"), "fp").groupBy("root").agg(F.min("one").alias("one"))
+    first = stash(first.select(F.coalesce("one.doc_id", F.lit(null)).alias("__k"), F.col("one.th").alias("__th")), "kept")
+    keys = [F.coalesce(F.col("doc_id").cast("long"), F.lit(null)).alias("__k"), F.xxhash64(F.col("text").cast("string")).alias("__th")]
+    kept = docs.select("*", *keys).join(first, ["__k", "__th"], "left_semi")
+    if fps.select(F.coalesce("doc_id", F.lit(null)).alias("__k"), F.col("th").alias("__th")).join(first, ["__k", "__th"], "left_semi").groupBy("__k", "__th").count().filter("count > 1").limit(1).count():
+        kept = kept.dropDuplicates(["__k", "__th"])  # equal rows are one document
+    return kept.select(*(F.col(f"`{c}`") for c in docs.columns))
