@@ -28,6 +28,7 @@ from veriframe.llm.common import small_batches
 PIECES = re.compile("[ \n]*[^ \n]+|[ \n]+")
 OTHER_SPACE = re.compile("[^\\S \n]")
 MEMO, SHORT = 600_000, 48
+RANKS = 500_000  # hash results that a worker remembers
 MASK = (1 << 64) - 1
 C1, C2 = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 
@@ -89,18 +90,27 @@ class Codec:
         rows = [line.split() for line in Path(ranks_path).read_bytes().splitlines() if line]
         tokens = [(base64.b64decode(t), int(r)) for t, r in rows]
         self.hash, self.ranks = PerfectHash([t for t, _ in tokens]), [r for _, r in tokens]
-        self.tokens = {r: t for t, r in tokens}
-        self.pattern, self.memo = regex.compile(pattern), {}
+        self.tokens = [b""] * (max(self.ranks, default=-1) + 1)
+        for t, r in tokens:
+            self.tokens[r] = t
+        self.pattern, self.memo, self.seen = regex.compile(pattern), {}, {}
 
     def __getstate__(self):
-        return self.__dict__ | {"memo": {}, "pattern": self.pattern.pattern}
+        return self.__dict__ | {"memo": {}, "seen": {}, "pattern": self.pattern.pattern}
 
     def __setstate__(self, state):
         self.__dict__.update(state | {"pattern": regex.compile(state["pattern"])})
 
     def rank(self, token: bytes) -> int:
-        i = self.hash.find(token)
-        return self.ranks[i] if i >= 0 else -1
+        r = self.seen.get(token)
+        if r is None:
+            i = self.hash.find(token)
+            r = self.ranks[i] if i >= 0 else -1
+            if len(self.seen) >= RANKS:
+                self.seen.clear()
+            if len(token) <= SHORT:
+                self.seen[token] = r
+        return r
 
     def merge(self, token: bytes) -> list[int]:
         """Ids of a pre-token that is not in the vocabulary."""
