@@ -27,8 +27,9 @@ def spread(df: DataFrame, keep: list[str], name: str, threshold_dim: str = "thre
     return df.select(*keep, F.explode(name).alias("__p")).select(*keep, F.col("__p.t").alias(threshold_dim), F.col("__p.v").alias(value))
 
 
-def _values(a: Column) -> Column:
-    return F.transform(a, lambda p: p["v"])
+def once(a: Column) -> Column:
+    """Makes an array a column of its own, so that lambdas over it don't compute it again for each element."""
+    return F.explode(F.array(a))
 
 
 def round_values(c: Column, precision: float, decimals: int = 7) -> Column:
@@ -107,7 +108,7 @@ def with_thresholds(a: Column, extra: Column) -> Column:
 def add_thresholds(cdf: Field, threshold_dim: str, new_thresholds: list[float], fill_method: str | None, min_nonnan: int = 2) -> DataFrame:
     df, keep = gather(cdf, threshold_dim)
     out = with_thresholds(F.col("cdf"), F.array(*(F.lit(float(t)) for t in new_thresholds)))
-    df = df.withColumn("cdf", out)
+    df = df.withColumn("cdf", once(out))
     return spread(df.withColumn("cdf", fill(F.col("cdf"), fill_method, min_nonnan)) if fill_method else df, keep, "cdf", threshold_dim, cdf.value)
 
 
@@ -227,10 +228,11 @@ def crps_cdf(fcst: Field, obs: Field, *, threshold_dim: str = "threshold", thres
         df = df.join(w, on) if on else df.crossJoin(w)
         extra = F.concat(extra, F.transform("w", lambda p: p["t"]))
     given = propagate_nan(F.col("f")) if propagate_nans else F.col("f")
-    df = df.withColumn("f", given).withColumn("f", with_thresholds(F.col("f"), extra)).withColumn("f", fill(F.col("f"), fcst_fill_method))
+    df = df.withColumn("f", once(given)).withColumn("f", once(with_thresholds(F.col("f"), extra))).withColumn("f", once(fill(F.col("f"), fcst_fill_method)))
     w = None
     if threshold_weight is not None:
-        df = df.withColumn("w", fill(with_thresholds(F.col("w"), F.transform("f", lambda p: p["t"])), threshold_weight_fill_method, 2 if threshold_weight_fill_method == "linear" else 1))
+        df = df.withColumn("w", once(with_thresholds(F.col("w"), F.transform("f", lambda p: p["t"]))))
+        df = df.withColumn("w", once(fill(F.col("w"), threshold_weight_fill_method, 2 if threshold_weight_fill_method == "linear" else 1)))
         w = F.col("w")
     under, over = (_exact if integration_method == "exact" else _trapz)(F.col("f"), F.col("obs"), w)
     df = df.withColumn("__u", under).withColumn("__o", over)
@@ -251,7 +253,7 @@ def crps_cdf_brier_decomposition(fcst: Field, obs: Field, *, threshold_dim: str
     df = df.join(other, shared) if shared else df.crossJoin(other)
     dims = list(dict.fromkeys([*cases, *dims]))
     extra = F.array(*(F.lit(float(t)) for t in additional_thresholds or [])).cast("array<double>")
-    df = df.withColumn("f", with_thresholds(F.col("f"), extra)).withColumn("f", fill(F.col("f"), fcst_fill_method))
+    df = df.withColumn("f", once(with_thresholds(F.col("f"), extra))).withColumn("f", once(fill(F.col("f"), fcst_fill_method)))
     rows = df.select(*(d for d in dims if d in df.columns), "obs", F.explode("f").alias("p")).withColumn(threshold_dim, F.col("p.t"))
     v, o, t = F.col("p.v"), F.col("obs"), F.col(threshold_dim)
     known = v.isNotNull() & o.isNotNull()
@@ -269,18 +271,13 @@ def adjust_fcst_for_crps(fcst: Field, threshold_dim: str, obs: Field, *, decreas
     df = df.join(obs.df.select(*obs.dims, obs.column().alias("obs")), shared) if shared else df.crossJoin(obs.df.select(*obs.dims, obs.column().alias("obs")))
     keep = list(dict.fromkeys([*cases, *obs.dims]))
 
-    def score(a):
-        full = fill(with_thresholds(a, F.array("obs")), fcst_fill_method)
-        under, over = (_exact if integration_method == "exact" else _trapz)(full, F.col("obs"), None)
-        return under + over
-
-    kinds = [F.col("f"), upper_envelope(F.col("f")), lower_envelope(F.col("f"))]
-    df = df.withColumns({f"__k{i}": a for i, a in enumerate(kinds)})
-    df = df.withColumns({f"__s{i}": score(F.col(f"__k{i}")) for i in range(3)})
-    worst = F.greatest("__s0", "__s1", "__s2")
-    best = F.when(F.col("__s0") == worst, F.col("__k0")).when(F.col("__s1") == worst, F.col("__k1")).otherwise(F.col("__k2"))
-    chosen = F.when(decrease(F.col("f")) < -float(decreasing_tolerance), F.coalesce(best, F.col("f"))).otherwise(F.col("f"))
-    return spread(df.withColumn("__f", chosen), keep, "__f", threshold_dim, fcst.value)
+    kinds = F.array(*(F.struct(F.lit(-i).alias("order"), a.alias("a")) for i, a in enumerate((F.col("f"), upper_envelope(F.col("f")), lower_envelope(F.col("f"))))))
+    rows = df.withColumn("bad", decrease(F.col("f")) < -float(decreasing_tolerance)).withColumn("kind", F.explode(kinds)).filter((F.col("kind.order") == 0) | F.col("bad"))
+    rows = rows.withColumn("full", once(with_thresholds(F.col("kind.a"), F.array("obs")))).withColumn("full", once(fill(F.col("full"), fcst_fill_method)))
+    under, over = (_exact if integration_method == "exact" else _trapz)(F.col("full"), F.col("obs"), None)
+    rows = rows.withColumn("score", F.coalesce(under + over, F.lit(-1.0)))
+    best = rows.groupBy(*keep).agg(F.max_by("kind.a", F.struct("score", "kind.order")).alias("__f"))
+    return spread(best, keep, "__f", threshold_dim, fcst.value)
 
 
 def crps_step_threshold_weight(step_points: Field, threshold_values: list[float], *, threshold_dim: str = "threshold", steppoints_in_thresholds: bool = True, steppoint_precision: float = 0, weight_upper: bool = True) -> DataFrame:

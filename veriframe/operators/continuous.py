@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veriframe.functions.exprs import angular_difference, clip, corr, div, gmax, ieee_div
-from veriframe.plans.frame import Dims, Field, align, match_missing, pointwise, reduce, resolve_dims, wmean
+from veriframe.plans.frame import Dims, Field, align, attach, match_missing, pointwise, reduce, resolve_dims, wmean
 
 
 def _error(f: Column, o: Column, is_angular: bool) -> Column:
@@ -82,9 +82,7 @@ def spearmanr(fcst: Field, obs: Field, *, reduce_dims: Dims = None, preserve_dim
         n = df.filter(F.col(side).isNotNull()).groupBy(*keep, side).agg(F.count("*").alias("n"))
         before = F.sum("n").over(Window.partitionBy(*keep).orderBy(side).rowsBetween(Window.unboundedPreceding, -1))
         ranks = n.select(*keep, side, (F.coalesce(before, F.lit(0)) + (F.col("n") + 1) / 2).alias(f"{side}_rank"))
-        cond = [df[k].eqNullSafe(ranks[k]) for k in keep] + [df[side] == ranks[side]]
-        joined = df.join(ranks, cond, "left")
-        df = joined.select(*(df[c] for c in df.columns), ranks[f"{side}_rank"])
+        df = attach(df, ranks, [*keep, side])
     return reduce(df, dims, keep, spearmanr=corr(F.col("fcst_rank"), F.col("obs_rank")))
 
 
@@ -95,8 +93,7 @@ def nse(fcst: Field, obs: Field, *, reduce_dims: Dims = None, preserve_dims: Dim
     if keep == dims:
         raise ValueError("at least one dimension has to be reduced")
     low = df.groupBy(*keep).agg(F.avg("obs").alias("mean"))
-    cond = [df[k].eqNullSafe(low[k]) for k in keep]
-    joined = df.join(low, cond).select(*(df[c] for c in df.columns), low["mean"]) if keep else df.crossJoin(low)
+    joined = attach(df, low, keep)
     off = _error(F.col("mean"), o, is_angular)
     return reduce(joined, dims, keep, nse=1 - ieee_div(wmean(F.pow(_error(f, o, is_angular), 2), w), wmean(F.pow(off, 2), w)))
 
@@ -185,10 +182,10 @@ def weighting(f: Column, o: Column, one: tuple, positive: tuple | None = None):
     if positive is None:
 
         def g(x):
-            return F.when(x < b, F.lit(0.0)).when(x < c, x - b).otherwise(c - b)
+            return F.when(x < b, F.lit(0.0)).when(x < c, x - b).when(x >= c, c - b)
 
         def phi(x):
-            return F.when(x < b, F.lit(0.0)).when(x < c, 2 * F.pow(x - b, 2)).otherwise(2 * F.pow(c - b, 2) + 4 * (c - b) * (x - c))
+            return F.when(x < b, F.lit(0.0)).when(x < c, 2 * F.pow(x - b, 2)).when(x >= c, 2 * F.pow(c - b, 2) + 4 * (c - b) * (x - c))
 
     else:
         a = _finite(positive[0], f, o, every, False)
@@ -201,7 +198,7 @@ def weighting(f: Column, o: Column, one: tuple, positive: tuple | None = None):
 
         def g(x):
             up, down = F.pow(x - a, 2) / (2 * rise), gc + (fall / 2 - F.pow(d - x, 2) / (2 * fall))
-            return F.when(x < a, F.lit(0.0)).when(x < b, up).when(x < c, gb + (x - b)).when(x < d, down).otherwise(gd)
+            return F.when(x < a, F.lit(0.0)).when(x < b, up).when(x < c, gb + (x - b)).when(x < d, down).when(x >= d, gd)
 
         pb = 2 * F.pow(rise, 2) / 3
         pc = pb + 4 * gb * (c - b) + 2 * F.pow(c - b, 2)
@@ -212,7 +209,7 @@ def weighting(f: Column, o: Column, one: tuple, positive: tuple | None = None):
 
         def phi(x):
             flat = pb + 4 * gb * (x - b) + 2 * F.pow(x - b, 2)
-            return F.when(x < a, F.lit(0.0)).when(x < b, 2 * F.pow(x - a, 3) / (3 * rise)).when(x < c, flat).when(x < d, down(x)).otherwise(down(d) + 4 * gd * (x - d))
+            return F.when(x < a, F.lit(0.0)).when(x < b, 2 * F.pow(x - a, 3) / (3 * rise)).when(x < c, flat).when(x < d, down(x)).when(x >= d, down(d) + 4 * gd * (x - d))
 
     return g, phi, lambda x: 4 * g(x)
 

@@ -74,7 +74,7 @@ def isotonic_fit(fcst: Field, obs: Field, *, weight: Field | None = None, functi
         pdf["regression"] = np.repeat([b[0] for b in blocks], [b[1] for b in blocks])
         return pdf[["fcst", "regression", "count"]]
 
-    return groups.groupBy(F.lit(1)).applyInPandas(fit, "fcst double, regression double, count long")
+    return groups.groupBy().applyInPandas(fit, "fcst double, regression double, count long")
 
 
 def _fit_means(groups: DataFrame) -> DataFrame:
@@ -101,7 +101,7 @@ def _fit_means(groups: DataFrame) -> DataFrame:
         end = np.cumsum(n)
         return pd.DataFrame({"lo": pdf["lo"].to_numpy()[end - n], "hi": pdf["hi"].to_numpy()[end - 1], "regression": [b[0] / b[1] for b in blocks]})
 
-    blocks = first.groupBy(F.lit(1)).applyInPandas(merge, "lo double, hi double, regression double")
+    blocks = first.groupBy().applyInPandas(merge, "lo double, hi double, regression double")
     marks = groups.select("fcst", "count", F.lit(None).cast("double").alias("regression")).unionByName(blocks.select(F.col("lo").alias("fcst"), F.lit(None).cast("long").alias("count"), "regression"))
     return _carry(marks)
 
@@ -114,7 +114,7 @@ def _carry(marks: DataFrame) -> DataFrame:
         pdf["regression"] = pdf["regression"].ffill()
         return pdf[pdf["count"].notna()].astype({"count": "int64"})[["fcst", "regression", "count"]]
 
-    return marks.groupBy(F.lit(1)).applyInPandas(carry, "fcst double, regression double, count long")
+    return marks.groupBy().applyInPandas(carry, "fcst double, regression double, count long")
 
 
 def isotonic_band(fcst: Field, obs: Field, *, bootstraps: int, functional: str | None = "mean", quantile_level: float | None = None, solver: Callable | None = None, confidence_level: float = 0.9, min_non_nan: int = 1, seed: int = 0) -> DataFrame:

@@ -92,6 +92,15 @@ def match_missing(df: DataFrame, *values: str) -> DataFrame:
     return df.withColumns({v: F.when(known, F.col(v)) for v in values})
 
 
+def attach(df: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:
+    """Left join on keys, a missing key with a missing key; table has one row for each combination of them."""
+    if not keys:
+        return df.crossJoin(table)
+    named = {k: f"__key_{i}" for i, k in enumerate(keys)}
+    table = table.select(*(F.col(k).alias(v) for k, v in named.items()), *(c for c in table.columns if c not in named))
+    return df.join(table, [F.col(k).eqNullSafe(F.col(v)) for k, v in named.items()], "left").drop(*named.values())
+
+
 def wmean(x: Column, w: Column | None = None) -> Column:
     """Mean of the known values; weighted, NULL where no weight is left."""
     if w is None:
