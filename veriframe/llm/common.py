@@ -52,6 +52,11 @@ def small_batches(spark: SparkSession, rows: int = 500) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+def drop_shuffles(spark: SparkSession) -> None:
+    """Shuffle files go as soon as the query that made them has ended; whoever needs its rows has stashed them."""
+    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
+
+
 def binary(column) -> list:
     """Values of a string column as UTF-8 bytes; null is empty."""
     return [b"" if x is None else x for x in column.cast(pa.binary()).to_pylist()]

@@ -1,7 +1,7 @@
 """Removal of repeated 400-byte strings by difference-cover suffix ranks (operator 7).
 
 Positions of a document whose offset modulo V is in a difference cover D are its sample; any two suffixes reach sample
-positions together within V bytes. A sample position's rank class is the 128-bit digest of the CORE bytes from it. A string
+positions together within V bytes. A sample position's rank class is the 64-bit digest of the CORE bytes from it. A string
 of LENGTH = CORE + V - 1 bytes at two places thus has, at the same distance within it, two sample positions of one class:
 suffixes with no repeated class in their first V places are unique and are never looked at again.
 Long ties are settled by ranks alone: if the REACH bytes around a sample position (V - 1 before it, LENGTH after it) have a
@@ -9,8 +9,8 @@ digest that occurs again, all suffixes there that pass over the position are rep
 are left; they are sorted a bucket at a time by their leading bytes and the digest of their first LENGTH bytes, each bucket
 on its own (a Spark shuffle by the key), so a task holds no more than a batch of text whatever the corpus.
 
-Digests are two polynomial hashes modulo 2^64 over random byte codes: equal strings are always found, and 128 bits leave
-no chance of false ones at any realistic size.
+Digests are polynomial hashes modulo 2^64 over random byte codes: equal strings are always found. A rank and the digest
+around it make 128 bits, a window has 96, so that false ones are out of reach.
 
 Null text counts as empty. Rows that are equal in doc_id and text are each other's copies. Rows with null doc_id take part.
 """
@@ -25,13 +25,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veriframe.llm.common import binary, partitions, small_batches, stash, whole_groups
+from veriframe.llm.common import binary, drop_shuffles, partitions, small_batches, stash, whole_groups
 
 LENGTH = 400
 #: A perfect difference cover modulo 183; each residue but 0 is the difference of two of them exactly once.
 V = 183
 COVER = (0, 1, 3, 16, 23, 28, 42, 76, 82, 86, 119, 137, 154, 175)
 CORE = LENGTH - V + 1
+#: The suffix buckets that are sorted one after the other, for ranks and for windows: they bound the disk that a sort takes.
+RANK_BUCKETS, WINDOW_BUCKETS = 2, 4
 CHUNK = 1 << 18
 NULL_ID = -(1 << 63)
 ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], np.uint64)
@@ -52,18 +54,18 @@ def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 class Prefix:
-    """Digests of any substring of a chunk."""
-
-    def __init__(self, b: np.ndarray):
-        codes, powers, self.inverse = _tables()
-        n = len(b)
-        self.sums = np.zeros((2, n + 1), np.uint64)
-        for k in range(2):
-            np.cumsum(codes[k][b] * powers[k, :n], out=self.sums[k, 1:])
-
-    def digest(self, at: np.ndarray, size: int) -> np.ndarray:
-        """Two longs for each place."""
-        out = (self.sums[:, at + size] - self.sums[:, at]) * self.inverse[:, at]
+    """Digests of any substring of a chunk, by one or both polynomials."""
+
+    def __init__(self, b: np.ndarray, kinds: int = 1):
+        self.codes, self.powers, self.inverse = _tables()
+        self.b, self.sums = b, []
+        for k in range(kinds):
+            out = np.zeros(len(b) + 1, np.uint64)
+            np.cumsum(self.codes[k][b] * self.powers[k, : len(b)], out=out[1:])
+            self.sums.append(out)
+
+    def digest(self, at: np.ndarray, size: int, k: int = 0) -> np.ndarray:
+        out = (self.sums[k][at + size] - self.sums[k][at]) * self.inverse[k][at]
         return (out ^ (out >> np.uint64(31))).view(np.int64)
 
 
@@ -76,8 +78,8 @@ def chunks(text: bytes):
 
 
 def sample(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sample places, their rank digests, and the digests around them (one long; where the text ends sooner, None)."""
-    places, ranks, around = [], [], []
+    """Sample places, their rank digests, and the digests around them (0 near the text's ends)."""
+    places, ranks, around = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     residues = np.array(COVER)
     for start, end, b, before in chunks(text):
         at = (np.arange(start // V, end // V + 1)[:, None] * V + residues[None]).ravel()
@@ -87,14 +89,11 @@ def sample(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         p = Prefix(b)
         places.append(at)
         ranks.append(p.digest(at - before, CORE))
-        wide = np.full((2, len(at)), 0, np.int64)
+        wide = np.zeros(len(at), np.int64)
         inner = (at - (V - 1) >= 0) & (at + LENGTH <= len(text))
-        wide[:, inner] = p.digest(at[inner] - (V - 1) - before, LENGTH + V - 1)
-        wide[:, ~inner] = 0
+        wide[inner] = p.digest(at[inner] - (V - 1) - before, LENGTH + V - 1)
         around.append(wide)
-    if not places:
-        return np.zeros(0, np.int64), np.zeros((2, 0), np.int64), np.zeros((2, 0), np.int64)
-    return np.concatenate(places), np.concatenate(ranks, 1), np.concatenate(around, 1)
+    return np.concatenate(places), np.concatenate(ranks), np.concatenate(around)
 
 
 def merge(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -134,7 +133,7 @@ def rank_classes(batches):
         open_ = np.bincount(group, ~settled) > 0
         ask = ~settled | (new_w & open_[group])
         kept = size[group] > 1
-        yield pa.RecordBatch.from_arrays([pa.array(got[c][kept]) for c in ("k", "th", "at")] + [pa.array(settled[kept]), pa.array(ask[kept])], ["k", "th", "at", "settled", "ask"])
+        yield pa.RecordBatch.from_arrays([pa.array(got[c][kept]) for c in ("k", "th", "at")] + [pa.array((settled + 2 * ask)[kept].astype(np.int8))], ["k", "th", "at", "flag"])
 
 
 def whole_batches(batches):
@@ -150,89 +149,125 @@ def repeated_windows(batches):
         yield pa.RecordBatch.from_arrays([pa.array(got[c][kept]) for c in ("k", "th", "at")], ["k", "th", "at"])
 
 
-def _samples(batches):
-    for b in batches:
-        out = []
-        for i, t in enumerate(binary(b.column(2))):
-            at, r, w = sample(t)
-            out.append((r[0], w[0] ^ (w[1] << np.int64(1)), np.full(len(at), i), at))
-        if not out:
-            continue
-        r, w, i, at = (np.concatenate(z) for z in zip(*out, strict=True))
-        i = pa.array(i)
-        for s in range(0, len(at), 1 << 17):
-            m = slice(s, s + (1 << 17))
-            yield pa.RecordBatch.from_arrays([pa.array(r[m]), pa.array(w[m]), b.column(0).take(i[m]), b.column(1).take(i[m]), pa.array(at[m].astype(np.int32))], ["r", "w", "k", "th", "at"])
+def _batches(columns: dict, keys: list, who: np.ndarray):
+    """Record batches of numpy columns with the key columns of their documents."""
+    who = pa.array(who)
+    for s in range(0, len(who), 1 << 17):
+        m = slice(s, s + (1 << 17))
+        own = [c.take(who[m]) for c in keys]
+        yield pa.RecordBatch.from_arrays([*(pa.array(v[m]) for v in columns.values()), *own], [*columns, "k", "th"])
+
+
+def _samples(bucket: int):
+    def run(batches):
+        for b in batches:
+            got = []
+            for i, t in enumerate(binary(b.column(2))):
+                at, r, w = sample(t)
+                mine = r % RANK_BUCKETS == bucket
+                got.append((r[mine], w[mine], at[mine].astype(np.int32), np.full(int(mine.sum()), i)))
+            if got:
+                r, w, at, who = (np.concatenate(z) for z in zip(*got, strict=True))
+                yield from _batches({"r": r, "w": w, "at": at}, b.columns[:2], who)
+
+    return run
+
+
+def _spans(at, flag, more=()) -> tuple[np.ndarray, np.ndarray]:
+    """The removed runs: around settled places, and repeated windows."""
+    at, flag, more = np.array(at if at is not None else [], np.int64), np.array(flag if flag is not None else [], np.int8), np.array(more if more is not None else [], np.int64)
+    settled = at[flag & 1 > 0]
+    lo, hi = np.concatenate([settled - (V - 1), more]), np.concatenate([settled, more]) + LENGTH
+    o = np.argsort(lo, kind="stable")
+    return merge(lo[o], hi[o])
+
 
+RESULT = "k long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans binary"
 
-def _windows(batches):
-    """For each document the spans settled by ranks, and a row for each window that has to be compared."""
+
+def _results(texts, cuts) -> list[pa.Array]:
+    out = [_result(t, lo, hi) for t, (lo, hi) in zip(texts, cuts, strict=True)]
+    n, gone, m, digest = zip(*out, strict=True) if out else ((), (), (), ())
+    spans = [np.stack(c, 1).astype("<i8").tobytes() for c in cuts]
+    return [pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(m, pa.int64()), pa.array(digest, pa.string()), pa.array(spans, pa.binary())]
+
+
+def _settle(batches):
+    """Documents whose ranks settle everything get their result; the others keep their text."""
     for b in batches:
-        names = b.schema.names
-        col = {n: b.column(i) for i, n in enumerate(names)}
-        got, texts = [], binary(col["text"])
-        for i, (t, at, flag) in enumerate(zip(texts, col["ats"].to_pylist(), col["flags"].to_pylist(), strict=True)):
-            at, flag = np.array(at, np.int64), np.array(flag, np.int8)
-            asked = np.sort(at[flag & 2 > 0])
-            lo, hi = merge(np.maximum(asked - (V - 1), 0), np.minimum(asked, len(t) - LENGTH) + 1)
-            ok = hi > lo
-            lo, hi = lo[ok], hi[ok]
-            for start, end, data, before in chunks(t) if len(lo) else ():
-                a, z = np.clip(lo, start, end), np.clip(hi, start, end)
-                size = z - a
-                if not size.sum():
-                    continue
-                where = np.repeat(a - np.cumsum(size) + size, size) + np.arange(size.sum())
-                h = Prefix(data).digest(where - before, LENGTH)
-                got.append((h[0], h[1], np.full(len(where), i), where))
-        if got:
-            h0, h1, i, at = (np.concatenate(z) for z in zip(*got, strict=True))
-            i = pa.array(i)
-            for s in range(0, len(at), 1 << 17):
-                m = slice(s, s + (1 << 17))
-                yield pa.RecordBatch.from_arrays([pa.array(h0[m]), pa.array(h1[m]), col["k"].take(i[m]), col["th"].take(i[m]), pa.array(at[m].astype(np.int32))], ["h0", "h1", "k", "th", "at"])
+        col = {n: b.column(i) for i, n in enumerate(b.schema.names)}
+        ats, flags = col["ats"].to_pylist(), col["flags"].to_pylist()
+        asked = [any(x & 2 for x in f or ()) for f in flags]
+        texts = binary(col["text"])
+        done = _results([b"" if a else t for t, a in zip(texts, asked, strict=True)], [_spans([] if a else at, [] if a else f) for at, f, a in zip(ats, flags, asked, strict=True)])
+        left = [pa.array([x if a else None for x, a in zip(z, asked, strict=True)], kind) for z, kind in ((texts, pa.binary()), (ats, pa.list_(pa.int32())), (flags, pa.list_(pa.int8())))]
+        yield pa.RecordBatch.from_arrays([col["k"], *done, col["th"], pa.array(asked), *left], ["k", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "th", "asked", "text", "ats", "flags"])
+
+
+def _windows(bucket: int):
+    """A row for each window that has to be compared, of one bucket of digests."""
+
+    def run(batches):
+        for b in batches:
+            col = {n: b.column(i) for i, n in enumerate(b.schema.names)}
+            got = []
+            for i, (t, at, flag) in enumerate(zip(col["text"].to_pylist(), col["ats"].to_pylist(), col["flags"].to_pylist(), strict=True)):
+                asked = np.sort(np.array(at, np.int64)[np.array(flag, np.int8) & 2 > 0])
+                lo, hi = merge(np.maximum(asked - (V - 1), 0), np.minimum(asked, len(t) - LENGTH) + 1)
+                lo, hi = lo[hi > lo], hi[hi > lo]
+                for start, end, data, before in chunks(t) if len(lo) else ():
+                    a, z = np.clip(lo, start, end), np.clip(hi, start, end)
+                    size = z - a
+                    if not size.sum():
+                        continue
+                    where = np.repeat(a - np.cumsum(size) + size, size) + np.arange(size.sum())
+                    p = Prefix(data, 2)
+                    h = p.digest(where - before, LENGTH)
+                    mine = h % WINDOW_BUCKETS == bucket
+                    where = where[mine]
+                    got.append((h[mine], p.digest(where - before, LENGTH, 1).astype(np.int32), where.astype(np.int32), np.full(len(where), i)))
+            if got:
+                h0, h1, at, who = (np.concatenate(z) for z in zip(*got, strict=True))
+                yield from _batches({"h0": h0, "h1": h1, "at": at}, [col["k"], col["th"]], who)
+
+    return run
 
 
 def _cut(batches):
-    """The result of each document: settled spans and repeated windows together."""
     for b in batches:
         col = {n: b.column(i) for i, n in enumerate(b.schema.names)}
-        out, spans = [], []
-        for t, at, flag, more in zip(binary(col["text"]), col["ats"].to_pylist(), col["flags"].to_pylist(), col["more"].to_pylist(), strict=True):
-            at, flag, more = np.array(at or [], np.int64), np.array(flag or [], np.int8), np.array(more or [], np.int64)
-            settled = at[flag & 1 > 0]
-            lo = np.concatenate([settled - (V - 1), more])
-            hi = np.concatenate([settled, more]) + LENGTH
-            o = np.argsort(lo, kind="stable")
-            lo, hi = merge(lo[o], hi[o])
-            out.append(_result(t, lo, hi))
-            spans.append(np.stack([lo, hi], 1).astype("<i8").tobytes())
-        if out:
-            n, gone, m, digest = zip(*out, strict=True)
-            yield pa.RecordBatch.from_arrays([col["k"], pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(m, pa.int64()), pa.array(digest), pa.array(spans, pa.binary())], ["k", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"])
+        cuts = [_spans(*x) for x in zip(*(col[c].to_pylist() for c in ("ats", "flags", "more")), strict=True)]
+        yield pa.RecordBatch.from_arrays([col["k"], *_results(binary(col["text"]), cuts)], ["k", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"])
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and spans (pairs of longs: start, end of each removed run)."""
     spark = docs.sparkSession
     small_batches(spark, 200)
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("k"), F.xxhash64(text).alias("th"), text.alias("text"))
+    drop_shuffles(spark)
     n = partitions(spark)
-
-    rows = keyed.mapInArrow(_samples, "r long, w long, k long, th long, at int")
-    rows = rows.repartition(n, "r").sortWithinPartitions("r", "w")
-    members = rows.mapInArrow(rank_classes, "k long, th long, at int, settled boolean, ask boolean")
-    flag = F.when(F.col("settled"), 1).otherwise(0) + F.when(F.col("ask"), 2).otherwise(0)
-    members = members.select("k", "th", "at", flag.cast("tinyint").alias("flag")).distinct()
-    members = members.groupBy("k", "th").agg(F.collect_list(F.struct("at", "flag")).alias("x"))
-    members = stash(members.select("k", "th", F.col("x.at").alias("ats"), F.col("x.flag").alias("flags")), "ranks")
-
-    asked = members.filter(F.exists("flags", lambda x: x >= 2))
-    windows = keyed.join(asked, ["k", "th"]).mapInArrow(_windows, "h0 long, h1 long, k long, th long, at int")
-    windows = windows.repartition(n, "h0").sortWithinPartitions("h0", "h1")
-    again = windows.mapInArrow(repeated_windows, "k long, th long, at int").distinct().groupBy("k", "th").agg(F.collect_list("at").alias("more"))
-    found = stash(members.join(again, ["k", "th"], "left"), "repeats")
-    out = keyed.join(found, ["k", "th"], "left").select("k", "text", "ats", "flags", "more")
-    out = out.mapInArrow(_cut, "k long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans binary")
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    k = F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("k")
+    alone = not docs.select(k).groupBy("k").count().filter("count > 1").limit(1).count()
+    th = F.lit(0).cast("long") if alone else F.xxhash64(text)  # rows with one doc_id are told apart by their texts
+    keyed = docs.select(k, th.alias("th"), text.alias("text"))
+
+    parts = []
+    for bucket in range(RANK_BUCKETS):
+        rows = keyed.mapInArrow(_samples(bucket), "r long, w long, at int, k long, th long")
+        rows = rows.repartition(n, "r").sortWithinPartitions("r", "w")
+        parts.append(stash(rows.mapInArrow(rank_classes, "k long, th long, at int, flag tinyint"), "ranks"))
+    members = functools.reduce(DataFrame.unionByName, parts).groupBy("k", "th").agg(F.array_distinct(F.collect_list(F.struct("at", "flag"))).alias("x"))
+    members = members.select("k", "th", F.col("x.at").alias("ats"), F.col("x.flag").alias("flags"))
+    schema = f"{RESULT}, th long, asked boolean, text binary, ats array<int>, flags array<tinyint>"
+    all_ = stash(keyed.join(members, ["k", "th"], "left").mapInArrow(_settle, schema), "settled")
+
+    asked, again = all_.filter("asked").select("k", "th", "text", "ats", "flags"), []
+    for bucket in range(WINDOW_BUCKETS):
+        windows = asked.mapInArrow(_windows(bucket), "h0 long, h1 int, at int, k long, th long")
+        windows = windows.repartition(n, "h0").sortWithinPartitions("h0", "h1")
+        again.append(stash(windows.mapInArrow(repeated_windows, "k long, th long, at int"), "repeats"))
+    more = functools.reduce(DataFrame.unionByName, again).groupBy("k", "th").agg(F.collect_set("at").alias("more"))
+    rest = asked.join(more, ["k", "th"], "left").select("k", "text", "ats", "flags", "more").mapInArrow(_cut, RESULT)
+    out = all_.filter("not asked").select(*rest.columns).unionByName(rest)
     return out.select(F.when(F.col("k") != NULL_ID, F.col("k")).alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans")
