@@ -33,7 +33,7 @@ V = 183
 COVER = (0, 1, 3, 16, 23, 28, 42, 76, 82, 86, 119, 137, 154, 175)
 CORE = LENGTH - V + 1
 #: The suffix buckets that are sorted one after the other, for ranks and for windows: they bound the disk that a sort takes.
-RANK_BUCKETS, WINDOW_BUCKETS = 2, 4
+RANK_BUCKETS, WINDOW_BUCKETS = 1, 2
 CHUNK = 1 << 18
 NULL_ID = -(1 << 63)
 ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], np.uint64)
@@ -257,8 +257,10 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
         rows = keyed.mapInArrow(_samples(bucket), "r long, w long, at int, k long, th long")
         rows = rows.repartition(n, "r").sortWithinPartitions("r", "w")
         parts.append(stash(rows.mapInArrow(rank_classes, "k long, th long, at int, flag tinyint"), "ranks"))
-    members = functools.reduce(DataFrame.unionByName, parts).groupBy("k", "th").agg(F.array_distinct(F.collect_list(F.struct("at", "flag"))).alias("x"))
-    members = members.select("k", "th", F.col("x.at").alias("ats"), F.col("x.flag").alias("flags"))
+    gather = F.collect_list if alone else F.collect_set
+    members = functools.reduce(DataFrame.unionByName, parts).groupBy("k", "th").agg(gather(F.col("at") * 4 + F.col("flag")).alias("x"))
+    ats, flags = F.transform("x", lambda v: F.shiftright(v, 2)), F.transform("x", lambda v: v.bitwiseAND(3).cast("tinyint"))
+    members = members.select("k", "th", ats.alias("ats"), flags.alias("flags"))
     schema = f"{RESULT}, th long, asked boolean, text binary, ats array<int>, flags array<tinyint>"
     all_ = stash(keyed.join(members, ["k", "th"], "left").mapInArrow(_settle, schema), "settled")
 
