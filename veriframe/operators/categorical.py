@@ -230,11 +230,11 @@ class BinaryContingency(Contingency):
     """From event fields (1, 0 or missing); transform() counts anew over other dimensions."""
 
     def __init__(self, fcst_events: Field, obs_events: Field):
-        self.events, self.event_dims = align(f=fcst_events, o=obs_events)
+        self.events, self.event_dims = align(__f=fcst_events, __o=obs_events)
         super().__init__(self._count([]), [])
 
     def _count(self, keep: list[str]) -> DataFrame:
-        f, o = F.col("f"), F.col("o")
+        f, o = F.col("__f"), F.col("__o")
         cells = {"tp": (1, 1), "tn": (0, 0), "fp": (1, 0), "fn": (0, 1)}
         known = F.sum(F.when(f.isNotNull() & o.isNotNull(), 1.0).otherwise(0.0)).alias("total")
         return self.events.groupBy(*keep).agg(*(F.sum(F.when((f == a) & (o == b), 1.0).otherwise(0.0)).alias(k) for k, (a, b) in cells.items()), known)

@@ -20,22 +20,23 @@ def roc(fcst: Field, obs: Field, thresholds: list[float] | str = "auto", *, redu
         if fcst.df.filter(~fcst.column().between(0.0, 1.0)).limit(1).count():
             raise ValueError("probabilities must lie in [0, 1]")
         check_binary(obs)
-    df, dims = align(f=fcst, o=obs, **({"w": weights} if weights is not None else {}))
+    df, dims = align(__f=fcst, __o=obs, **({"__w": weights} if weights is not None else {}))
     keep = resolve_dims(dims, reduce_dims, preserve_dims)
-    w = F.col("w") if weights is not None else F.lit(1.0)
-    rows = df.filter("f is not null and o is not null").select(*keep, "f", (F.col("o") * w).alias("pos"), ((1 - F.col("o")) * w).alias("neg"))
+    w = F.col("__w") if weights is not None else F.lit(1.0)
+    rows = df.filter("__f is not null and __o is not null").select(*keep, "__f", (F.col("__o") * w).alias("pos"), ((1 - F.col("__o")) * w).alias("neg"))
     inf = float("inf")
     if thresholds == "auto":
-        rows = rows.withColumn("t", F.col("f"))
+        rows = rows.withColumn("t", F.col("__f"))
     else:
         ts = sorted({float(t) for t in thresholds})
-        reach = F.filter(F.array(*map(F.lit, ts)), lambda t: t <= F.col("f"))
+        ts = ts if ts and ts[0] <= 0 else [0.0, *ts]
+        reach = F.filter(F.array(*map(F.lit, ts)), lambda t: t <= F.col("__f"))
         rows = rows.withColumn("t", F.when(F.size(reach) > 0, F.element_at(reach, -1)))
     sums = rows.groupBy(*keep, "t").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     if thresholds == "auto":
         marks = sums.select("t").distinct().unionByName(df.sparkSession.createDataFrame([(inf,), (0.0,)], "t double")).distinct()
     else:
-        marks = df.sparkSession.createDataFrame([(t,) for t in sorted({*ts, inf, *([0.0] if not ts or ts[0] > 0 else [])})], "t double")
+        marks = df.sparkSession.createDataFrame([(t,) for t in sorted({*ts, inf})], "t double")
     groups = sums.select(*keep).distinct() if keep else None
     zeros = (groups.crossJoin(marks) if keep else marks).select(*keep, "t", F.lit(0.0).alias("pos"), F.lit(0.0).alias("neg"))
     sums = sums.unionByName(zeros).groupBy(*keep, "t").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
@@ -57,9 +58,9 @@ def murphy_score(fcst: Field, obs: Field, thetas: list[float], *, functional: st
         check_huber(huber_a or 0)
     elif functional not in ("quantile", "expectile"):
         raise ValueError("functional is quantile, huber or expectile")
-    df, dims = align(f=fcst, o=obs)
+    df, dims = align(__f=fcst, __o=obs)
     keep = resolve_dims(dims, reduce_dims, preserve_dims)
-    f, o = F.col("f"), F.col("o")
+    f, o = F.col("__f"), F.col("__o")
     known = f.isNotNull() & o.isNotNull()
     aggs, rows = [], []
     for i, theta in enumerate(thetas):

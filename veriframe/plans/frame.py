@@ -124,11 +124,11 @@ def reduce(df: DataFrame, dims: list[str], keep: list[str], **values: Column) ->
 def aggregate(values: Field, reduce_dims: Dims = None, preserve_dims: Dims = None, weights: Field | None = None, method: str = "mean") -> DataFrame:
     if method not in ("mean", "sum"):
         raise ValueError("method is mean or sum")
-    given = {"x": values} | ({"w": weights} if weights is not None else {})
+    given = {"__x": values} | ({"__w": weights} if weights is not None else {})
     df, dims = align(**given)
     keep = resolve_dims(dims, reduce_dims, preserve_dims)
     f = wmean if method == "mean" else wsum
-    return reduce(df, dims, keep, **{values.value: f(F.col("x"), F.col("w") if weights is not None else None)})
+    return reduce(df, dims, keep, **{values.value: f(F.col("__x"), F.col("__w") if weights is not None else None)})
 
 
 def check_weights(weights: Field) -> None:
