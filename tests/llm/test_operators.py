@@ -108,6 +108,9 @@ def test_re_pair():
     ids, n, per_doc, rules, expansion, symbols = tokenfile.parts(row)
     full = tokenfile.expand(symbols, rules, expansion)
     assert full.tobytes() == b"".join(x + bytes(4) for x in raw) and len(rules) and len(symbols) < len(full) and per_doc.sum() == len(symbols)
+    for x in ([0, 5, 65535, tokenfile.END, tokenfile.FIRST + 9], [0, 5, tokenfile.END, tokenfile.FIRST + 9], []):
+        assert tokenfile.unpack(tokenfile.pack(np.array(x, np.int32))).tolist() == x
+    assert all(tokenfile.widen(tokenfile.narrow(np.array(x, "<u4").tobytes())) == np.array(x, "<u4").tobytes() for x in ([], [1, 2], [1, 70000]))
     for a, b in ((0, 1), (5, 700), (len(full) - 3, len(full)), (100, 100)):
         assert (tokenfile.read_range(row, a, b) == full[a:b]).all()
 
