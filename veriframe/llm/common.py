@@ -52,6 +52,12 @@ def small_batches(spark: SparkSession, rows: int = 500) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+def byte_batches(spark: SparkSession, size: int = 1 << 20, rows: int = 50_000) -> None:
+    """Arrow batches of about `size` bytes: many rows of numbers, or few long texts."""
+    small_batches(spark, rows)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
+
+
 def drop_shuffles(spark: SparkSession) -> None:
     """Shuffle files go as soon as the query that made them has ended; whoever needs its rows has stashed them."""
     spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veriframe.llm.common import binary, drop_shuffles, partitions, small_batches, stash, whole_groups
+from veriframe.llm.common import binary, byte_batches, drop_shuffles, partitions, stash, whole_groups
 
 LENGTH = 400
 #: A perfect difference cover modulo 183; each residue but 0 is the difference of two of them exactly once.
@@ -243,7 +243,7 @@ def _cut(batches):
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and spans (pairs of longs: start, end of each removed run)."""
     spark = docs.sparkSession
-    small_batches(spark, 200)
+    byte_batches(spark)
     drop_shuffles(spark)
     n = partitions(spark)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
