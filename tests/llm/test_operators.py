@@ -219,6 +219,9 @@ def test_substrings(spark, docs, monkeypatch):
     want = brute_repeats([(r.text or "").encode() for r in raw])
     got = substrings.remove_repeats(table).drop("spans").collect()
     assert sorted(map(tuple, got), key=repr) == sorted(((r.doc_id, *x) for r, x in zip(raw, want, strict=True)), key=repr)
+    one = list(enumerate([*extra, None, ""]))  # each doc_id once
+    want = [(i, *x) for (i, _), x in zip(one, brute_repeats([(t or "").encode() for _, t in one]), strict=True)]
+    assert sorted(map(tuple, substrings.remove_repeats(docs(one)).drop("spans").collect())) == want
     assert substrings.remove_repeats(table.limit(0)).count() == 0
     substrings._tables.cache_clear()
 

@@ -10,7 +10,8 @@ are left; they are sorted a bucket at a time by their leading bytes and the dige
 on its own (a Spark shuffle by the key), so a task holds no more than a batch of text whatever the corpus.
 
 Digests are polynomial hashes modulo 2^64 over random byte codes: equal strings are always found. A rank and the digest
-around it make 128 bits, a window has 96, so that false ones are out of reach.
+around it make 96 bits, as many as a window has, so that false ones are out of reach. A row of a shuffle is a digest of 64
+bits, one of 32 packed with the place, and the document.
 
 Null text counts as empty. Rows that are equal in doc_id and text are each other's copies. Rows with null doc_id take part.
 """
@@ -36,6 +37,7 @@ CORE = LENGTH - V + 1
 RANK_BUCKETS, WINDOW_BUCKETS = 1, 2
 CHUNK = 1 << 18
 NULL_ID = -(1 << 63)
+LOW = np.int64(0xFFFFFFFF)
 ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], np.uint64)
 
 
@@ -117,13 +119,13 @@ def _result(text: bytes, lo: np.ndarray, hi: np.ndarray) -> tuple[int, int, int,
 
 
 def rank_classes(batches):
-    """Of rows sorted by (r, w): the members of classes with more than one, without the rest.
+    """Of rows sorted by (r, wa): the members of classes with more than one, without the rest.
 
     settled: the digest around the place occurs again. ask: windows over the place have to be compared: those of an
     unsettled place, and, where a class has one, those of the first place of each settled digest (the others equal it).
     """
     for got in whole_batches(batches):
-        r, w = got["r"], got["w"]
+        r, w, at = got.pop("r"), got["wa"] >> 32, got.pop("wa") & LOW
         new = np.concatenate([[True], r[1:] != r[:-1]])
         group = np.cumsum(new) - 1
         size = np.bincount(group)
@@ -133,7 +135,8 @@ def rank_classes(batches):
         open_ = np.bincount(group, ~settled) > 0
         ask = ~settled | (new_w & open_[group])
         kept = size[group] > 1
-        yield pa.RecordBatch.from_arrays([pa.array(got[c][kept]) for c in ("k", "th", "at")] + [pa.array((settled + 2 * ask)[kept].astype(np.int8))], ["k", "th", "at", "flag"])
+        flag = (settled + 2 * ask)[kept].astype(np.int8)
+        yield pa.RecordBatch.from_arrays([*(pa.array(c[kept]) for c in got.values()), pa.array(at[kept].astype(np.int32)), pa.array(flag)], [*got, "at", "flag"])
 
 
 def whole_batches(batches):
@@ -141,34 +144,41 @@ def whole_batches(batches):
 
 
 def repeated_windows(batches):
-    """Of rows sorted by (h0, h1): the places of windows that occur more than once."""
+    """Of rows sorted by (h0, ha): the places of windows that occur more than once."""
     for got in whole_groups(batches, ["h0"]):
-        new = np.concatenate([[True], (got["h0"][1:] != got["h0"][:-1]) | (got["h1"][1:] != got["h1"][:-1])])
+        h0, h1, at = got.pop("h0"), got["ha"] >> 32, got.pop("ha") & LOW
+        new = np.concatenate([[True], (h0[1:] != h0[:-1]) | (h1[1:] != h1[:-1])])
         group = np.cumsum(new) - 1
         kept = np.bincount(group)[group] > 1
-        yield pa.RecordBatch.from_arrays([pa.array(got[c][kept]) for c in ("k", "th", "at")], ["k", "th", "at"])
+        yield pa.RecordBatch.from_arrays([*(pa.array(c[kept]) for c in got.values()), pa.array(at[kept].astype(np.int32))], [*got, "at"])
 
 
-def _batches(columns: dict, keys: list, who: np.ndarray):
+def packed(digest: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The upper half of a digest and a place, as one number."""
+    return (digest & ~LOW) | at
+
+
+def _batches(columns: dict, keys: dict, who: np.ndarray):
     """Record batches of numpy columns with the key columns of their documents."""
     who = pa.array(who)
     for s in range(0, len(who), 1 << 17):
         m = slice(s, s + (1 << 17))
-        own = [c.take(who[m]) for c in keys]
-        yield pa.RecordBatch.from_arrays([*(pa.array(v[m]) for v in columns.values()), *own], [*columns, "k", "th"])
+        own = [c.take(who[m]) for c in keys.values()]
+        yield pa.RecordBatch.from_arrays([*(pa.array(v[m]) for v in columns.values()), *own], [*columns, *keys])
 
 
 def _samples(bucket: int):
     def run(batches):
         for b in batches:
             got = []
-            for i, t in enumerate(binary(b.column(2))):
+            keys = dict(zip(b.schema.names[:-1], b.columns, strict=False))
+            for i, t in enumerate(binary(b.columns[-1])):
                 at, r, w = sample(t)
                 mine = r % RANK_BUCKETS == bucket
-                got.append((r[mine], w[mine], at[mine].astype(np.int32), np.full(int(mine.sum()), i)))
+                got.append((r[mine], packed(w[mine], at[mine]), np.full(int(mine.sum()), i)))
             if got:
-                r, w, at, who = (np.concatenate(z) for z in zip(*got, strict=True))
-                yield from _batches({"r": r, "w": w, "at": at}, b.columns[:2], who)
+                r, wa, who = (np.concatenate(z) for z in zip(*got, strict=True))
+                yield from _batches({"r": r, "wa": wa}, keys, who)
 
     return run
 
@@ -201,7 +211,8 @@ def _settle(batches):
         texts = binary(col["text"])
         done = _results([b"" if a else t for t, a in zip(texts, asked, strict=True)], [_spans([] if a else at, [] if a else f) for at, f, a in zip(ats, flags, asked, strict=True)])
         left = [pa.array([x if a else None for x, a in zip(z, asked, strict=True)], kind) for z, kind in ((texts, pa.binary()), (ats, pa.list_(pa.int32())), (flags, pa.list_(pa.int8())))]
-        yield pa.RecordBatch.from_arrays([col["k"], *done, col["th"], pa.array(asked), *left], ["k", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "th", "asked", "text", "ats", "flags"])
+        th = [n for n in col if n == "th"]
+        yield pa.RecordBatch.from_arrays([col["k"], *done, *(col[n] for n in th), pa.array(asked), *left], ["k", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", *th, "asked", "text", "ats", "flags"])
 
 
 def _windows(bucket: int):
@@ -225,10 +236,10 @@ def _windows(bucket: int):
                     h = p.digest(where - before, LENGTH)
                     mine = h % WINDOW_BUCKETS == bucket
                     where = where[mine]
-                    got.append((h[mine], p.digest(where - before, LENGTH, 1).astype(np.int32), where.astype(np.int32), np.full(len(where), i)))
+                    got.append((h[mine], packed(p.digest(where - before, LENGTH, 1), where), np.full(len(where), i)))
             if got:
-                h0, h1, at, who = (np.concatenate(z) for z in zip(*got, strict=True))
-                yield from _batches({"h0": h0, "h1": h1, "at": at}, [col["k"], col["th"]], who)
+                h0, ha, who = (np.concatenate(z) for z in zip(*got, strict=True))
+                yield from _batches({"h0": h0, "ha": ha}, {n: col[n] for n in ("k", "th") if n in col}, who)
 
     return run
 
@@ -249,27 +260,28 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     k = F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("k")
     alone = not docs.select(k).groupBy("k").count().filter("count > 1").limit(1).count()
-    th = F.lit(0).cast("long") if alone else F.xxhash64(text)  # rows with one doc_id are told apart by their texts
-    keyed = docs.select(k, th.alias("th"), text.alias("text"))
+    ids = ["k"] if alone else ["k", "th"]  # rows with one doc_id are told apart by their texts
+    own = ", ".join(f"{i} long" for i in ids)
+    keyed = docs.select(k, F.xxhash64(text).alias("th"), text.alias("text")).select(*ids, "text")
 
     parts = []
     for bucket in range(RANK_BUCKETS):
-        rows = keyed.mapInArrow(_samples(bucket), "r long, w long, at int, k long, th long")
-        rows = rows.repartition(n, "r").sortWithinPartitions("r", "w")
-        parts.append(stash(rows.mapInArrow(rank_classes, "k long, th long, at int, flag tinyint"), "ranks"))
+        rows = keyed.mapInArrow(_samples(bucket), f"r long, wa long, {own}")
+        rows = rows.repartition(n, "r").sortWithinPartitions("r", "wa")
+        parts.append(stash(rows.mapInArrow(rank_classes, f"{own}, at int, flag tinyint"), "ranks"))
     gather = F.collect_list if alone else F.collect_set
-    members = functools.reduce(DataFrame.unionByName, parts).groupBy("k", "th").agg(gather(F.col("at") * 4 + F.col("flag")).alias("x"))
+    members = functools.reduce(DataFrame.unionByName, parts).groupBy(*ids).agg(gather(F.col("at") * 4 + F.col("flag")).alias("x"))
     ats, flags = F.transform("x", lambda v: F.shiftright(v, 2)), F.transform("x", lambda v: v.bitwiseAND(3).cast("tinyint"))
-    members = members.select("k", "th", ats.alias("ats"), flags.alias("flags"))
-    schema = f"{RESULT}, th long, asked boolean, text binary, ats array<int>, flags array<tinyint>"
-    all_ = stash(keyed.join(members, ["k", "th"], "left").mapInArrow(_settle, schema), "settled")
+    members = members.select(*ids, ats.alias("ats"), flags.alias("flags"))
+    schema = f"{RESULT}, {'' if alone else 'th long, '}asked boolean, text binary, ats array<int>, flags array<tinyint>"
+    all_ = stash(keyed.join(members, ids, "left").mapInArrow(_settle, schema), "settled")
 
-    asked, again = all_.filter("asked").select("k", "th", "text", "ats", "flags"), []
+    asked, again = all_.filter("asked").select(*ids, "text", "ats", "flags"), []
     for bucket in range(WINDOW_BUCKETS):
-        windows = asked.mapInArrow(_windows(bucket), "h0 long, h1 int, at int, k long, th long")
-        windows = windows.repartition(n, "h0").sortWithinPartitions("h0", "h1")
-        again.append(stash(windows.mapInArrow(repeated_windows, "k long, th long, at int"), "repeats"))
-    more = functools.reduce(DataFrame.unionByName, again).groupBy("k", "th").agg(F.collect_set("at").alias("more"))
-    rest = asked.join(more, ["k", "th"], "left").select("k", "text", "ats", "flags", "more").mapInArrow(_cut, RESULT)
+        windows = asked.mapInArrow(_windows(bucket), f"h0 long, ha long, {own}")
+        windows = windows.repartition(n, "h0").sortWithinPartitions("h0", "ha")
+        again.append(stash(windows.mapInArrow(repeated_windows, f"{own}, at int"), "repeats"))
+    more = functools.reduce(DataFrame.unionByName, again).groupBy(*ids).agg(F.collect_set("at").alias("more"))
+    rest = asked.join(more, ids, "left").select("k", "text", "ats", "flags", "more").mapInArrow(_cut, RESULT)
     out = all_.filter("not asked").select(*rest.columns).unionByName(rest)
     return out.select(F.when(F.col("k") != NULL_ID, F.col("k")).alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans")
