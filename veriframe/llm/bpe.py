@@ -3,8 +3,9 @@
 First tier: a minimal perfect hash (hash and displace) over the vocabulary's byte strings; a pre-token that is itself in
 the vocabulary is one id. Second tier: other pre-tokens are merged by rank with a heap over a linked list of their bytes,
 each adjacent pair looked up in the same hash; n bytes take O(n log n).
-Text is cut before a space or line feed that follows another character, where a pre-token always ends, and the ids of short
-pieces are remembered by a worker in a table of at most MEMO entries. Texts with other white space are cut by the pattern alone.
+Text is cut where a pre-token always ends: before a space or line feed that follows another character, and after the letters
+that begin a word, if an ASCII character that is no letter is next. The ids of short pieces are remembered by a worker in a
+table of at most MEMO entries. Texts with other white space are cut by the pattern alone.
 
 Null text counts as empty: no ids. Any columns may be kept beside; repeated rows and null ids give a row each.
 """
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 
 from veriframe.llm.common import small_batches
 
-PIECES = re.compile("[ \n]*[^ \n]+|[ \n]+")
+PIECES = re.compile("[ \n]*+[A-Za-zÀ-ÖØ-öø-ÿ]++(?![^\0-\x7f])|[ \n]*+[^ \n]++|[ \n]++")
 OTHER_SPACE = re.compile("[^\\S \n]")
 MEMO, SHORT = 600_000, 48
 RANKS = 500_000  # hash results that a worker remembers
