@@ -3,9 +3,9 @@
 First tier: a minimal perfect hash (hash and displace) over the vocabulary's byte strings; a pre-token that is itself in
 the vocabulary is one id. Second tier: other pre-tokens are merged by rank with a heap over a linked list of their bytes,
 each adjacent pair looked up in the same hash; n bytes take O(n log n).
-Text is cut where a pre-token always ends: before a space or line feed that follows another character, and after the letters
-that begin a word, if an ASCII character that is no letter is next. The ids of short pieces are remembered by a worker in a
-table of at most MEMO entries. Texts with other white space are cut by the pattern alone.
+A batch of texts is cut where a pre-token always ends: before a space or line feed that follows a character other than white
+space, and between a letter and an ASCII character that is no letter. Each distinct piece of a batch is looked up once, and
+the ids of short pieces are remembered by a worker in a table of at most MEMO entries.
 
 Null text counts as empty: no ids. Any columns may be kept beside; repeated rows and null ids give a row each.
 """
@@ -14,7 +14,6 @@ from __future__ import annotations
 
 import base64
 import heapq
-import re
 from pathlib import Path
 
 import numpy as np
@@ -24,19 +23,75 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veriframe.llm.common import small_batches
+from veriframe.llm.common import byte_batches
 
-PIECES = re.compile("[ \n]*+[A-Za-zÀ-ÖØ-öø-ÿ]++(?![^\0-\x7f])|[ \n]*+[^ \n]++|[ \n]++")
-OTHER_SPACE = re.compile("[^\\S \n]")
 MEMO, SHORT = 600_000, 48
 RANKS = 500_000  # hash results that a worker remembers
 MASK = (1 << 64) - 1
 C1, C2 = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 
 
-def pieces(text: str) -> list[str]:
-    """Cuts a text only where the pattern's matches end as well."""
-    return [text] if OTHER_SPACE.search(text) else PIECES.findall(text)
+LETTER, BLANK, SOLID = np.zeros((3, 256), bool)  # by byte: ASCII letters; space and line feed; ASCII that is no white space
+LETTER[[*range(65, 91), *range(97, 123)]] = True
+BLANK[[10, 32]] = True
+SOLID[33:128] = True
+BLOCK = 1 << 18
+
+
+def cuts(data: np.ndarray) -> np.ndarray:
+    """True at the bytes of UTF-8 text where a piece begins, a block at a time.
+
+    Beyond ASCII only U+00C0 to U+00FF count as letters (less the two signs among them), and only U+00C0 to U+07FF and
+    U+4000 upwards as surely no white space: fewer cuts elsewhere.
+    """
+    out = np.zeros(len(data), bool)
+    for at in range(0, len(data), BLOCK):
+        x = data[max(at - 3, 0) : at + BLOCK]
+        letter, solid = LETTER[x], SOLID[x]
+        plain = (x < 128) & ~letter
+        letter[1:] |= (x[:-1] == 0xC3) & (x[1:] != 0x97) & (x[1:] != 0xB7)
+        solid[1:] |= (x[:-1] >= 0xC3) & (x[:-1] <= 0xDF)
+        solid[2:] |= x[:-2] >= 0xE4
+        begin = np.zeros(len(x), bool)
+        begin[1:] = (letter[:-1] & plain[1:]) | (solid[:-1] & BLANK[x[1:]])
+        out[at : at + BLOCK] = begin[min(at, 3) :]
+    return out
+
+
+def gather(flat: np.ndarray, size: np.ndarray, index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Joins the runs `index` of flat (run i has size[i] elements); also where each ends. A block of runs at a time."""
+    begin = np.cumsum(size) - size
+    ends = np.cumsum(size[index])
+    out = np.empty(int(ends[-1]) if len(ends) else 0, flat.dtype)
+    for i in range(0, len(index), BLOCK):
+        part = index[i : i + BLOCK]
+        n, to = size[part], int(ends[i] - size[index[i]])
+        shift = begin[part] - (ends[i : i + BLOCK] - n - to)
+        out[to : to + int(n.sum())] = flat[np.repeat(shift, n) + np.arange(int(n.sum()))]
+    return out, ends
+
+
+def binaries(data: np.ndarray, bounds: np.ndarray, kind: pa.DataType = pa.binary()) -> pa.Array:  # noqa: B008
+    """data, cut at bounds (from 0, in elements), as Arrow binary values (or of another kind)."""
+    return pa.Array.from_buffers(kind, len(bounds) - 1, [None, pa.py_buffer((bounds * data.itemsize).astype(np.int32)), pa.py_buffer(data)])
+
+
+def encode_column(column: pa.Array, lookup) -> tuple[np.ndarray, np.ndarray]:
+    """All ids of a column of texts without nulls, and the bounds of each text's ids. lookup gives the ids (bytes) of distinct pieces."""
+    column = column.cast(pa.binary())
+    at = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int32)
+    if at[0] == at[-1]:
+        return np.zeros(0, "<u4"), np.zeros(len(at), np.int64)
+    data = np.frombuffer(column.buffers()[2], np.uint8)[at[0] : at[-1]]
+    at = at - at[0]
+    begin = cuts(data)
+    begin[at[:-1][np.diff(at) > 0]] = True
+    first = np.append(np.flatnonzero(begin), len(data))
+    found = binaries(data, first, pa.string()).dictionary_encode()
+    ids = lookup(found.dictionary.to_numpy(zero_copy_only=False).tolist())
+    size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+    out, ends = gather(np.frombuffer(b"".join(ids), "<u4"), size, found.indices.to_numpy())
+    return out, np.append(0, ends)[np.searchsorted(first, at)]
 
 
 class PerfectHash:
@@ -94,6 +149,7 @@ class Codec:
         self.tokens = [b""] * (max(self.ranks, default=-1) + 1)
         for t, r in tokens:
             self.tokens[r] = t
+        self.flat, self.size = np.frombuffer(b"".join(self.tokens), np.uint8), np.array([len(t) for t in self.tokens], np.int64)
         self.pattern, self.memo, self.seen = regex.compile(pattern), {}, {}
 
     def __getstate__(self):
@@ -150,10 +206,10 @@ class Codec:
             out.extend([r] if r >= 0 else self.merge(token))
         return np.array(out, "<u4").tobytes()
 
-    def encode(self, text: str) -> bytes:
-        """Ids as little-endian unsigned 32-bit integers."""
+    def lookup(self, pieces: list[str]) -> list[bytes]:
+        """Ids of pieces, as little-endian unsigned 32-bit integers."""
         memo, out = self.memo, []
-        for p in pieces(text):
+        for p in pieces:
             ids = memo.get(p)
             if ids is None:
                 ids = self.piece(p)
@@ -162,26 +218,36 @@ class Codec:
                         memo.clear()
                     memo[p] = ids
             out.append(ids)
-        return b"".join(out)
+        return out
+
+    def encode(self, text: str) -> bytes:
+        return encode_column(pa.array([text]), self.lookup)[0].tobytes()
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
+    def decode_column(self, column: pa.Array) -> pa.Array:
+        """The bytes of a column of ids without nulls."""
+        at = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1] // 4 if len(column) else np.zeros(1, np.int32)
+        ids = np.frombuffer(column.buffers()[2] or b"", "<u4")[at[0] : at[-1]]
+        out, ends = gather(self.flat, self.size, ids)
+        return binaries(out, np.append(0, ends)[at - at[0]])
+
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns keep, n_tokens and ids (binary, little-endian unsigned 32-bit integers)."""
     spark = docs.sparkSession
-    small_batches(spark)
+    byte_batches(spark, 1 << 23)
     codec = spark.sparkContext.broadcast(Codec(ranks_path, pattern))  # the vocabulary: of fixed size
 
     def run(batches):
         c = codec.value
         for b in batches:
-            ids = [c.encode(t or "") for t in b.column(0).to_pylist()]
-            cols = [*b.columns[1:], pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())]
+            ids, bounds = encode_column(b.column(0), c.lookup)
+            cols = [*b.columns[1:], pa.array(np.diff(bounds)), binaries(ids, bounds)]
             yield pa.RecordBatch.from_arrays(cols, [*b.schema.names[1:], "n_tokens", "ids"])
 
-    rows = docs.select(F.col("text").cast("string").alias("__text"), *(F.col(f"`{k}`") for k in keep))
+    rows = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("__text"), *(F.col(f"`{k}`") for k in keep))
     schema = "".join(f"`{n}` {t}, " for n, t in rows.dtypes[1:])
     return rows.mapInArrow(run, f"{schema}n_tokens long, ids binary")
 
@@ -189,13 +255,12 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, keep: tuple[str, ...]
 def decode(encoded: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     """encoded and a column decoded (binary, UTF-8 bytes)."""
     spark = encoded.sparkSession
-    small_batches(spark)
+    byte_batches(spark, 1 << 23)
     codec, at = spark.sparkContext.broadcast(Codec(ranks_path, pattern)), encoded.columns.index("ids")
 
     def run(batches):
         c = codec.value
         for b in batches:
-            text = pa.array([c.decode(x) for x in b.column(at).to_pylist()], pa.binary())
-            yield pa.RecordBatch.from_arrays([*b.columns, text], [*b.schema.names, "decoded"])
+            yield pa.RecordBatch.from_arrays([*b.columns, c.decode_column(b.column(at))], [*b.schema.names, "decoded"])
 
     return encoded.mapInArrow(run, ", ".join(f"`{n}` {t}" for n, t in [*encoded.dtypes, ("decoded", "binary")]))
