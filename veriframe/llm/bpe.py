@@ -35,7 +35,7 @@ LETTER, BLANK, SOLID = np.zeros((3, 256), bool)  # by byte: ASCII letters; space
 LETTER[[*range(65, 91), *range(97, 123)]] = True
 BLANK[[10, 32]] = True
 SOLID[33:128] = True
-BLOCK = 1 << 18
+BLOCK = 1 << 16  # bytes or runs worked on at a time
 
 
 def cuts(data: np.ndarray) -> np.ndarray:
