@@ -187,6 +187,40 @@ def test_simhash(spark, docs):
     assert kept.columns == table.columns and {r.doc_id for r in kept.collect()} == set(comp) and kept.count() == len(set(comp))
 
 
+def test_similar_documents(spark, docs, monkeypatch):
+    monkeypatch.setattr(simhash, "SAMPLE", 100)
+    rng = random.Random(5)
+
+    def fresh(n):
+        return [f"w{rng.randrange(10**9)}" for _ in range(n)]
+
+    def changed(w, n):
+        w = list(w)
+        for at in rng.sample(range(len(w)), n):
+            w[at] = f"c{rng.randrange(10**9)}"
+        return w
+
+    line, hot, texts = fresh(40), fresh(150), []
+    texts += [changed(hot, rng.randint(0, 6)) for _ in range(60)]  # one large group, not all pairs similar
+    for n in (60, 100, 300, 1000):
+        for _ in range(4):
+            w = fresh(n)
+            texts += [w, *(changed(w, max(1, n * k // 100)) for k in (1, 2, 3, 5))]
+    texts += [line + fresh(n) for n in [20] * 15 + [60] * 15]
+    table = docs([*MIXED, *enumerate(map(" ".join, texts), 100), (96, "  \n"), (95, "a b"), (94, "A  b")])
+    raw = table.select("doc_id", "text").collect()
+
+    def grams(t):
+        w = (t or "").encode().lower().split()
+        return frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()
+
+    sets = [grams(r.text) for r in raw]
+    comp = components([r.doc_id for r in raw], sets, lambda a, b: a == b or len(a & b) >= 0.8 * len(a | b) - 1e-9)
+    kept = simhash.keep_one(table, shingle=5, similarity=0.8)
+    assert sorted((r.doc_id for r in kept.collect()), key=repr) == sorted(set(comp), key=repr) and kept.columns == table.columns
+    assert len(set(comp)) < len(simhash.keep_one(table, shingle=5).collect()) and simhash.keep_one(table.limit(0), 5, 0.8).count() == 0
+
+
 def test_hot_fingerprints(spark, monkeypatch):
     monkeypatch.setattr(simhash, "CAP", 8)
     rng = np.random.default_rng(4)

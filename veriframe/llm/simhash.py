@@ -9,6 +9,14 @@ A key with more than CAP distinct fingerprints (one hot group) is dealt anew by
 group leaves 16 bits open, so it has at most 65,536 members, and is linked through common neighbours at one bit instead of
 pairs. Nothing is dropped. A task emits a spanning forest of each group's links, never all its pairs.
 
+With a similarity asked for (the pipeline's stage), links are pairs whose sets of shingles have at least that Jaccard
+similarity. At 0.8 fingerprints differ in about 10 bits, with a wide spread, so that no budget of bits finds all such pairs;
+candidates come from the sets instead, without misses. In any one order of the shingles, two such sets share one of their
+first n - ceil(similarity * n) + 1; shingles common in a sample come last in the order, so that few documents share one.
+Each key's documents are first compared with one of them, and after that only those in different components with each other.
+The parities of SKETCH buckets differ in at most as many places as two sets do, which rules out most pairs before the sets
+themselves are made again and compared.
+
 Null or blank texts have fingerprint zero and link like any other; a row with null doc_id takes part, and component_id is
 the smallest non-null doc_id reached. Repeated rows give a row each. An empty table gives an empty result.
 """
@@ -21,12 +29,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veriframe.llm.common import Forest, binary, components, partitions, small_batches, starts, stash, whole_groups
+from veriframe.llm.common import Forest, binary, components, drop_shuffles, partitions, small_batches, starts, stash, whole_groups
 
 BITS = 2
 CAP = 256
 PAIRS = [(0, 1), (1, 2), (2, 3), (3, 0), (0, 2), (1, 3)]
 SEED = 42
+SAMPLE, COMMON = 5_000, 500_000  # documents sampled and shingles listed for the order; they decide no result
+ROUNDS, SKETCH = 2, 1024
+BROADCAST_ROWS = 500_000
 
 
 def fingerprint(text: bytes, shingle: int = 3) -> int:
@@ -154,9 +165,140 @@ def near_duplicates(docs: DataFrame, shingle: int = 3) -> DataFrame:
     return fps.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """One row of each component of docs: that with the least doc_id (null only if there is no other)."""
-    fps, reps = _roots(docs, shingle)
+def shingle_set(text: bytes, shingle: int) -> np.ndarray:
+    """The distinct hashes of a text's shingles, sorted."""
+    words = text.lower().split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    size = min(shingle, len(words))
+    grams = map(b" ".join, zip(*(words[i:] for i in range(size)), strict=False))
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(g, SEED) for g in grams), np.uint64, len(words) - size + 1))
+
+
+def _common(docs: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of shingles that several sampled documents have, and in how many."""
+    parts = max(1, docs.count() // SAMPLE)
+
+    def run(batches):
+        for b in batches:
+            h, n = np.unique(np.concatenate([shingle_set(x, shingle) for x in binary(b.column(0))] or [np.zeros(0, np.uint64)]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], ["h", "n"])
+
+    text = F.col("text").cast("string")
+    some = docs.filter(F.pmod(F.xxhash64("doc_id", text), F.lit(parts)) == 0).select(text.alias("text"))
+    got = some.mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).filter("n >= 4").orderBy(F.desc("n")).limit(COMMON).toPandas()
+    h, n = got["h"].to_numpy(np.int64).view(np.uint64), got["n"].to_numpy(np.int64)
+    o = np.argsort(h)
+    return h[o], n[o]
+
+
+def _lists(some: list[np.ndarray]) -> pa.Array:
+    at = np.concatenate([[0], np.cumsum([len(x) for x in some])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate([np.zeros(0, np.int64), *some])))
+
+
+def shingle_sets(docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """doc_id, th, fp (digest of the set), n (its size), keys (its first shingles in the common order) and sketch of each row."""
+    small_batches(docs.sparkSession)
+    hold = docs.sparkSession.sparkContext.broadcast(_common(docs, shingle))
+
+    def run(batches):
+        known, often = hold.value
+        for b in batches:
+            sizes, keys, fp, sketch = [], [], [], []
+            for x in binary(b.column(2)):
+                h = shingle_set(x, shingle)
+                first = len(h) - int(np.ceil(similarity * len(h) - 1e-9)) + 1 if len(h) else 0
+                order = h
+                if len(known) and len(h):
+                    at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+                    order = h[np.argsort(np.where(known[at] == h, often[at], 0), kind="stable")]
+                sizes.append(len(h))
+                keys.append(order[:first].view(np.int64))
+                fp.append(xxhash.xxh64_intdigest(h.tobytes(), SEED))
+                odd = np.bincount((h % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH) & 1
+                sketch.append(np.packbits(odd.astype(bool)).view(np.int64))
+            cols = [pa.array(np.array(fp, np.uint64).view(np.int64)), pa.array(np.array(sizes, np.int64)), _lists(keys), _lists(sketch)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *cols], ["doc_id", "th", "fp", "n", "keys", "sketch"])
+
+    text = F.col("text").cast("string")
+    rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64(text).alias("th"), text.alias("text"))
+    return rows.mapInArrow(run, "doc_id long, th long, fp long, n long, keys array<long>, sketch array<long>")
+
+
+def _repeated(batches):
+    """Rows of a sorted stream whose h also has other rows; of the batch before only the last row is held."""
+    last, shared = None, False  # the row held, and whether the one before it has the same h
+    for b in batches:
+        if not b.num_rows:
+            continue
+        got = np.array([b.column(i).to_numpy() for i in range(3)])
+        if last is not None:
+            got = np.concatenate([last, got], axis=1)
+        same = got[0, 1:] == got[0, :-1]
+        kept = np.append(shared, same) | np.append(same, False)
+        yield pa.RecordBatch.from_arrays([pa.array(x[:-1][kept[:-1]]) for x in got], ["h", "fp", "n"])
+        last, shared = got[:, -1:], bool(kept[-1])
+    if shared:
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in last], ["h", "fp", "n"])
+
+
+def _similar(docs: DataFrame, shingle: int, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """The rows' sets, and of each distinct one (fp) its component (root) under the similarity."""
+    spark = docs.sparkSession
+    drop_shuffles(spark)
+    rows = stash(shingle_sets(docs, shingle, similarity), "sets")
+    dealt = rows.select("fp", "n", "keys").dropDuplicates(["fp"]).select(F.explode("keys").alias("h"), "fp", "n")
+    dealt = dealt.repartition(partitions(spark), "h").sortWithinPartitions("h")
+    keyed = stash(dealt.mapInArrow(_repeated, "h long, fp long, n long"), "keyed")
+    null = F.lit(-(1 << 63))
+    owners = rows.groupBy("fp").agg(F.min(F.struct(F.coalesce("doc_id", null).alias("k"), "th")).alias("one"), F.first("sketch").alias("sketch"))
+    owners = stash(owners.join(keyed.select("fp").distinct(), "fp", "left_semi"), "owners")
+    sketches = owners.select("fp", "sketch")
+    named = keyed.withColumn("root", F.col("fp"))
+    edges = None
+
+    def make_sets(batches):
+        for b in batches:
+            sets = [shingle_set(x, shingle).view(np.int64) for x in binary(b.column(1))]
+            yield pa.RecordBatch.from_arrays([b.column(0), _lists(sets)], ["fp", "set"])
+
+    def near(pairs):
+        most = (F.col("na") + F.col("nb")) * F.lit((1 - similarity) / (1 + similarity)) + 1e-6  # places in which the sets differ
+        pairs = pairs.filter(F.abs(F.col("na") - F.col("nb")) <= most).distinct()
+        pairs = pairs.join(sketches.toDF("a", "xa"), "a").join(sketches.toDF("b", "xb"), "b")
+        apart = F.aggregate(F.zip_with("xa", "xb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
+        pairs = stash(pairs.filter(apart <= most).select("a", "b", "na", "nb"), "pairs")
+        wanted = stash(owners.select("fp", "one.*").join(pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct(), "fp", "left_semi"), "wanted")
+        text = F.col("text").cast("string")
+        texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), null).alias("k"), F.xxhash64(text).alias("th"), text.alias("text"))
+        few = wanted.count() <= BROADCAST_ROWS
+        texts = texts.join(F.broadcast(wanted) if few else wanted, ["k", "th"]).select("fp", "text")
+        sets = stash(texts.mapInArrow(make_sets, "fp long, set array<long>"), "pair_sets").dropDuplicates(["fp"])
+        both = pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
+        both = both.select("a", "b", "na", "nb", F.size(F.array_intersect("sa", "sb")).alias("both"))
+        return stash(both.filter(F.col("both") >= (F.col("na") + F.col("nb") - F.col("both")) * F.lit(similarity) - 1e-9).select("a", "b"), "similar")
+
+    for turn in range(ROUNDS + 1):
+        groups = named.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min(F.struct(F.xxhash64("fp", F.lit(turn)), "fp", "n", "root")).alias("hub")).filter("low <> high")
+        if turn < ROUNDS:
+            pairs = named.join(groups.select("h", "hub"), "h").filter("root <> hub.root").select(F.col("fp").alias("a"), F.col("n").alias("na"), F.col("hub.fp").alias("b"), F.col("hub.n").alias("nb"))
+        else:
+            left = named.join(groups.select("h"), "h").select("h", "fp", "n", "root")
+            pairs = left.toDF("h", "a", "na", "ra").join(left.toDF("h", "b", "nb", "rb"), "h").filter("ra <> rb and a < b").select("a", "na", "b", "nb")
+        found = near(pairs)
+        edges = found if edges is None else edges.unionByName(found)
+        roots = stash(components(edges), "roots").withColumnRenamed("node", "fp")
+        named = keyed.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    return rows, rows.select("fp").distinct().join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
+def keep_one(docs: DataFrame, shingle: int = 3, similarity: float | None = None) -> DataFrame:
+    """One row of each component of docs: that with the least doc_id (null only if there is no other).
+
+    Links are fingerprints within BITS, or sets of shingles with at least the similarity asked for.
+    """
+    fps, reps = _roots(docs, shingle) if similarity is None else _similar(docs, shingle, similarity)
     null = -(1 << 63)
     first = fps.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "th")).alias("one"))
     first = first.join(reps.select("fp", "root"), "fp").groupBy("root").agg(F.min("one").alias("one"))
