@@ -249,6 +249,17 @@ def test_decontamination(spark, docs):
     assert decontaminate.leaks(table, items.limit(0)).count() == 0 and decontaminate.leaks(table.limit(0), items).count() == 0
 
 
+def test_leaks_drop_single_rows(spark, docs, tmp_path):
+    import corpus_pipeline
+
+    item = prose(30)
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    table = docs([(None, item), (None, "clean one"), (None, None), (7, f"{item} x"), (7, "clean two"), (7, f"{item} x"), (8, "clean")])
+    kept = corpus_pipeline.benchmark_leaks(spark, table, str(tmp_path))
+    assert kept.columns == table.columns
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=repr) == sorted([(None, "clean one"), (None, None), (7, "clean two"), (8, "clean")], key=repr)
+
+
 def brute_repeats(texts, size=400):
     seen = {}
     for d, t in enumerate(texts):

@@ -50,10 +50,15 @@ def _need(n: Column) -> Column:
     return F.ceil(n * F.lit(THRESHOLD) - F.lit(1e-9))
 
 
-def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """Pairs doc_id, item_id of documents that contain an item, with n_item, n_shared and containment."""
-    docs = docs.select(F.col("doc_id").cast("long"), F.col("text"))
-    key = F.coalesce("doc_id", F.lit(-(1 << 63)))
+def _key(docs: DataFrame) -> dict[str, Column]:
+    """A row's key: its id and the hash of its text, as ids can be null or repeated."""
+    return {"__k": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), "__th": F.xxhash64(F.col("text").cast("string"))}
+
+
+def _contained(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """__k, __th, doc_id, item_id, n_item and n_shared of rows that contain an item."""
+    key = ["__k", "__th"]
+    docs = docs.select(F.col("doc_id").cast("long"), F.col("text")).withColumns(_key(docs))
     items = items.select(F.col("item_id").cast("long"), once(words(F.col("text"))).alias("w")).filter(F.size("w") > 0)
     items = items.withColumn("len", F.least(F.size("w"), F.lit(SIZE)))
     shingle, shingle_hash = F.lit(None).cast("array<string>"), F.lit(None).cast("array<bigint>")
@@ -71,38 +76,44 @@ def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     sig = sig.select(F.explode("sig").alias("h"), "item_id", "need")
     n_sig = sig.count()
 
-    probes = docs.select(key.alias("k"), once(F.transform(words(F.col("text")), lambda x: F.xxhash64(x))).alias("w"))
+    probes = docs.select(*key, once(F.transform(words(F.col("text")), lambda x: F.xxhash64(x))).alias("w"))
     found = []
     for size in sorted({c["len"] for c in classes}):
         top, count = F.lit(None).cast("bigint"), F.size("w") - (size - 1)
         for c in classes:
             if c["len"] == size:
                 top = F.greatest(top, F.when(count >= c["need"], F.lit(c["top"])))
-        short = probes.select("k", "w", count.alias("count"), top.alias("top")).filter("top is not null")
+        short = probes.select(*key, "w", count.alias("count"), top.alias("top")).filter("top is not null")
         hashes = F.filter(grams("w", size, lambda *x: F.xxhash64(*x)), lambda h: h <= F.col("top"))
-        found.append(short.select("k", "count", F.explode(hashes).alias("h")))
+        found.append(short.select(*key, "count", F.explode(hashes).alias("h")))
     if not found:
-        found = [docs.limit(0).select(key.alias("k"), F.lit(0).alias("count"), F.lit(0).cast("bigint").alias("h"))]
+        found = [docs.limit(0).select(*key, F.lit(0).alias("count"), F.lit(0).cast("bigint").alias("h"))]
     rows = found[0]
     for more in found[1:]:
         rows = rows.unionByName(more)
-    pairs = _join(rows, sig, n_sig, "h").filter("count >= need").select("k", "item_id").distinct()
+    pairs = _join(rows, sig, n_sig, "h").filter("count >= need").select(*key, "item_id").distinct()
     pairs = stash(pairs, "candidates")
 
-    texts = _join(docs.withColumn("k", key), pairs.select("k").distinct(), pairs.count(), "k", "left_semi")
-    texts = texts.select("k", "doc_id", once(words(F.col("text"))).alias("w"))
-    both = pairs.join(texts, "k").join(items.withColumnRenamed("item_id", "item"), F.col("item_id").eqNullSafe(F.col("item")))
+    texts = _join(docs, pairs.select(*key).distinct(), pairs.count(), key, "left_semi")
+    texts = texts.select(*key, "doc_id", once(words(F.col("text"))).alias("w"))
+    both = pairs.join(texts, key).join(items.withColumnRenamed("item_id", "item"), F.col("item_id").eqNullSafe(F.col("item")))
     own = F.lit(None).cast("array<string>")
     for size in sorted({c["len"] for c in classes}):
         own = F.when(F.col("len") == size, grams("w", size, lambda *x: F.concat_ws(" ", *x))).otherwise(own)
     shared = F.size(F.array_intersect(F.col("shingles"), own))
-    both = both.select("doc_id", "item_id", F.col("n").cast("long").alias("n_item"), shared.cast("long").alias("n_shared"), "need")
-    both = both.filter("n_shared >= need").groupBy("doc_id", "item_id").agg(F.max_by("n_item", F.expr("n_shared / n_item")).alias("n_item"), F.max_by("n_shared", F.expr("n_shared / n_item")).alias("n_shared"))
+    both = both.select(*key, "doc_id", "item_id", F.col("n").cast("long").alias("n_item"), shared.cast("long").alias("n_shared"), "need")
+    return both.filter("n_shared >= need")
+
+
+def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """Pairs doc_id, item_id of documents that contain an item, with n_item, n_shared and containment."""
+    share = F.expr("n_shared / n_item")
+    both = _contained(docs, items).groupBy("doc_id", "item_id").agg(F.max_by("n_item", share).alias("n_item"), F.max_by("n_shared", share).alias("n_shared"))
     return both.withColumn("containment", F.col("n_shared") / F.col("n_item"))
 
 
-def decontaminate(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """docs without the rows that contain an item."""
-    hit = stash(leaks(docs, items).select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("__hit")).distinct(), "hits")
-    own = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
-    return _join(docs, hit, hit.count(), own == F.col("__hit"), "left_anti")
+def decontaminate(docs: DataFrame, items: DataFrame, by_row: bool = False) -> DataFrame:
+    """docs without the rows that contain an item; unless by_row, also without all other rows of their doc_id (null is one)."""
+    key = ["__k", "__th"] if by_row else ["__k"]
+    hit = stash(_contained(docs, items).select(*key).distinct(), "hits")
+    return _join(docs.withColumns(_key(docs)), hit, hit.count(), key, "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
