@@ -80,6 +80,22 @@ def test_pii(spark, docs, rows):
     assert pii.sanitise(table).columns == table.columns and pii.sanitise(table).count() == table.count() and pii.report(table.limit(0)).count() == 0
 
 
+def test_pii_terms_anywhere(spark, docs):
+    far = f"Zebrakeeper {prose(60)} ask zebrakeeper bo@mail.example.com {prose(400)} ZEBRAKEEPER; zebrakeepers"
+    once_near = [f"walrus {prose(40)} {x} al@mail.example.org {prose(40)}" for x in ("walrus", "nothing", "nowhere")]
+    table = docs([*((200 + i, far) for i in range(3)), *enumerate(once_near, 400), *((300 + i, prose(30)) for i in range(60))])
+    clean = {r.doc_id: r.text for r in pii.sanitise(table).collect()}
+    for i in range(200, 203):
+        assert re.search(r"(?i)zebrakeeper\b", clean[i]) is None and clean[i].endswith("; zebrakeepers") or "zebrakeeper" not in clean[i].lower()
+    assert not any("walrus" in clean[i] for i in range(400, 403))
+    texts = {r.doc_id: r.text for r in table.collect()}
+    for r in pii.report(table).collect():
+        for kind, s, e in (x.split(":") for x in r.spans.split(",") if x):
+            assert kind not in ("remove", "general") or re.fullmatch(r"[^\W_]+", texts[r.doc_id][int(s) : int(e)])
+        assert r.doc_id < 400 and r.doc_id >= 300 and not r.spans or r.doc_id not in range(300, 400)
+        if r.doc_id in range(200, 203):
+            assert {m.span() for m in re.finditer(r"(?i)\bzebrakeeper\b", far)} <= {(int(s), int(e)) for _, s, e in (x.split(":") for x in r.spans.split(","))}
+
 
 def bpe_ranks():
     import base64
