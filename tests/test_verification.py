@@ -1,4 +1,4 @@
-"""Scores against hand-computed values."""
+"""Measures against hand-computed values."""
 
 import math
 
@@ -108,7 +108,7 @@ def test_finley(spark):
     assert one(t.cohens_kappa()) == one(t.heidke_skill_score()) and t.format_table().loc["Total", "Total"] == 2803
     empty = categorical.Contingency(spark.createDataFrame([(0, 5, 0, 0, 5)], "tp long, tn long, fp long, fn long, total long"), [])
     assert one(empty.hit_rate()) is None and one(empty.accuracy()) == 1
-    names = [n for group in categorical.SCORES for n in group]
+    names = [n for group in categorical.MEASURES for n in group]
     assert len(names) == 34 and set(names) <= set(dir(t))
 
 
@@ -261,11 +261,11 @@ def test_stream(spark, tmp_path):
     df = spark.createDataFrame([(f"2024-01-01T00:{m:02d}:00", float(m), 10.0) for m in range(60)], "t string, fcst double, obs double").withColumn("t", F.col("t").cast("timestamp"))
     df.write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
-    q = running.running_scores(stream, "t", window="30 minutes").writeStream.outputMode("complete").format("memory").queryName("scores").start()
+    q = running.running_measures(stream, "t", window="30 minutes").writeStream.outputMode("complete").format("memory").queryName("running").start()
     q.processAllAvailable()
     q.stop()
-    got = sorted(spark.table("scores").select("n", "mae").collect())
-    want = sorted(running.running_scores(df, "t", window="30 minutes").select("n", "mae").collect())
+    got = sorted(spark.table("running").select("n", "mae").collect())
+    want = sorted(running.running_measures(df, "t", window="30 minutes").select("n", "mae").collect())
     assert got == want and [r.n for r in got] == [30, 30]
 
 

@@ -1,4 +1,4 @@
-"""Scores of categorical forecasts, contingency tables, risk matrices."""
+"""Measures of categorical forecasts, contingency tables, risk matrices."""
 
 from __future__ import annotations
 
@@ -160,7 +160,7 @@ class Counts:
 
 
 #: Each score from the counts; names in one entry mean the same.
-SCORES = {
+MEASURES = {
     ("accuracy", "fraction_correct"): lambda c: ieee_div(c.tp + c.tn, c.total),
     ("base_rate",): lambda c: ieee_div(c.tp + c.fn, c.total),
     ("forecast_rate",): lambda c: ieee_div(c.tp + c.fp, c.total),
@@ -180,7 +180,7 @@ SCORES = {
     ("odds_ratio_skill_score", "yules_q"): lambda c: ieee_div(c.tp * c.tn - c.fn * c.fp, c.tp * c.tn + c.fn * c.fp),
     ("symmetric_extremal_dependence_index",): _sedi,
 }
-_BY_NAME = {name: f for names, f in SCORES.items() for name in names}
+_BY_NAME = {name: f for names, f in MEASURES.items() for name in names}
 
 
 class Contingency:
@@ -209,15 +209,15 @@ class Contingency:
         rows = {positive: [c.tp, c.fp, c.tp + c.fp], negative: [c.fn, c.tn, c.fn + c.tn], "Total": [c.tp + c.fn, c.fp + c.tn, c.total]}
         return pd.DataFrame.from_dict(rows, orient="index", columns=[positive, negative, "Total"])
 
-    def scores(self, *names: str) -> DataFrame:
-        """Several scores side by side, from one aggregation."""
+    def measures(self, *names: str) -> DataFrame:
+        """Several measures side by side, from one aggregation."""
         c = Counts(*(F.col(n) for n in self.COUNTS))
         return self.counts.select(*self.dims, *(_BY_NAME[n](c).alias(n) for n in names))
 
     def __getattr__(self, name: str):
         if name not in _BY_NAME:
             raise AttributeError(name)
-        return lambda: self.scores(name)
+        return lambda: self.measures(name)
 
     def __dir__(self):
         return [*super().__dir__(), *_BY_NAME]

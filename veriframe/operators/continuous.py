@@ -1,4 +1,4 @@
-"""Scores of continuous forecasts."""
+"""Measures of continuous forecasts."""
 
 from __future__ import annotations
 

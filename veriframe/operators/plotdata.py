@@ -76,7 +76,7 @@ def murphy_score(fcst: Field, obs: Field, thetas: list[float], *, functional: st
 
 
 def murphy_thetas(forecasts: list[Field], obs: Field, functional: str, *, huber_a: float | None = None, left_limit_delta: float = 0.0) -> DataFrame:
-    """The thetas at which the scores bend, distinct and in order."""
+    """The thetas at which the measure bends, distinct and in order."""
 
     def points(f: Field, *moves: float):
         return f.df.select(F.explode(F.array(*(f.column() + m for m in moves))).alias("theta"))

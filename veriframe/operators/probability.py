@@ -1,4 +1,4 @@
-"""Scores of probabilities and ensembles."""
+"""Measures of probabilities and ensembles."""
 
 from __future__ import annotations
 

@@ -1,4 +1,4 @@
-"""Fields: DataFrames whose key columns are named dimensions, and how scores resolve, align and reduce them."""
+"""Fields: DataFrames whose key columns are named dimensions, and how measures resolve, align and reduce them."""
 
 from __future__ import annotations
 
@@ -145,7 +145,7 @@ def check_binary(values: Field) -> None:
 
 
 def pointwise(expr, name: str, reduce_dims: Dims, preserve_dims: Dims, weights: Field | None, **fields: Field) -> DataFrame:
-    """The shape most scores share: align, evaluate expr over the named columns, take the (weighted) mean."""
+    """The shape most measures share: align, evaluate expr over the named columns, take the (weighted) mean."""
     df, dims = align(**fields, **({"weight": weights} if weights is not None else {}))
     keep = resolve_dims(dims, reduce_dims, preserve_dims)
     w = F.col("weight") if weights is not None else None

@@ -160,7 +160,7 @@ def aggregate_mean(spark, sf_dir):
 
 
 _CELLS = "count(*) FILTER (f >= {t} AND o >= {t}) AS tp, count(*) FILTER (f < {t} AND o < {t}) AS tn, count(*) FILTER (f >= {t} AND o < {t}) AS fp, count(*) FILTER (f < {t} AND o >= {t}) AS fn"
-_SCORES = {
+_MEASURES = {
     "accuracy": "(tp + tn) / n", "base_rate": "(tp + fn) / n", "forecast_rate": "(tp + fp) / n", "frequency_bias": "(tp + fp) / (tp + fn)",
     "probability_of_detection": "tp / (tp + fn)", "false_alarm_ratio": "fp / (tp + fp)", "false_alarm_rate": "fp / (tn + fp)", "success_ratio": "tp / (tp + fp)",
     "threat_score": "tp / (tp + fp + fn)", "peirce_skill_score": "tp / (tp + fn) - fp / (fp + tn)", "specificity": "tn / (tn + fp)", "negative_predictive_value": "tn / (tn + fn)",
@@ -173,11 +173,11 @@ _SCORES = {
 
 @query(f"""WITH {V1_SQL}, c AS (SELECT l_returnflag, l_linestatus, {_CELLS.format(t=4)} FROM v1 GROUP BY ALL),
 d AS (SELECT l_returnflag, l_linestatus, CAST(tp AS DOUBLE) AS tp, CAST(tn AS DOUBLE) AS tn, CAST(fp AS DOUBLE) AS fp, CAST(fn AS DOUBLE) AS fn, CAST(tp + tn + fp + fn AS DOUBLE) AS n FROM c)
-SELECT l_returnflag, l_linestatus, {', '.join(f'round({e}, 6) AS {k}' for k, e in _SCORES.items())} FROM d""")
-def contingency_scores(spark, sf_dir):
+SELECT l_returnflag, l_linestatus, {', '.join(f'round({e}, 6) AS {k}' for k, e in _MEASURES.items())} FROM d""")
+def contingency_measures(spark, sf_dir):
     f, o, _ = v1(spark, sf_dir)
     table = categorical.ThresholdEvents(4.0).make_contingency(f, o).transform(preserve_dims=KEYS)
-    return rounded(table.scores(*_SCORES), *_SCORES)
+    return rounded(table.measures(*_MEASURES), *_MEASURES)
 
 
 @query(f"WITH {V1_SQL}, c AS (SELECT l_linestatus, {_CELLS.format(t=3)} FROM v1 GROUP BY ALL) UNPIVOT (SELECT l_linestatus, CAST(tp AS DOUBLE) AS tp, CAST(tn AS DOUBLE) AS tn, CAST(fp AS DOUBLE) AS fp, CAST(fn AS DOUBLE) AS fn, CAST(tp + tn + fp + fn AS DOUBLE) AS total FROM c) ON tp, tn, fp, fn, total INTO NAME contingency VALUE \"count\"")
@@ -474,8 +474,8 @@ def block_bootstrap(spark, sf_dir):
 
 
 @query("""SELECT date_trunc('hour', ts) AS window_start, date_trunc('hour', ts) + INTERVAL 1 HOUR AS window_end, event_type, round(avg((value - 50) ** 2), 6) AS mse, round(avg(abs(value - 50)), 6) AS mae, round(avg(value - 50), 6) AS additive_bias, count(value) AS n FROM events GROUP BY ALL""")
-def running_scores(spark, sf_dir):
+def running_measures(spark, sf_dir):
     e = _table(spark, sf_dir, "events").withColumn("base", F.lit(50.0))
-    got = running.running_scores(e, "ts", fcst="value", obs="base", keep=["event_type"])
+    got = running.running_measures(e, "ts", fcst="value", obs="base", keep=["event_type"])
     got = got.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("window_start", "window_end")})
     return rounded(got, "mse", "mae", "additive_bias")

@@ -1,4 +1,4 @@
-"""Small generated fields to try scores on."""
+"""Small generated fields to try measures on."""
 
 from __future__ import annotations
 

@@ -13,6 +13,6 @@ def read_field(spark: SparkSession, path: str, dims: list[str], value: str, form
     return Field(df, tuple(dims), value)
 
 
-def write_scores(df: DataFrame, path: str, format: str = "parquet", mode: str = "error", partition_by: list[str] | None = None) -> None:
+def write_measures(df: DataFrame, path: str, format: str = "parquet", mode: str = "error", partition_by: list[str] | None = None) -> None:
     writer = df.write.format(format).mode(mode)
     (writer.partitionBy(*partition_by) if partition_by else writer).save(path)

@@ -1,4 +1,4 @@
-"""Scores as running aggregates over a stream of matched forecasts and observations."""
+"""Measures as running aggregates over a stream of matched forecasts and observations."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from veriframe.functions.exprs import nn
 
 
-def running_scores(pairs: DataFrame, time: str, *, fcst: str = "fcst", obs: str = "obs", keep: list[str] | None = None, window: str = "1 hour", slide: str | None = None, delay: str = "1 hour") -> DataFrame:
+def running_measures(pairs: DataFrame, time: str, *, fcst: str = "fcst", obs: str = "obs", keep: list[str] | None = None, window: str = "1 hour", slide: str | None = None, delay: str = "1 hour") -> DataFrame:
     """mse, mae, additive_bias and count by time window; sums only, so state is one row for each window and key.
 
     Works on streaming and static frames alike. Rows later than delay are dropped by the watermark on a stream.
