@@ -76,8 +76,9 @@ def binaries(data: np.ndarray, bounds: np.ndarray, kind: pa.DataType = pa.binary
     return pa.Array.from_buffers(kind, len(bounds) - 1, [None, pa.py_buffer((bounds * data.itemsize).astype(np.int32)), pa.py_buffer(data)])
 
 
-def encode_column(column: pa.Array, lookup) -> tuple[np.ndarray, np.ndarray]:
-    """All ids of a column of texts without nulls, and the bounds of each text's ids. lookup gives the ids (bytes) of distinct pieces."""
+def encode_column(column: pa.Array, lookup, atoms: list[str] = ()) -> tuple[np.ndarray, np.ndarray]:
+    """All ids of a column of texts without nulls, and the bounds of each text's ids. lookup gives the ids (bytes) of distinct
+    pieces. A text that holds one of the strings atoms is one piece."""
     column = column.cast(pa.binary())
     at = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int32)
     if at[0] == at[-1]:
@@ -85,6 +86,12 @@ def encode_column(column: pa.Array, lookup) -> tuple[np.ndarray, np.ndarray]:
     data = np.frombuffer(column.buffers()[2], np.uint8)[at[0] : at[-1]]
     at = at - at[0]
     begin = cuts(data)
+    for atom in map(str.encode, atoms):
+        raw, found = data.tobytes(), 0
+        while (found := raw.find(atom, found)) >= 0:
+            i = int(np.searchsorted(at, found, "right"))
+            begin[at[i - 1] : at[i]] = False
+            found = int(at[i])
     begin[at[:-1][np.diff(at) > 0]] = True
     first = np.append(np.flatnonzero(begin), len(data))
     found = binaries(data, first, pa.string()).dictionary_encode()

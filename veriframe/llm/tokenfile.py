@@ -1,19 +1,23 @@
 """Token ids in grammar-compressed files (operator 3).
 
 Documents are encoded with the tokenizers library, each closed with id 0, ordered by doc_id and written as shards of about
-SHARD ids. A shard is compressed by Re-Pair in rounds: each round counts all adjacent pairs within documents, and replaces
-the frequent ones by nonterminals, the most frequent first where two overlap; pairs of the next round may join nonterminals.
-A shard row holds the rules, the expansion length of each rule, the symbols, and the documents' places, so that any range
-of ids is decoded without the rest (`read_range`). The files are Parquet, written and read by Spark in the shared folder.
-
-Null text counts as empty: only the end id. Rows with null doc_id come first; equal doc_ids follow by their ids. Special
-tokens' strings in a text are ordinary text. An empty table gives an empty result.
+SHARD ids. A shard is compressed by Re-Pair: in rounds, all pairs that occur LEAST times or more within documents are
+replaced by nonterminals, the most frequent first where two overlap, until no rule would be used USES times; the pairs of a
+round may join nonterminals of earlier ones. Counts are exact. A shard row holds its terminals, the rules, the expansion
+length of each rule, the symbols, and the documents' places, so that any range of ids is decoded without the rest
+(`read_range`). The files are Parquet, written and read by Spark in the shared folder.
+
+A batch's texts are cut where a pre-token always ends, and the library encodes each distinct piece once. A piece that is one
+pre-token by the pattern (Latin letters, with a space before) skips the library's pattern matching, not its merges. A text
+that holds the string of an added token is one piece, so that the library finds the token in it.
+
+Null text counts as empty: only the end id. Rows with null doc_id come first; equal doc_ids follow by their ids. An empty
+table gives an empty result.
 """
 
 from __future__ import annotations
 
 import functools
-import itertools
 import re
 import struct
 import uuid
@@ -28,12 +32,12 @@ from veriframe.llm.common import byte_batches, drop_shuffles, partitions, shared
 
 SHARD = 1 << 21
 BROADCAST = 1_000_000  # rows of three numbers, one for each shard
-ROUNDS, LEAST, MOST_RULES, BINS = 3, 24, 4096, 16
+LEAST, USES = 16, 8  # a rule takes 12 bytes, and each use saves 2
+BINS = 18
 END = 1 << 19  # stands for the end id within a shard, so that no pair crosses documents
-FIRST = END + 1  # the first nonterminal
-FORMAT = "part int, seq int, n_ids long, doc_ids binary, n_tokens binary, symbols_per_doc binary, rules binary, expansion binary, symbols binary"
-
+FORMAT = "part int, seq int, n_ids long, doc_ids binary, n_tokens binary, symbols_per_doc binary, terminals binary, rules binary, expansion binary, symbols binary"
 
+WORD = re.compile("[ ]?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u02af]+")  # one pre-token
 PLAIN = re.compile(r"[ ]?\S+")
 
 
@@ -41,26 +45,39 @@ class Encoder:
     """The library's ids of a text, those of short pieces remembered in a table of bounded size."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
-        self.tokenizer, self.memo = Tokenizer.from_file(path), {}
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer, self.words, self.memo = Tokenizer.from_file(path), Tokenizer.from_file(path), {}
+        self.words.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split("\t", "isolated"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.atoms = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.tab = self.tokenizer.encode("\t", add_special_tokens=False).ids
 
-    def many(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def many(self, texts: list[str], tokenizer=None) -> list[np.ndarray]:
+        return [np.array(e.ids, "<u4") for e in (tokenizer or self.tokenizer).encode_batch_fast(texts, add_special_tokens=False)]
 
-    def new(self, units: list[str]) -> None:
-        """Plain pieces hold no tab and a tab before one is a token of its own, so many are encoded as one text."""
-        good = [len(self.tab) == 1 and PLAIN.fullmatch(p) is not None for p in units]
-        plain, rest = list(itertools.compress(units, good)), [p for p, g in zip(units, good, strict=True) if not g]
-        for i in range(0, len(plain), 4096):
-            part = plain[i : i + 4096]
-            ids = self.many(["\t".join(part)])[0]
+    def joined(self, units: list[str], tokenizer) -> None:
+        """Encodes many as one text: they hold no tab, and a tab between two is a token of its own."""
+        for i in range(0, len(units), 4096):
+            part = units[i : i + 4096]
+            ids = self.many(["\t".join(part)], tokenizer)[0]
             cut = np.flatnonzero(ids == self.tab[0])
             raw = ids.tobytes()
             begin, end = np.append(0, 4 * cut + 4).tolist(), np.append(4 * cut, len(raw)).tolist()
             self.memo.update(zip(part, map(raw.__getitem__, map(slice, begin, end)), strict=True))
+
+    def new(self, units: list[str]) -> None:
+        word, plain, rest = [], [], []
+        for p in units:
+            if WORD.fullmatch(p):
+                word.append(p)
+            elif PLAIN.fullmatch(p) and not any(a in p for a in self.atoms):
+                plain.append(p)
+            else:
+                rest.append(p)
+        if len(self.tab) != 1:
+            word, plain, rest = [], [], units
+        self.joined(word, self.words)
+        self.joined(plain, self.tokenizer)
         self.memo.update(zip(rest, (x.tobytes() for x in self.many(rest)), strict=True))
 
     def lookup(self, pieces: list[str]) -> list[bytes]:
@@ -82,127 +99,159 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def repair(seq: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Rules (pairs; rule i is nonterminal FIRST + i) and the symbols left."""
+def _find(pairs: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which codes are among the sorted pairs, and as which: by a table of hashes, and by search where two pairs share one."""
+    mix, shift = (np.uint32(0x9E3779B1), np.uint32(32 - BINS)) if code.dtype == np.uint32 else (np.uint64(0x9E3779B97F4A7C15), np.uint64(64 - BINS))
+    slot, shared = np.full(1 << BINS, -1, np.int32), np.zeros(1 << BINS, bool)
+    h = (pairs * mix >> shift).astype(np.int32)
+    slot[h] = np.arange(len(pairs), dtype=np.int32)
+    shared[h[slot[h] != np.arange(len(pairs))]] = True
+    h = (code * mix >> shift).astype(np.int32)
+    which = slot[h]
+    at = np.flatnonzero(which >= 0)
+    which = which[at]
+    hit = pairs[which] == code[at]
+    if shared.any():
+        more = np.flatnonzero(~hit & shared[h[at]])
+        found = np.minimum(np.searchsorted(pairs, code[at[more]]), len(pairs) - 1)
+        which[more], hit[more] = found, pairs[found] == code[at[more]]
+    return at[hit], which[hit]
+
+
+def repair(seq: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rules (pairs; rule i is nonterminal end + 1 + i) and the symbols left; terminals are below end, which is in no pair.
+
+    Only pairs that hold a nonterminal of the round before, or were frequent then, can be frequent: the rest is not counted
+    again.
+    """
     rules, size = [], 0
     seq = seq.astype(np.int32)
-    for _ in range(ROUNDS):
-        if len(seq) < 2:
+    at = np.arange(len(seq) - 1)
+    while True:
+        x, y = seq[at], seq[at + 1]
+        kind, half = (np.uint32, np.uint32(16)) if end + size < 1 << 16 else (np.uint64, np.uint64(32))
+        code = x.astype(kind) << half | y.astype(kind)
+        if len(code):
+            inner = (x != end) & (y != end)
+            at, code = at[inner], code[inner]
+        s = np.sort(code)
+        first = np.append(np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]])), len(s)) if len(s) else np.zeros(1, np.int64)
+        count = np.diff(first)
+        pairs, count = s[first[:-1][count >= LEAST]], count[count >= LEAST]
+        if not len(pairs):
             break
-        x, y = seq[:-1].view(np.uint32), seq[1:].view(np.uint32)
-        h = ((x * np.uint32(0x9E3779B1) ^ y) * np.uint32(0x85EBCA77) >> np.uint32(32 - BINS)).astype(np.intp)
-        ends = np.flatnonzero(seq == END)
-        h[ends[ends < len(h)]] = h[ends[ends > 0] - 1] = 1 << BINS
-        left, right = np.zeros((2, (1 << BINS) + 1), np.uint32)  # of the pairs that share a hash bin, one is counted in this round
-        left[h] = x
-        right[h] = y
-        match = (left[h] == x) & (right[h] == y)
-        count = np.bincount(h[match], minlength=len(left))
-        count[-1] = 0
-        bins = np.argpartition(-count, MOST_RULES)[:MOST_RULES]
-        bins = bins[count[bins] >= LEAST]
-        if not len(bins):
-            break
-        bins = bins[np.argsort(count[bins], kind="stable")]
-        rank = np.zeros(len(left), np.int32)
-        rank[bins] = np.arange(1, len(bins) + 1)
+        found, which = _find(pairs, code)
+        at = at[found]
+        rank = np.empty(len(pairs), np.int32)
+        rank[np.argsort(count, kind="stable")] = np.arange(1, len(pairs) + 1)
+        mine = rank[which]
         pr = np.zeros(len(seq) + 1, np.int32)  # pr[i + 1] is that of the pair at i: the more frequent, the higher
-        pr[1:-1] = np.where(match, rank[h], 0)
-        mid = pr[1:-1]
-        first = np.flatnonzero((mid > pr[:-2]) & (mid >= pr[2:]))
-        uses = np.bincount(mid[first], minlength=len(bins) + 1)
-        number = np.cumsum(uses > 0) - 1
-        chosen = bins[np.flatnonzero(uses) - 1]
-        rules.append(np.stack([left[chosen], right[chosen]], 1).astype(np.int32))
-        seq[first] = FIRST + size + number[mid[first]]
-        size += len(chosen)
+        pr[at + 1] = mine
+        top = (mine >= pr[at + 2]) & (mine >= pr[at])
+        same = np.flatnonzero(top & (mine == pr[at]))  # of one pair at each place, x x x x: every other is taken
+        if len(same):
+            run = np.concatenate([[True], np.diff(same) > 1])
+            top[same] = (np.arange(len(same)) - np.flatnonzero(run)[np.cumsum(run) - 1]) % 2 == 1
+        uses = np.bincount(which[top], minlength=len(pairs))
+        chosen = uses >= USES
+        if not chosen.any():
+            break
+        taken = np.flatnonzero(top & chosen[which])
+        number = np.cumsum(chosen) - 1
+        new = end + 1 + size
+        seq[at[taken]] = new + number[which[taken]]
+        rules.append(np.stack([pairs[chosen] >> half, pairs[chosen] & kind((1 << int(half)) - 1)], 1).astype(np.int32))
+        size += int(chosen.sum())
         stays = np.ones(len(seq), bool)
-        stays[first + 1] = False
+        stays[at[taken] + 1] = False
+        again = pr[1:][stays] > 0
         seq = seq[stays]
+        made = np.flatnonzero(seq >= new)
+        again[made] = True
+        again[made[made > 0] - 1] = True
+        at = np.flatnonzero(again[:-1])
     return np.concatenate(rules) if rules else np.zeros((0, 2), np.int32), seq
 
 
-def lengths(rules: np.ndarray) -> np.ndarray:
-    """Expansion length of each rule."""
-    out = np.ones(len(rules), np.int32)
-    for i, (x, y) in enumerate(rules.tolist()):
-        out[i] = (out[x - FIRST] if x >= FIRST else 1) + (out[y - FIRST] if y >= FIRST else 1)
-    return out
+def lengths(rules: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray]:
+    """Expansion length and depth of each rule; nonterminals are numbered from first on."""
+    size, depth = [], []
+    for x, y in rules.tolist():
+        a, b = x - first, y - first
+        size.append((size[a] if a >= 0 else 1) + (size[b] if b >= 0 else 1))
+        depth.append(1 + max(depth[a] if a >= 0 else 0, depth[b] if b >= 0 else 0))
+    return np.array(size, np.int32), np.array(depth, np.int32)
 
 
-def expand(symbols: np.ndarray, rules: np.ndarray, expansion: np.ndarray) -> np.ndarray:
-    """The ids of some symbols, as unsigned 32-bit integers."""
-    begin = np.concatenate([[0], np.cumsum(expansion)])
-    flat = np.empty(int(begin[-1]), np.uint32)
-    for i, (x, y) in enumerate(rules.tolist()):
-        p = begin[i]
-        for s in (x, y):
-            if s >= FIRST:
-                m = expansion[s - FIRST]
-                flat[p : p + m] = flat[begin[s - FIRST] : begin[s - FIRST] + m]
-            else:
-                m, flat[p] = 1, s
-            p += m
-    big = np.flatnonzero(symbols >= FIRST)
-    rule = symbols[big] - FIRST
+def _join(flat: np.ndarray, begin: np.ndarray, expansion: np.ndarray, symbols: np.ndarray, first: int) -> np.ndarray:
+    """The terminals of symbols; those of rule i are at begin[i] of flat."""
+    big = np.flatnonzero(symbols >= first)
+    rule = symbols[big] - first
     size, source = np.ones(len(symbols), np.int64), np.arange(len(symbols)) + len(flat)
     size[big], source[big] = expansion[rule], begin[rule]
     source -= np.cumsum(size) - size
     place = np.repeat(source, size)
     place += np.arange(len(place))
-    return np.concatenate([flat, np.where(symbols == END, 0, symbols).astype(np.uint32)])[place]
+    return np.concatenate([flat, symbols.astype(np.uint32)])[place]
+
+
+def expand(symbols: np.ndarray, terminals: np.ndarray, rules: np.ndarray, expansion: np.ndarray) -> np.ndarray:
+    """The ids of some symbols, as unsigned 32-bit integers."""
+    first = len(terminals) + 1
+    begin = np.concatenate([[0], np.cumsum(expansion)]).astype(np.int64)
+    flat = np.empty(int(begin[-1]), np.uint32)
+    depth = lengths(rules, first)[1]
+    for d in range(1, int(depth.max(initial=0)) + 1):
+        mine = np.flatnonzero(depth == d)
+        size = expansion[mine].astype(np.int64)
+        at = np.repeat(begin[mine] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+        flat[at] = _join(flat, begin, expansion, rules[mine].ravel(), first)
+    return np.append(terminals, 0).astype(np.uint32)[_join(flat, begin, expansion, symbols, first)]
 
 
 def pack(symbols: np.ndarray) -> bytes:
-    """A head (width in bytes, the number of terminals) and the symbols: nonterminals follow the terminals, the end mark is
-    last, and two bytes are enough if all of them fit."""
-    plain = symbols[symbols < END]
-    base = int(plain.max()) + 1 if len(plain) else 0
-    high = int(symbols.max()) if len(symbols) else 0
-    width = 2 if base + max(high - FIRST + 1, 0) < 0xFFFF else 4
-    top = 0xFFFF if width == 2 else 0xFFFFFFFF
-    out = np.where(symbols < END, symbols, np.where(symbols == END, top, base + symbols.astype(np.int64) - FIRST))
-    return struct.pack("<BI", width, base) + out.astype(f"<u{width}").tobytes()
+    """The width in bytes and the symbols: two bytes are enough if all of them fit."""
+    width = 2 if symbols.max(initial=0) <= 0xFFFF else 4
+    return struct.pack("<B", width) + symbols.astype(f"<u{width}").tobytes()
 
 
 def unpack(raw: bytes) -> np.ndarray:
-    width, base = struct.unpack_from("<BI", raw)
-    x = np.frombuffer(raw, f"<u{width}", offset=5)
-    out = x.astype(np.int32)
-    out[x >= base] += FIRST - base
-    out[x == (0xFFFF if width == 2 else 0xFFFFFFFF)] = END
-    return out
+    return np.frombuffer(raw, f"<u{raw[0]}", offset=1).astype(np.int32)
 
 
 def shard_row(part: int, seq: int, ids: list[int | None], docs: list[bytes], kind: str = "<u4") -> dict:
     end = np.array([END], np.int32)
     text = np.concatenate([x for d in docs for x in (np.frombuffer(d, kind).astype(np.int32), end)])
     width = np.dtype(kind).itemsize
-    rules, symbols = repair(text)
-    ends = np.flatnonzero(symbols == END)
+    used = np.zeros(END + 1, bool)
+    used[text] = True
+    used[END] = True
+    terminals = np.flatnonzero(used[:END])
+    rules, symbols = repair((np.cumsum(used) - 1).astype(np.int32)[text], len(terminals))
+    ends = np.flatnonzero(symbols == len(terminals))
     return {
         "part": part, "seq": seq, "n_ids": len(text), "doc_ids": pa.array(ids, pa.int64()).fill_null(-(1 << 63)).to_numpy().astype("<i8").tobytes(),
         "n_tokens": np.array([len(d) // width + 1 for d in docs], "<i4").tobytes(), "symbols_per_doc": np.diff(ends, prepend=-1).astype("<i4").tobytes(),
-        "rules": rules.astype("<i4").tobytes(), "expansion": lengths(rules).astype("<i4").tobytes(), "symbols": pack(symbols),
+        "terminals": terminals.astype("<i4").tobytes(), "rules": rules.astype("<i4").tobytes(), "expansion": lengths(rules, len(terminals) + 1)[0].astype("<i4").tobytes(), "symbols": pack(symbols),
     }
 
 
 def parts(row: dict) -> tuple[np.ndarray, ...]:
-    """doc_ids, n_tokens, symbols_per_doc, rules, expansion, symbols of a shard row."""
-    kinds = {"doc_ids": "<i8", "n_tokens": "<i4", "symbols_per_doc": "<i4", "rules": "<i4", "expansion": "<i4"}
+    """doc_ids, n_tokens, symbols_per_doc, terminals, rules, expansion, symbols of a shard row."""
+    kinds = {"doc_ids": "<i8", "n_tokens": "<i4", "symbols_per_doc": "<i4", "terminals": "<i4", "rules": "<i4", "expansion": "<i4"}
     out = {k: np.frombuffer(row[k], kind) for k, kind in kinds.items()}
-    return out["doc_ids"], out["n_tokens"], out["symbols_per_doc"], out["rules"].reshape(-1, 2), out["expansion"], unpack(row["symbols"])
+    return out["doc_ids"], out["n_tokens"], out["symbols_per_doc"], out["terminals"], out["rules"].reshape(-1, 2), out["expansion"], unpack(row["symbols"])
 
 
 def read_range(row: dict, start: int, stop: int) -> np.ndarray:
     """The ids start to stop (exclusive) of a shard, expanding only the symbols that cover them."""
-    _, _, _, rules, expansion, symbols = parts(row)
-    size = np.ones(len(symbols), np.int64)
-    size[symbols >= FIRST] = expansion[symbols[symbols >= FIRST] - FIRST]
+    _, _, _, terminals, rules, expansion, symbols = parts(row)
+    first, size = len(terminals) + 1, np.ones(len(symbols), np.int64)
+    size[symbols >= first] = expansion[symbols[symbols >= first] - first]
     to = np.cumsum(size)
     i, j = np.searchsorted(to, start, "right"), np.searchsorted(to, stop, "left") + 1
     begin = int(to[i] - size[i]) if i < len(to) else 0
-    return expand(symbols[i:j], rules, expansion)[start - begin : stop - begin]
+    return expand(symbols[i:j], terminals, rules, expansion)[start - begin : stop - begin]
 
 
 def write(docs: DataFrame, path: str, tokenizer_path: str) -> None:
@@ -219,7 +268,7 @@ def write(docs: DataFrame, path: str, tokenizer_path: str) -> None:
     def encode(batches):
         enc = encoder(tokenizer_path)
         for b in batches:
-            ids, cut = encode_column(b.column(1), enc.lookup)
+            ids, cut = encode_column(b.column(1), enc.lookup, enc.atoms)
             at = np.searchsorted(bounds, b.column(0).fill_null(-(1 << 63)).to_numpy(), "right").astype(np.int32)
             yield pa.RecordBatch.from_arrays([pa.array(at), b.column(0), binaries(ids.astype(kind), cut)], ["part", "doc_id", "ids"])
 
@@ -246,7 +295,7 @@ def write(docs: DataFrame, path: str, tokenizer_path: str) -> None:
     dealt.mapInArrow(shards, FORMAT).write.parquet(path)
 
 
-SCHEMA = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("n_ids", pa.int64()), *((k, pa.binary()) for k in ("doc_ids", "n_tokens", "symbols_per_doc", "rules", "expansion", "symbols"))])
+SCHEMA = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("n_ids", pa.int64()), *((k, pa.binary()) for k in ("doc_ids", "n_tokens", "symbols_per_doc", "terminals", "rules", "expansion", "symbols"))])
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
@@ -256,8 +305,8 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     def documents(batches):
         for b in batches:
             for row in b.to_pylist():
-                ids, n, _, rules, expansion, symbols = parts(row)
-                flat = expand(symbols, rules, expansion).astype("<u4", copy=False)
+                ids, n, _, terminals, rules, expansion, symbols = parts(row)
+                flat = expand(symbols, terminals, rules, expansion).astype("<u4", copy=False)
                 to = np.cumsum(n, dtype=np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(ids, mask=ids == -(1 << 63)), pa.array(row["base"] + to - n), pa.array(n.astype(np.int64)), binaries(flat, np.append(0, to))], ["doc_id", "start", "n_tokens", "ids"])
 
