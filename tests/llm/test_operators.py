@@ -5,6 +5,7 @@ import itertools
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers as P
@@ -12,6 +13,7 @@ import pyarrow as pa
 import pytest
 import tiktoken
 import xxhash
+from tokenizers import Tokenizer
 
 from veriframe.llm import bpe, common, decontaminate, embeddings, langid, pii, queries, simhash, substrings, suffixtree, tokenfile, urlfilter
 
@@ -105,11 +107,11 @@ def bpe_ranks():
 
 def test_token_files(spark, docs, tmp_path):
     table = docs(MIXED + [(50 + i, prose(40)) for i in range(60)])
-    own = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe_ranks(), special_tokens={})
+    own = Tokenizer.from_file(JSON)
     got = tokenfile.digests(table, JSON).orderBy("start").collect()
     ids = {}
     for r in table.collect():
-        ids.setdefault(r.doc_id, []).append(np.array([*own.encode_ordinary(r.text or ""), 0], "<u4").tobytes())
+        ids.setdefault(r.doc_id, []).append(np.array([*own.encode(r.text or "", add_special_tokens=False).ids, 0], "<u4").tobytes())
     at, order = 0, []
     for r in got:
         assert r.start == at and (r.n_tokens, r.ids_crc32) in {(len(x) // 4, zlib.crc32(x)) for x in ids[r.doc_id]}
@@ -119,17 +121,15 @@ def test_token_files(spark, docs, tmp_path):
 
 
 def test_pieces_of_a_batch():
-    from tokenizers import Tokenizer
-
     rng, plain = random.Random(3), Tokenizer.from_file(JSON)
-    plain.encode_special_tokens = True
+    ordinary = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe_ranks(), special_tokens={})
     some = "aAbzéÿßŁłªº漢字かア'’`\"stlvremd019²½_-.,!%*# \n\n \t\r\u0085\u3000\u2003\x1c\x0c×÷一€😀<|Дж"
-    texts = ["", "".join(some), "don't've'S", "<|endoftext|>", "ab é漢. " * 100_000, *("".join(rng.choice(some) for _ in range(rng.randint(0, 14))) for _ in range(5000)), ""]
-    want = [e.ids for e in plain.encode_batch(texts, add_special_tokens=False)]
-    codec = bpe.Codec(RANKS, P.PATTERN)
-    for lookup in (tokenfile.Encoder(JSON).lookup, codec.lookup):
+    texts = ["", "".join(some), "don't've'S", "<|endoftext|>", "a b<|endoftext|> c<|endoftext|>\td <|endoftext|", "ab é漢. " * 100_000, *("".join(rng.choice(some) for _ in range(rng.randint(0, 14))) for _ in range(5000)), ""]
+    encoder, codec = tokenfile.Encoder(JSON), bpe.Codec(RANKS, P.PATTERN)
+    assert encoder.atoms == ["<|endoftext|>"]
+    for lookup, atoms, want in ((encoder.lookup, encoder.atoms, [e.ids for e in plain.encode_batch(texts, add_special_tokens=False)]), (codec.lookup, (), [ordinary.encode_ordinary(t) for t in texts])):
         column = pa.array(["x", *texts, "y"]).slice(1, len(texts))
-        ids, at = bpe.encode_column(column, lookup)
+        ids, at = bpe.encode_column(column, lookup, atoms)
         assert [ids[i:j].tolist() for i, j in itertools.pairwise(at.tolist())] == want
     coded = bpe.binaries(ids, at)
     assert codec.decode_column(coded.slice(1, 900)).to_pylist() == [t.encode() for t in texts[1:901]]
@@ -142,11 +142,16 @@ def test_re_pair():
     texts = [rng.zipf(1.3, 400) % 500 for _ in range(60)] + [np.zeros(0), np.full(300, 7), np.tile([1, 2, 3], 200)]
     raw = [x.astype("<u4").tobytes() for x in texts]
     row = tokenfile.shard_row(0, 0, list(range(len(raw))), raw)
-    ids, n, per_doc, rules, expansion, symbols = tokenfile.parts(row)
-    full = tokenfile.expand(symbols, rules, expansion)
+    ids, n, per_doc, terminals, rules, expansion, symbols = tokenfile.parts(row)
+    full = tokenfile.expand(symbols, terminals, rules, expansion)
+    end = len(terminals)
+    left = Counter(p for p in itertools.pairwise(symbols.tolist()) if end not in p)
+    assert (np.diff(np.flatnonzero(symbols == end), prepend=-1) == per_doc).all() and max(left.values()) < 2 * tokenfile.LEAST  # runs overlap
+    spelt = [x for pair in rules.tolist() for x in pair]
+    assert all(x < end or end < x <= end + i // 2 for i, x in enumerate(spelt)) and (terminals == np.unique(np.concatenate(texts))).all()
     assert row == tokenfile.shard_row(0, 0, list(range(len(raw))), [x.astype("<u2").tobytes() for x in texts], "<u2")
     assert full.tobytes() == b"".join(x + bytes(4) for x in raw) and len(rules) and len(symbols) < len(full) and per_doc.sum() == len(symbols)
-    for x in ([0, 5, 65535, tokenfile.END, tokenfile.FIRST + 9], [0, 5, tokenfile.END, tokenfile.FIRST + 9], []):
+    for x in ([0, 5, 65535], [0, 5, 65536], []):
         assert tokenfile.unpack(tokenfile.pack(np.array(x, np.int32))).tolist() == x
     for a, b in ((0, 1), (5, 700), (len(full) - 3, len(full)), (100, 100)):
         assert (tokenfile.read_range(row, a, b) == full[a:b]).all()
@@ -289,20 +294,32 @@ def brute_repeats(texts, size=400):
     return [(len(t), int(c.sum()), int((np.diff(np.concatenate([[0], c, [0]]).astype(int)) == 1).sum()), hashlib.sha256(bytes(np.frombuffer(t, np.uint8)[~c])).hexdigest()) for t, c in zip(texts, cover, strict=True)]
 
 
-def test_substrings(spark, docs, monkeypatch):
+@pytest.mark.parametrize("large", [False, True])
+def test_substrings(spark, docs, monkeypatch, large):
     assert {(a - b) % substrings.V for a in substrings.COVER for b in substrings.COVER} == set(range(substrings.V))
+    long = prose(3000).encode()
+    whole = substrings.sample(long)
     monkeypatch.setattr(substrings, "CHUNK", 1500)
+    assert all((x == y).all() for x, y in zip(whole, substrings.sample(long), strict=True))
+    if large:  # all classes of more than two are large, and dealt anywhere from the third row of a task on
+        monkeypatch.setattr(substrings, "LOCAL", 2)
+        monkeypatch.setattr(substrings, "LARGE", 2)
     substrings._tables.cache_clear()
     text = "".join(RNG.choice("abcdefg \né") for _ in range(3000))
+    line = text[1000:1450]
     extra = [text, text, text[:500] + prose(30) + text[500:920] + prose(5) + text[1000:1399], text[:399], text[700:1100], "a" * 1000, "x" * 399]
     extra += ["".join("#" if RNG.random() < 0.001 else c for c in text)[RNG.randrange(900) :] for _ in range(10)]
+    extra += [prose(RNG.randrange(1, 90)) + line[RNG.randrange(60) : 450 - RNG.randrange(60)] + prose(RNG.randrange(90)) for _ in range(40)]
     table = docs(MIXED + list(enumerate(extra, 100)) + [(100, text), (None, text[:450])])
     raw = table.select("doc_id", "text").collect()
     want = brute_repeats([(r.text or "").encode() for r in raw])
-    got = substrings.remove_repeats(table).drop("spans").collect()
+    got = substrings.remove_repeats(table).drop("spans", "n_shared").collect()
     assert sorted(map(tuple, got), key=repr) == sorted(((r.doc_id, *x) for r, x in zip(raw, want, strict=True)), key=repr)
     one = list(enumerate([*extra, None, ""]))  # each doc_id once
-    want = [(i, *x) for (i, _), x in zip(one, brute_repeats([(t or "").encode() for _, t in one]), strict=True)]
+    raw = [(t or "").encode() for _, t in one]
+    seen = Counter(t[i : i + substrings.CORE] for t in raw for i in range(len(t) - substrings.CORE + 1) if i % substrings.V in substrings.COVER)
+    shared = [sum(seen[t[i : i + substrings.CORE]] > 1 for i in range(len(t) - substrings.CORE + 1) if i % substrings.V in substrings.COVER) for t in raw]
+    want = [(i, *x, n) for (i, _), x, n in zip(one, brute_repeats(raw), shared, strict=True)]
     assert sorted(map(tuple, substrings.remove_repeats(docs(one)).drop("spans").collect())) == want
     assert substrings.remove_repeats(table.limit(0)).count() == 0
     substrings._tables.cache_clear()
