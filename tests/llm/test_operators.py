@@ -343,23 +343,65 @@ def test_lm_scores(spark, docs):
     assert suffixtree.score(table.limit(0)).count() == 0
 
 
-def test_tree_sums_to_one():
-    rng = np.random.default_rng(0)
-    seq = [1, 0, 2, 0, 1, 1, 2, 2, 0, 1] * 50 + rng.integers(0, 4, 500).tolist()
-    words = [b"a", b"b", b"c", b"d"]
-    counts = np.bincount(seq, minlength=4)
-    table = suffixtree.Words(words, counts, len(seq), 4)
-    pairs, n2 = np.unique([a << 20 | b for a, b in zip(seq, seq[1:], strict=False)], return_counts=True)
-    at = {int(p): i for i, p in enumerate(pairs)}
-    triples, n3 = np.unique([at[a << 20 | b] << 20 | c for a, b, c in zip(seq, seq[1:], seq[2:], strict=False)], return_counts=True)
-    tree = suffixtree.Tree(table, pairs, n2, triples, n3)
-    assert sum(tree.states) > 2
-    unknown = 0.1 / (len(seq) + 0.1 * 5)
-    for a in range(4):
-        for b in range(4):
-            state = [10 ** (table.logp[c] + tree.adjust(np.array([a, b, c]))[2]) for c in range(4)]
-            rest = unknown * 10 ** tree.adjust(np.array([a, b, -1]))[2]
-            assert sum(state) + rest == pytest.approx(1, abs=1e-6)
+def brute_tree(texts, least):
+    """Rates tokens by the definition: dictionaries of runs, states and next symbols; a word below least breaks a context."""
+    words = Counter(w for t in texts for w in t)
+    total, v = sum(words.values()), len(words)
+    root = lambda w: (words.get(w, 0) + 0.1) / (total + 0.1 * (v + 1))
+    count = lambda n: {g: c for g, c in Counter(tuple(t[i : i + n]) for t in texts for i in range(len(t) - n + 1)).items() if c >= least}
+    runs, states, depth = {1: count(1)}, {}, 1
+
+    def p(context, w):
+        while context and context not in states:
+            context = context[1:]
+        if not context:
+            return root(w)
+        stored, scale = states[context]
+        return stored[w] if w in stored else scale * p(context[1:], w)
+
+    while True:
+        runs[depth + 1], new = count(depth + 1), {}
+        for context, n in runs[depth].items():
+            if depth > 1 and context[1:] not in states:
+                continue
+            next_ = {g[-1]: c for g, c in runs[depth + 1].items() if g[:-1] == context}
+            if not next_:
+                continue
+            q = {w: p(context[1:], w) for w in next_}
+            rest, rest_q = max(n - sum(next_.values()), 0) / n, max(1 - sum(q.values()), 1e-12)
+            kl = sum(c / n * np.log(c / n / q[w]) for w, c in next_.items()) + (rest * np.log(rest / rest_q) if rest else 0)
+            if 2 * n * kl > len(next_) + 3 * np.sqrt(2 * len(next_)):
+                new[context] = {w: c / (n + 1) for w, c in next_.items()}, (n - sum(next_.values()) + 1) / (n + 1) / rest_q
+        states |= new
+        if not new:
+            return p, states, root
+        depth += 1
+
+
+def test_tree_by_definition(spark, docs):
+    rng = random.Random(8)
+    some = ["sun moon star".split(), "red moon sun sun".split(), "blue moon red star star".split(), "x red moon blue".split()]
+    texts = [" ".join(w for _ in range(rng.randint(1, 12)) for w in rng.choice(some)) for _ in range(200)]
+    table = docs([*enumerate(texts), (900, "never moon sun zzz"), (901, None)])
+    held = lambda i: zlib.crc32(str(i).encode()) % 10 == 0
+    cut = {r.doc_id: [*(r.text or "").encode().split(), suffixtree.END] for r in table.collect()}
+    p, states, root = brute_tree([t for i, t in cut.items() if not held(i)], 2)
+    assert max(map(len, states)) >= 3
+    got = {r.doc_id: r.score for r in suffixtree.score(table).collect()}
+    common = {w for w, c in Counter(w for i, t in cut.items() if not held(i) for w in t).items() if c >= 2}
+    for i, t in cut.items():
+        want = 0.0
+        for at, w in enumerate(t):
+            context = []
+            while at > len(context) and t[at - 1 - len(context)] in common:
+                context.insert(0, t[at - 1 - len(context)])
+            want += np.log10(p(tuple(context), w))
+        assert got[i] == pytest.approx(want, abs=1e-6)
+    symbols = {w for t in cut.values() for w in t}
+    unseen = root(b"no such word")
+    train = {w for i, t in cut.items() if not held(i) for w in t}
+    for context in states:
+        assert sum(p(context, w) for w in symbols & train) + p(context, b"no such word") == pytest.approx(1, abs=1e-6) and unseen > 0
 
 
 def test_embeddings(spark, monkeypatch):
