@@ -7,13 +7,16 @@ whose lower bound reaches it are links, and only the rest are computed again in
 Each pair of tiles is one row of work with its own key, so tasks are even whatever the data; equal vectors are one row with
 a multiplicity. A tile gives each vector's number of links and a spanning forest of them, never the pairs.
 
-The work is quadratic in distinct vectors by the method's nature; its memory is that of two tiles.
+Each vector goes to as many tasks as there are tiles, so tiles are as large as MOST bytes allow, but small enough that all
+tasks have work. Work and shuffle are quadratic in distinct vectors by the method's nature; memory is that of two tiles.
 Vectors that are null, empty, zero, or hold null or non-finite components link with nothing (n_links 0, their own component).
 Vectors of different lengths don't link. Repeated vec_ids give a row each; a null vec_id takes part and links by its vector.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -21,7 +24,7 @@ from pyspark.sql import functions as F
 
 from veriframe.llm.common import components, partitions, stash
 
-TILE = 2048
+TILE, MOST = 1024, 1 << 26  # rows of a tile at least, and bytes at most
 THRESHOLD = 0.95
 SLACK = 1e-6  # covers the rounding of the bounds themselves
 
@@ -93,18 +96,20 @@ def near_duplicates(rows: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     # a number for each distinct vector: by range of its hash, so that only the ranges' sizes meet in one place
     n = partitions(spark)
     numbered = stash(classes.withColumn("r", F.spark_partition_id()).withColumn("id", F.monotonically_increasing_id()), "classes")
-    sizes = {r["r"]: r["count"] for r in numbered.groupBy("r").count().collect()}  # a row for each partition
+    per = numbered.groupBy("r").agg(F.count("*").alias("count"), F.max(F.size("v")).alias("dims")).collect()  # a row for each partition
+    sizes = {r["r"]: r["count"] for r in per}
     first = {r: sum(c for q, c in sizes.items() if q < r) for r in sizes}
     total = sum(sizes.values())
-    tiles = max(1, -(-total // TILE))
+    tile = max(TILE, min(-(-total // math.ceil(math.sqrt(2 * n))), MOST // (8 * max((r["dims"] for r in per), default=1))))
+    tiles = max(1, -(-total // tile))
     base = F.element_at(F.create_map(*(F.lit(z) for r in first for z in (r, first[r]))), F.col("r")) if first else F.lit(0)
-    numbered = numbered.withColumn("no", base + F.col("id").bitwiseAND((1 << 33) - 1)).withColumn("tile", F.floor(F.col("no") / TILE))
+    numbered = numbered.withColumn("no", base + F.col("id").bitwiseAND((1 << 33) - 1)).withColumn("tile", F.floor(F.col("no") / tile))
     # work item (i, j), i <= j: a tile goes to each item that it is in
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(tiles - 1).cast("long")))
     dealt = numbered.select("no", "n", "v", "tile", other.alias("o"))
     dealt = dealt.select("no", "n", "v", "tile", F.least("tile", "o").alias("i"), F.greatest("tile", "o").alias("j"))
     work = F.col("i") * tiles + F.col("j")
-    dealt = dealt.withColumn("work", work).repartition(min(max(n, tiles), 4096), "work").sortWithinPartitions("work", "tile", "no")
+    dealt = dealt.withColumn("work", work).repartition(max(n, min(tiles * (tiles + 1) // 2, 4 * n)), "work").sortWithinPartitions("work", "tile", "no")
 
     def run(batches):
         item, parts = None, []
