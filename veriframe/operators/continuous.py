@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from veriframe.functions.exprs import angular_difference, clip, corr, div, gmax, ieee_div
 from veriframe.plans.frame import Dims, Field, align, attach, match_missing, pointwise, reduce, resolve_dims, wmean
+from veriframe.plans.ranges import running_sums
 
 
 def _error(f: Column, o: Column, is_angular: bool) -> Column:
@@ -74,16 +75,25 @@ def pearsonr(fcst: Field, obs: Field, *, reduce_dims: Dims = None, preserve_dims
 def spearmanr(fcst: Field, obs: Field, *, reduce_dims: Dims = None, preserve_dims: Dims = None) -> DataFrame:
     """Ranks of the known values of each side (ties share their mean rank), then Pearson's correlation.
 
-    Ranks are found from the counts of distinct values, so that a window holds distinct values and not rows.
+    Ranks come from running sums of the counts of distinct values, and the correlation from the counts of pairs of values, so
+    that only pairs, and not rows, meet their ranks.
     """
     df, dims = align(fcst=fcst, obs=obs)
     keep = resolve_dims(dims, reduce_dims, preserve_dims)
+    pairs = df.groupBy(*keep, "fcst", "obs").agg(F.count("*").alias("n"))
     for side in ("fcst", "obs"):
-        n = df.filter(F.col(side).isNotNull()).groupBy(*keep, side).agg(F.count("*").alias("n"))
-        before = F.sum("n").over(Window.partitionBy(*keep).orderBy(side).rowsBetween(Window.unboundedPreceding, -1))
-        ranks = n.select(*keep, side, (F.coalesce(before, F.lit(0)) + (F.col("n") + 1) / 2).alias(f"{side}_rank"))
-        df = attach(df, ranks, [*keep, side])
-    return reduce(df, dims, keep, spearmanr=corr(F.col("fcst_rank"), F.col("obs_rank")))
+        n = pairs.filter(F.col(side).isNotNull()).groupBy(*keep, side).agg(F.sum("n").alias("n"))
+        ranks = running_sums(n, keep, side, {"upto": F.col("n")}).select(*keep, side, (F.col("upto") - (F.col("n") - 1) / 2).alias(f"{side}_rank"))
+        pairs = attach(pairs, ranks, [*keep, side])
+    known = F.col("fcst_rank").isNotNull() & F.col("obs_rank").isNotNull()
+    known_pairs = pairs.filter(known)
+    n, x, y = F.col("n").cast("double"), F.col("fcst_rank"), F.col("obs_rank")
+    means = known_pairs.groupBy(*keep).agg((F.sum(n * x) / F.sum(n)).alias("mx"), (F.sum(n * y) / F.sum(n)).alias("my"))
+    off = attach(known_pairs, means, keep)
+    dx, dy = F.col("fcst_rank") - F.col("mx"), F.col("obs_rank") - F.col("my")
+    sums = off.groupBy(*keep).agg(F.sum(n * dx * dy).alias("xy"), F.sum(n * dx * dx).alias("xx"), F.sum(n * dy * dy).alias("yy"))
+    sums = sums.select(*keep, F.when((F.col("xx") > 0) & (F.col("yy") > 0), F.col("xy") / F.sqrt("xx") / F.sqrt("yy")).alias("spearmanr"))
+    return attach(pairs.select(*keep).distinct(), sums, keep) if keep else sums
 
 
 def nse(fcst: Field, obs: Field, *, reduce_dims: Dims = None, preserve_dims: Dims = None, weights: Field | None = None, is_angular: bool = False) -> DataFrame:

@@ -15,6 +15,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veriframe.plans.frame import Field, align
+from veriframe.plans.ranges import last_known
+
+TAIL = 20
 
 
 def pool_means(total: np.ndarray, weight: np.ndarray, size: np.ndarray | None = None) -> list[list[float]]:
@@ -108,20 +111,16 @@ def _fit_means(groups: DataFrame) -> DataFrame:
 
 def _carry(marks: DataFrame) -> DataFrame:
     """Each forecast gets the regression of the last block that starts at or before it."""
-
-    def carry(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["fcst", "count"], na_position="first")
-        pdf["regression"] = pdf["regression"].ffill()
-        return pdf[pdf["count"].notna()].astype({"count": "int64"})[["fcst", "regression", "count"]]
-
-    return marks.groupBy().applyInPandas(carry, "fcst double, regression double, count long")
+    out = last_known(marks, "fcst", "regression", F.col("count").isNotNull().cast("int"))
+    return out.filter("count is not null").select("fcst", "regression", "count")
 
 
 def isotonic_band(fcst: Field, obs: Field, *, bootstraps: int, functional: str | None = "mean", quantile_level: float | None = None, solver: Callable | None = None, confidence_level: float = 0.9, min_non_nan: int = 1, seed: int = 0) -> DataFrame:
     """fcst, regression, count, lower and upper: the band of refits on resampled pairs, interpolated at every forecast.
 
-    Each refit is a task of its own. A pair's number of draws in a refit comes from a Poisson variable of its hash, which is
-    the resampling with replacement that can be spread over tasks.
+    Each refit is a task of its own, of distinct pairs and the distinct forecasts. A row's number of draws in a refit comes
+    from a Poisson variable of its hash and, among equal rows, its number, which is the resampling with replacement that can
+    be spread over tasks. Poisson variables end at TAIL, beyond what 53 bits tell from 1.
     """
     if not 0 < confidence_level < 1 or bootstraps < 1:
         raise ValueError("bootstraps is positive and confidence_level between 0 and 1")
@@ -129,27 +128,33 @@ def isotonic_band(fcst: Field, obs: Field, *, bootstraps: int, functional: str |
     base = isotonic_fit(fcst, obs, functional=functional, quantile_level=quantile_level, solver=solver)
     df, dims = align(fcst=fcst, obs=obs)
     keys = [d for d in dims if d in df.columns]
-    pairs = df.filter("fcst is not null and obs is not null").select("fcst", "obs", F.xxhash64(*keys, "fcst", "obs").alias("h"))
-    u = (F.pmod(F.xxhash64("h", "b", F.lit(seed)), F.lit(1 << 30)) + 0.5) / float(1 << 30)
+    pairs = df.filter("fcst is not null and obs is not null").groupBy("fcst", "obs", *(k for k in keys if k not in ("fcst", "obs"))).agg(F.count("*").alias("c"))
+    pairs = pairs.select("fcst", "obs", "c", F.xxhash64(*keys, "fcst", "obs").alias("h"))
     cuts, p, total = [], np.exp(-1.0), 0.0
-    for k in range(8):
+    for k in range(TAIL):
         total += p
         cuts.append(float(total))
         p /= k + 1
-    draws = sum((F.when(u > c, 1).otherwise(0) for c in cuts), F.lit(0))
-    drawn = pairs.withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(bootstraps)))).withColumn("m", draws).filter("m > 0").select("b", "fcst", "obs", "m")
-    grid = base.select("fcst").unionByName(drawn.select("fcst").limit(0)).agg(F.array_sort(F.collect_set("fcst")).alias("grid"))
-
-    def refit(pdf: pd.DataFrame) -> pd.DataFrame:
-        points = np.asarray(pdf["grid"].iloc[0], float)
-        groups = pdf.sort_values("fcst").groupby("fcst")
-        values = [np.repeat(g["obs"].to_numpy(), g["m"]) for _, g in groups]
+
+    def draws(i):
+        u = (F.shiftrightunsigned(F.xxhash64("h", "b", i, F.lit(seed)), 11) + 0.5) / float(1 << 53)
+        return F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < u))
+
+    drawn = pairs.withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(bootstraps))))
+    drawn = drawn.withColumn("m", F.aggregate(F.sequence(F.lit(1), F.col("c").cast("int")), F.lit(0), lambda n, i: n + draws(i)))
+    drawn = drawn.filter("m > 0").groupBy("b", "fcst", "obs").agg(F.sum("m").alias("m"))
+    grid = base.select("fcst").withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(bootstraps))))
+
+    def refit(rows: pd.DataFrame, points: pd.DataFrame) -> pd.DataFrame:
+        groups = rows.sort_values(["fcst", "obs"]).groupby("fcst")
+        values = [np.repeat(g["obs"].to_numpy(float), g["m"]) for _, g in groups]
+        if not values:
+            return pd.DataFrame({"fcst": points["fcst"], "fit": np.nan})
         blocks = pool_values(values, [np.ones(len(v)) for v in values], kernel)
         x, y = np.array(list(groups.groups)), np.repeat([b[0] for b in blocks], [b[1] for b in blocks])
-        at = np.interp(points, x, y, left=np.nan, right=np.nan)
-        return pd.DataFrame({"fcst": points, "fit": at})
+        return pd.DataFrame({"fcst": points["fcst"], "fit": np.interp(points["fcst"], x, y, left=np.nan, right=np.nan)})
 
-    fits = drawn.crossJoin(F.broadcast(grid)).groupBy("b").applyInPandas(refit, "fcst double, fit double")
+    fits = drawn.groupBy("b").cogroup(grid.groupBy("b")).applyInPandas(refit, "fcst double, fit double")
     fit = F.when(~F.isnan("fit"), F.col("fit"))
     low, high = (1 - confidence_level) / 2, (1 + confidence_level) / 2
     band = fits.groupBy("fcst").agg(F.count(fit).alias("n"), F.percentile(fit, low).alias("lower"), F.percentile(fit, high).alias("upper"))

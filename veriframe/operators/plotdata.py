@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veriframe.functions.exprs import div
 from veriframe.operators.continuous import check_alpha, check_huber
-from veriframe.plans.frame import Dims, Field, align, check_binary, match_missing, resolve_dims
+from veriframe.plans.frame import Dims, Field, align, attach, check_binary, match_missing, resolve_dims
+from veriframe.plans.ranges import running_sums
 
 
 def roc(fcst: Field, obs: Field, thresholds: list[float] | str = "auto", *, reduce_dims: Dims = None, preserve_dims: Dims = None, weights: Field | None = None, check_args: bool = True) -> DataFrame:
@@ -40,15 +41,14 @@ def roc(fcst: Field, obs: Field, thresholds: list[float] | str = "auto", *, redu
     groups = sums.select(*keep).distinct() if keep else None
     zeros = (groups.crossJoin(marks) if keep else marks).select(*keep, "t", F.lit(0.0).alias("pos"), F.lit(0.0).alias("neg"))
     sums = sums.unionByName(zeros).groupBy(*keep, "t").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    # below the least threshold (t NULL) comes last: it belongs to the totals only
-    down = Window.partitionBy(*keep).orderBy(F.desc_nulls_last("t"))
-    every = Window.partitionBy(*keep)
-    run = down.rowsBetween(Window.unboundedPreceding, 0)
-    curve = sums.select(*keep, F.col("t").alias("threshold"), div(F.sum("pos").over(run), F.sum("pos").over(every)).alias("POD"), div(F.sum("neg").over(run), F.sum("neg").over(every)).alias("POFD"))
-    curve = curve.filter("threshold is not null")
-    prev = Window.partitionBy(*keep).orderBy(F.desc("threshold"))
-    area = (F.col("POFD") - F.lag("POFD").over(prev)) * (F.col("POD") + F.lag("POD").over(prev)) / 2
-    return curve.withColumn("__a", area).withColumn("AUC", F.sum("__a").over(every)).drop("__a")
+    # below the least threshold t is NULL: that belongs to the totals only
+    totals = sums.groupBy(*keep).agg(F.sum("pos").alias("__p"), F.sum("neg").alias("__n"))
+    run = running_sums(sums.filter("t is not null"), keep, "t", {"hits": F.col("pos"), "alarms": F.col("neg")}, descending=True)
+    curve = attach(run, totals, keep).select(*keep, F.col("t").alias("threshold"), div(F.col("hits"), F.col("__p")).alias("POD"), div(F.col("alarms"), F.col("__n")).alias("POFD"), "pos", "neg", "__p", "__n")
+    # a trapezoid from the threshold above, where POD is less by pos and POFD by neg
+    area = div(F.col("neg"), F.col("__n")) * (2 * F.col("POD") - div(F.col("pos"), F.col("__p"))) / 2
+    areas = curve.groupBy(*keep).agg(F.sum(area).alias("AUC"))
+    return attach(curve.drop("pos", "neg", "__p", "__n"), areas, keep)
 
 
 def murphy_score(fcst: Field, obs: Field, thetas: list[float], *, functional: str, alpha: float, huber_a: float | None = None, decomposition: bool = False, reduce_dims: Dims = None, preserve_dims: Dims = None) -> DataFrame:

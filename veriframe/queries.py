@@ -12,6 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veriframe.functions.exprs import latitude_weight
 from veriframe.operators import bootstrap, categorical, cdf, continuous, discretise, isotonic, plotdata, probability, spatial, stats
 from veriframe.plans.frame import Field, aggregate
 from veriframe.streaming import running
@@ -279,6 +280,14 @@ def roc(spark, sf_dir):
     return rounded(plotdata.roc(*v3(spark, sf_dir), preserve_dims="l_linestatus"), "POD", "POFD", "AUC")
 
 
+@query(f"""WITH {V3_SQL}, t AS (SELECT DISTINCT f AS t FROM v3 UNION SELECT CAST('inf' AS DOUBLE) UNION SELECT 0.0),
+p AS (SELECT t, count(*) FILTER (f >= t AND o = 1) / count(*) FILTER (o = 1) AS pod, count(*) FILTER (f >= t AND o = 0) / count(*) FILTER (o = 0) AS pofd FROM v3, t GROUP BY ALL),
+a AS (SELECT *, (pofd - lag(pofd) OVER w) * (pod + lag(pod) OVER w) / 2 AS a FROM p WINDOW w AS (ORDER BY t DESC))
+SELECT t AS threshold, round(pod, 6) AS "POD", round(pofd, 6) AS "POFD", round(sum(a) OVER (), 6) AS "AUC" FROM a""")
+def roc_overall(spark, sf_dir):
+    return rounded(plotdata.roc(*v3(spark, sf_dir)), "POD", "POFD", "AUC")
+
+
 def _murphy_sql(size: str) -> str:
     return f"""WITH {V1_SQL}, t(theta) AS (VALUES (1.0), (3.0), (5.5)) SELECT l_linestatus, CAST(theta AS DOUBLE) AS theta,
 round(avg(CASE WHEN f IS NULL THEN NULL WHEN f > theta AND o <= theta THEN 0.6 * {size} WHEN f <= theta AND theta < o THEN 0.4 * {size} ELSE 0 END), 6) AS total FROM v1, t GROUP BY ALL"""
@@ -309,6 +318,82 @@ def qq(spark, sf_dir):
     return rounded(plotdata.qq(f, o, quantiles=[0.1, 0.5, 0.9], preserve_dims="l_linestatus"), "value", places=4)
 
 
+_AT = "(len(x) + 0.0)"
+_SORTED = "x[greatest(least(CAST({i} AS BIGINT), len(x) - 1), 0) + 1]"
+_BETWEEN = "greatest(least(q * ({n} + 1 - {a} - {b}) + {a} - 1, {n} - 1), 0)"
+
+
+def _place_sql(a: float, b: float) -> str:
+    place = _BETWEEN.format(n=_AT, a=a, b=b)
+    low = f"floor({place} + 1e-12)"
+    return f"{_SORTED.format(i=low)} + ({_SORTED.format(i=low + ' + 1')} - {_SORTED.format(i=low)}) * greatest({place} - {low}, 0)"
+
+
+def _qq_sql(value: str) -> str:
+    return f"""WITH {V2_SQL}, g AS (SELECT l_linestatus, 'fcst' AS data_source, list_sort(list(f)) AS x FROM v2 GROUP BY ALL UNION ALL SELECT l_linestatus, 'obs', list_sort(list(o)) FROM v2 GROUP BY ALL)
+SELECT l_linestatus, data_source, CAST(q AS DOUBLE) AS quantile, round({value}, 4) AS value FROM g, (VALUES (0.1::DOUBLE), (0.33::DOUBLE), (0.9::DOUBLE)) AS s(q)"""
+
+
+def _qq(method):
+    def run(spark, sf_dir):
+        f, o = v2(spark, sf_dir)
+        return rounded(plotdata.qq(f, o, quantiles=[0.1, 0.33, 0.9], interpolation_method=method, preserve_dims="l_linestatus"), "value", places=4)
+
+    return run
+
+
+_Q1 = f"q * ({_AT} - 1)"
+_QQ = {name: _place_sql(a, b) for name, (a, b) in plotdata.PLACES.items() if name != "linear"} | {
+    "lower": _SORTED.format(i=f"floor({_Q1} + 1e-12)"), "higher": _SORTED.format(i=f"ceil({_Q1} - 1e-12)"), "nearest": _SORTED.format(i=f"round_even({_Q1}, 0)"),
+    "midpoint": f"({_SORTED.format(i=f'floor({_Q1} + 1e-12)')} + {_SORTED.format(i=f'ceil({_Q1} - 1e-12)')}) / 2",
+    "inverted_cdf": _SORTED.format(i=f"ceil(q * {_AT} - 1e-12) - 1"),
+    "averaged_inverted_cdf": f"CASE WHEN abs(q * {_AT} - round(q * {_AT})) < 1e-12 THEN ({_SORTED.format(i=f'round(q * {_AT}) - 1')} + {_SORTED.format(i=f'round(q * {_AT})')}) / 2 ELSE {_SORTED.format(i=f'ceil(q * {_AT}) - 1')} END",
+    "closest_observation": f"CASE WHEN abs(q * {_AT} - 0.5 - floor(q * {_AT} - 0.5 + 1e-12)) < 1e-12 AND CAST(floor(q * {_AT} - 0.5 + 1e-12) AS BIGINT) % 2 = 0 THEN {_SORTED.format(i=f'floor(q * {_AT} - 0.5 + 1e-12) - 1')} ELSE {_SORTED.format(i=f'floor(q * {_AT} - 0.5 + 1e-12)')} END",
+}
+for _name, _value in _QQ.items():
+    QUERIES[f"qq_{_name}"], SQL[f"qq_{_name}"] = _qq(_name), _qq_sql(_value)
+
+
+def _turned(measure):
+    """A measure of directions: discount and tax in steps of 40 degrees."""
+
+    def run(spark, sf_dir):
+        f, o, _ = v1(spark, sf_dir)
+        df = f.df.withColumns({"f": F.col("f") * 40, "o": F.col("o") * 40})
+        return measure(Field(df, f.dims, "f"), Field(df, f.dims, "o"), preserve_dims=KEYS, is_angular=True)
+
+    return run
+
+
+_by_flags("mse_angular", f"avg({_ANGLE} ** 2)", _turned(continuous.mse), value="mse")
+_by_flags("mae_angular", f"avg({_ANGLE})", _turned(continuous.mae), value="mae")
+_by_flags("rmse_angular", f"sqrt(avg({_ANGLE} ** 2))", _turned(continuous.rmse), value="rmse")
+
+
+@query(f"WITH {V1_SQL} SELECT l_returnflag, l_linestatus, round(sum(f * w), 4) AS f FROM v1 GROUP BY ALL")
+def weighted_sum(spark, sf_dir):
+    f, _, w = v1(spark, sf_dir)
+    return rounded(aggregate(f, preserve_dims=KEYS, weights=w, method="sum"), "f", places=4)
+
+
+@query(f"WITH {V1_SQL}, k AS (SELECT *, CASE WHEN f IS NULL THEN NULL WHEN o < 2 AND 2 <= f THEN 0.3 ELSE 0 END + CASE WHEN o < 5 AND 5 <= f THEN 0.6 ELSE 0 END AS over, CASE WHEN f IS NULL THEN NULL WHEN f < 2 AND 2 <= o THEN 0.7 ELSE 0 END + CASE WHEN f < 5 AND 5 <= o THEN 1.4 ELSE 0 END AS under FROM v1) SELECT l_returnflag, l_linestatus, round(avg(over + under), 6) AS firm, round(avg(over), 6) AS overforecast_penalty, round(avg(under), 6) AS underforecast_penalty FROM k GROUP BY ALL")
+def firm_components(spark, sf_dir):
+    f, o, _ = v1(spark, sf_dir)
+    got = categorical.firm(f, o, 0.7, [2, 5], [1, 2], threshold_assignment="upper", include_components=True, preserve_dims=KEYS)
+    return rounded(got, "firm", "overforecast_penalty", "underforecast_penalty")
+
+
+@query("SELECT event_id, CASE WHEN value IS NOT NULL THEN CASE WHEN value > event_id % 100 + 1.0 THEN 1.0 ELSE 0.0 END END AS discretised FROM events")
+def comparative_discretise(spark, sf_dir):
+    e = _table(spark, sf_dir, "events").withColumn("limit", (F.col("event_id") % 100).cast("double"))
+    return discretise.comparative_discretise(Field(e, ("event_id",), "value"), Field(e, ("event_id",), "limit"), ">", abs_tolerance=1)
+
+
+@query("SELECT event_id, round(cos(radians(event_id % 180 - 90)), 6) AS weight FROM events")
+def latitude_weights(spark, sf_dir):
+    return _table(spark, sf_dir, "events").select("event_id", F.round(latitude_weight((F.col("event_id") % 180 - 90).cast("double")), 6).alias("weight"))
+
+
 @query(f"WITH {V1_SQL} SELECT l_linestatus, CAST(t AS DOUBLE) AS threshold, round(avg(CASE WHEN f IS NOT NULL THEN CASE WHEN f >= t THEN 1.0 ELSE 0.0 END END), 6) AS proportion FROM v1, (VALUES (1.0), (5.0)) AS s(t) GROUP BY ALL")
 def proportion_exceeding(spark, sf_dir):
     return rounded(discretise.proportion_exceeding(v1(spark, sf_dir)[0], [1.0, 5.0], preserve_dims="l_linestatus"), "proportion")
@@ -344,6 +429,12 @@ def flip_flop_index(spark, sf_dir):
     return rounded(continuous.flip_flop_index(Field(hourly(spark, sf_dir), ("event_type", "hour"), "v"), "hour"), "flip_flop_index")
 
 
+@query(f"""WITH {_HOURLY}, s AS (SELECT event_type, v, lag(v) OVER (PARTITION BY event_type ORDER BY hour) AS p FROM h), i AS (SELECT event_type, (sum(abs(v - p)) - (max(v) - min(v))) / (count(*) - 2) AS i FROM s GROUP BY ALL)
+SELECT CAST(t AS DOUBLE) AS threshold, round(avg(CASE WHEN i >= t THEN 1.0 ELSE 0.0 END), 6) AS proportion FROM i, (VALUES (5.0), (20.0), (40.0)) AS x(t) GROUP BY ALL""")
+def flip_flop_index_proportion_exceeding(spark, sf_dir):
+    return rounded(continuous.flip_flop_index_proportion_exceeding(Field(hourly(spark, sf_dir), ("event_type", "hour"), "v"), "hour", [5.0, 20.0, 40.0]), "proportion")
+
+
 @query("""WITH a AS (SELECT DISTINCT user_id, value * 1.7 % 360 AS a FROM events WHERE value IS NOT NULL), g AS (SELECT user_id, coalesce(lead(a) OVER w, first_value(a) OVER w + 360) - a AS gap FROM a WINDOW w AS (PARTITION BY user_id ORDER BY a ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))
 SELECT user_id, round(360 - max(gap), 6) AS sector_size FROM g GROUP BY ALL""")
 def encompassing_sector_size(spark, sf_dir):
@@ -370,11 +461,20 @@ def fss_2d(spark, sf_dir):
     return rounded(spatial.fss_2d(*_grid(spark, sf_dir), event_threshold=100, window_size=(3, 4), spatial_dims=("y", "x")), "fss")
 
 
-@query()
+@query(f"""WITH {_GRID}, s AS (SELECT a.y, b.x, coalesce(sum(g.f), 0) AS f, coalesce(sum(g.o), 0) AS o FROM range(0, 31) AS a(y) CROSS JOIN range(-2, 23) AS b(x) LEFT JOIN g ON g.y BETWEEN a.y AND a.y + 2 AND g.x BETWEEN b.x AND b.x + 3 GROUP BY ALL)
+SELECT round(coalesce(greatest(1 - sum((f - o) ** 2) / nullif(sum(f ** 2) + sum(o ** 2), 0), 0), 0), 6) AS fss FROM s""")
 def fss_2d_padded(spark, sf_dir):
     return rounded(spatial.fss_2d(*_grid(spark, sf_dir), event_threshold=100, window_size=(3, 4), spatial_dims=("y", "x"), zero_padding=True), "fss")
 
 
+@query(f"""WITH {_GRID}, s AS (SELECT a.y, a.x, sum(b.f) AS f, sum(b.o) AS o FROM g AS a JOIN g AS b ON b.y BETWEEN a.y AND a.y + 2 AND b.x BETWEEN a.x AND a.x + 3 WHERE a.y <= 28 AND a.x <= 20 GROUP BY ALL)
+SELECT round(coalesce(greatest(1 - sum((f - o) ** 2) / nullif(sum(f ** 2) + sum(o ** 2), 0), 0), 0), 6) AS fss FROM s""")
+def fss_2d_binary(spark, sf_dir):
+    f, o = (x.map(lambda c: (c > 100).cast("double")) for x in _grid(spark, sf_dir))
+    both = Field(f.df.join(o.df.select("y", "x", F.col("o").alias("__o")), ["y", "x"]).drop("o").withColumnRenamed("__o", "o"), ("y", "x"), "f")
+    return rounded(spatial.fss_2d_binary(both, Field(both.df, ("y", "x"), "o"), window_size=(3, 4), spatial_dims=("y", "x")), "fss")
+
+
 _DM = f"""WITH {_HOURLY}, d AS (SELECT event_type, hour, v - 50 AS d, row_number() OVER (PARTITION BY event_type ORDER BY hour) AS i FROM h),
 m AS (SELECT event_type, avg(d) AS mean, count(*) AS n FROM d GROUP BY ALL), e AS (SELECT event_type, i, d.d - mean AS e, n, mean FROM d JOIN m USING (event_type)),
 v AS (SELECT a.event_type, any_value(a.mean) AS mean, CAST(any_value(a.n) AS DOUBLE) AS n, sum(a.e * b.e * CASE WHEN a.i = b.i THEN 1 ELSE 2 END) AS s FROM e AS a JOIN e AS b ON a.event_type = b.event_type AND b.i BETWEEN a.i AND a.i + 2 GROUP BY ALL)
@@ -420,7 +520,9 @@ def crps_cdf(spark, sf_dir):
     return rounded(got, "crps", "underforecast_penalty", "overforecast_penalty")
 
 
-@query()
+@query(f"""WITH {_USERS}, p AS (SELECT user_id, t, c FROM t UNION ALL SELECT user_id, o, c + (c2 - c) * (o - t) / (t2 - t) FROM s JOIN u USING (user_id) WHERE o > t AND o < t2),
+h AS (SELECT user_id, t, (c - CASE WHEN t >= o THEN 1 ELSE 0 END) ** 2 AS h FROM p JOIN u USING (user_id)), k AS (SELECT user_id, (h + lag(h) OVER w) / 2 * (t - lag(t) OVER w) AS a FROM h WINDOW w AS (PARTITION BY user_id ORDER BY t)),
+m AS (SELECT user_id, sum(a) AS a FROM k GROUP BY ALL) SELECT round(avg(a), 6) AS crps FROM m""")
 def crps_cdf_trapz(spark, sf_dir):
     return rounded(cdf.crps_cdf(*_user_cdf(spark, sf_dir), integration_method="trapz"), "crps")
 
@@ -456,17 +558,37 @@ def decreasing_cdfs(spark, sf_dir):
     return cdf.decreasing_cdfs(_bent(spark, sf_dir)[0], "threshold", 0.15)
 
 
-@query()
+@query(f"""WITH {_USERS}, {_BENT}, e AS (SELECT user_id, 0 AS kind, t, c FROM b UNION ALL SELECT user_id, 1, t, max(c) OVER (PARTITION BY user_id ORDER BY t) FROM b UNION ALL SELECT user_id, 2, t, min(c) OVER (PARTITION BY user_id ORDER BY t DESC) FROM b),
+z AS (SELECT user_id, kind, t, c, lead(t) OVER w AS t2, lead(c) OVER w AS c2 FROM e WINDOW w AS (PARTITION BY user_id, kind ORDER BY t)),
+p AS (SELECT user_id, kind, o, t AS a, c AS x, t2 AS b, c2 AS y FROM z JOIN u USING (user_id) WHERE t2 IS NOT NULL AND (o <= t OR o >= t2)
+UNION ALL SELECT user_id, kind, o, t, c, o, c + (c2 - c) * (o - t) / (t2 - t) FROM z JOIN u USING (user_id) WHERE o > t AND o < t2
+UNION ALL SELECT user_id, kind, o, o, c + (c2 - c) * (o - t) / (t2 - t), t2, c2 FROM z JOIN u USING (user_id) WHERE o > t AND o < t2),
+k AS (SELECT user_id, kind, sum(CASE WHEN b <= o THEN (b - a) * (x * x + x * y + y * y) / 3 ELSE (b - a) * ((1 - x) ** 2 + (1 - x) * (1 - y) + (1 - y) ** 2) / 3 END) AS v FROM p GROUP BY ALL),
+best AS (SELECT user_id, kind FROM k QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY v DESC, kind) = 1)
+SELECT user_id, t AS threshold, round(c, 6) AS cdf FROM e JOIN best USING (user_id, kind)""")
 def adjust_fcst_for_crps(spark, sf_dir):
     f, o = _bent(spark, sf_dir)
     return rounded(cdf.adjust_fcst_for_crps(f, "threshold", o), "cdf")
 
 
+@query(f"WITH {_USERS} SELECT user_id, CAST(t AS DOUBLE) AS threshold, CASE WHEN t >= o THEN 0.0 ELSE 1.0 END AS weight FROM u, range(0, 200, 50) AS r(t)")
+def crps_step_threshold_weight(spark, sf_dir):
+    return cdf.crps_step_threshold_weight(_user_cdf(spark, sf_dir)[1], [0, 50, 100, 150], steppoints_in_thresholds=False, weight_upper=False)
+
+
 @query(f"WITH {_USERS} SELECT user_id, CAST(t AS DOUBLE) AS threshold, CASE WHEN t >= o THEN 1.0 ELSE 0.0 END AS cdf FROM u, range(0, 200, 50) AS r(t)")
 def observed_cdf(spark, sf_dir):
     return cdf.observed_cdf(_user_cdf(spark, sf_dir)[1], [0, 50, 100, 150], include_obs_in_thresholds=False)
 
 
+@query(f"""WITH {_HOURLY}, d AS (SELECT event_type, CAST(hour AS DATE) AS day, avg(v) AS v FROM h GROUP BY ALL) SELECT i AS iteration, event_type, day, round(v, 6) AS v FROM d, range(1, 4) AS r(i)""")
+def block_bootstrap_whole(spark, sf_dir):
+    """Blocks as long as the dimension: each copy is the field itself."""
+    e = hourly(spark, sf_dir).withColumn("day", F.to_date("hour")).groupBy("event_type", "day").agg(F.avg("v").alias("v"))
+    n = e.select("day").distinct().count()
+    return rounded(bootstrap.block_bootstrap([Field(e, ("event_type", "day"), "v")], {"day": n}, 3, seed=1)[0], "v")
+
+
 @query()
 def block_bootstrap(spark, sf_dir):
     e = hourly(spark, sf_dir).withColumn("day", F.to_date("hour")).groupBy("event_type", "day").agg(F.avg("v").alias("v"))
