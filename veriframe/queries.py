@@ -581,12 +581,12 @@ def observed_cdf(spark, sf_dir):
     return cdf.observed_cdf(_user_cdf(spark, sf_dir)[1], [0, 50, 100, 150], include_obs_in_thresholds=False)
 
 
-@query(f"""WITH {_HOURLY}, d AS (SELECT event_type, CAST(hour AS DATE) AS day, avg(v) AS v FROM h GROUP BY ALL) SELECT i AS iteration, event_type, day, round(v, 6) AS v FROM d, range(1, 4) AS r(i)""")
+@query(f"""WITH {_HOURLY}, d AS (SELECT event_type, CAST(hour AS DATE) AS day, avg(v) AS v FROM h GROUP BY ALL) SELECT i AS iteration, event_type, day, round(v, 3) AS v FROM d, range(1, 4) AS r(i)""")
 def block_bootstrap_whole(spark, sf_dir):
     """Blocks as long as the dimension: each copy is the field itself."""
     e = hourly(spark, sf_dir).withColumn("day", F.to_date("hour")).groupBy("event_type", "day").agg(F.avg("v").alias("v"))
     n = e.select("day").distinct().count()
-    return rounded(bootstrap.block_bootstrap([Field(e, ("event_type", "day"), "v")], {"day": n}, 3, seed=1)[0], "v")
+    return rounded(bootstrap.block_bootstrap([Field(e, ("event_type", "day"), "v")], {"day": n}, 3, seed=1)[0], "v", places=3)
 
 
 @query()
