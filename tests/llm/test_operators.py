@@ -174,6 +174,52 @@ def test_language(spark, docs):
         assert len({tuple(c) for c in code.tolist()}) == n
 
 
+def test_language_by_definition(spark, docs, monkeypatch):
+    rng = random.Random(4)
+    vocab = {"en": "the and thing with", "de": "der und schön mit", "fr": "le et été avec"}
+    table = [(i, " ".join(rng.choice(vocab[g].split()) for _ in range(rng.randint(1, 9))), g) for i in range(90) for g in [rng.choice(list(vocab))]]
+    table += [(200, "the der le", None), (201, "und the", None), (202, "Ä", None), (203, "the", "en"), (203, "the", "en")]
+
+    def grams(text):
+        b, out = b" " + text.encode().lower() + b" ", []
+        for n in (1, 2, 3, 4):
+            for i in range(len(b) - n + 1):
+                h = 0
+                for j in range(n):
+                    h = (h * 0x01000193 + b[i + j] + j + 1) & 0xFFFFFFFF
+                out.append((h * 0x9E3779B1 & 0xFFFFFFFF) >> 17)
+        return out
+
+    count = {g: Counter() for g in sorted(vocab)}
+    for i, t, g in table:
+        if g and zlib.crc32(str(i).encode()) % 5:
+            count[g].update(grams(t))
+    code = list(zip(*[c for c in itertools.product((1, -1), repeat=3) if c[0] == 1 and -1 in c], strict=True))
+    size = {g: sum(c.values()) for g, c in count.items()}
+    share = {g: lambda h, g=g: (count[g][h] + 0.5) / (size[g] + 0.5 * (1 << 15)) for g in count}
+
+    def weight(h, k):
+        side = {s: [share[g](h) for g, c in zip(count, code, strict=True) if c[k] == s] for s in (1, -1)}
+        return np.log(np.mean(side[1])) - np.log(np.mean(side[-1]))
+
+    bits = range(len(code[0]))
+    margin = [[sum(n / size[g] * weight(h, k) for h, n in count[g].items()) * c[k] for k in bits] for g, c in zip(count, code, strict=True)]
+    scale = [1 / np.mean([abs(m[k]) for m in margin]) for k in bits]
+    worth = [min(max(min(m[k] for m in margin) * scale[k], 0.05), 1) for k in bits]
+    got = langid.identify(docs(table)).collect()
+    for r, (_, t, _) in zip(sorted(got, key=lambda r: r.doc_id), sorted(table, key=lambda x: x[0]), strict=True):
+        at = [np.mean([weight(h, k) for h in grams(t)]) * scale[k] for k in bits]
+        loss = [sum(w * np.exp(-np.clip(c * m, -6, 6)) for w, c, m in zip(worth, row, at, strict=True)) for row in code]
+        p = np.exp(-2 * (np.array(loss) - min(loss)))
+        p /= p.sum()
+        assert r.lang_pred == list(count)[int(np.argmin(loss))] and r.score == pytest.approx(p.max(), abs=1e-4)
+        assert r.ambiguous == (sorted(p)[-1] - sorted(p)[-2] < 0.05)
+    long = (" ".join(t for _, t, _ in table) * 3).encode()
+    whole = sorted(langid.bins(b" " + long.lower() + b" ").tolist())
+    monkeypatch.setattr(langid, "SLICE", 700)
+    assert sorted(x for piece in langid._pieces(long) for x in langid.bins(piece).tolist()) == whole
+
+
 def brute_simhash(text, size=3):
     w = (text or "").encode().lower().split()
     grams = [b" ".join(w[i : i + size]) for i in range(len(w) - size + 1)] if len(w) >= size else [b" ".join(w)] if w else []
@@ -456,3 +502,20 @@ def test_pipeline(spark, docs, tmp_path):
     own = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe_ranks(), special_tokens={})
     assert sorted(out) == [1, 5, 6] and own.decode(np.frombuffer(out[1].ids, "<u4").tolist()) == text
     assert "[EMAIL]" in own.decode(np.frombuffer(out[5].ids, "<u4").tolist()) and len(queries.QUERIES) == 10
+
+
+def test_pipeline_odd_tables(spark, docs, tmp_path):
+    import corpus_pipeline
+
+    spark.createDataFrame([(1, prose(30)), (2, None)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    same = prose(60)
+    table = docs([(None, same, None), (2, same, None), (3, None, None), (4, "", "en"), (5, prose(50), None), (6, prose(50), "en")]).drop("n_chars", "score")
+    table = table.unionByName(docs([(5, "again", "en")]).drop("n_chars", "score")).unionByName(docs([(2, same, "en")]).drop("n_chars", "score"))
+    for rows in (table, table.limit(0)):
+        stage = common.stash(rows, "odd")
+        for _, f in corpus_pipeline.STAGES[:-1]:
+            stage = common.stash(f(spark, stage, str(tmp_path)), "odd")
+            assert stage.columns == table.columns
+        left = sorted(r.doc_id for r in stage.collect())
+        assert left == ([2, 5, 5, 6] if rows is table else [])
+        assert corpus_pipeline.STAGES[-1][1](spark, stage, str(tmp_path)).count() == len(left)

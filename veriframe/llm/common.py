@@ -23,10 +23,12 @@ def ascii_lower(c: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; one of its own only where the session names none (tests)."""
+    """The folder that all executors share. Only a session on one machine (tests) may do without naming one."""
     sc = spark.sparkContext
     d = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not d:
+        if not sc.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
         d = tempfile.mkdtemp(prefix="veriframe-")
         sc.setCheckpointDir(d)
     return d

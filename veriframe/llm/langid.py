@@ -50,24 +50,25 @@ def codewords(n: int, seed: int = 7) -> np.ndarray:
     return best[1]
 
 
-def bins(text: bytes) -> np.ndarray:
-    """Hash bins of the n-grams of a text, for each order, one after the other."""
-    b = np.frombuffer(b" " + text.lower() + b" ", np.uint8).astype(np.uint32)
-    out, h = [], np.zeros(len(b), np.uint32)
+def bins(padded: bytes) -> np.ndarray:
+    """Hash bins of the n-grams that start within the first SLICE bytes, for each order, one after the other."""
+    b = np.frombuffer(padded, np.uint8).astype(np.uint32)
+    out, h = [np.zeros(0, np.int32)], np.zeros(len(b), np.uint32)
     for n in range(1, max(ORDERS) + 1):
         if len(b) < n:
             break
         h = (h[: len(b) - n + 1] if n > 1 else h) * np.uint32(0x01000193) + b[n - 1 :] + np.uint32(n)
         if n in ORDERS:
-            x = h * np.uint32(0x9E3779B1)
+            x = h[:SLICE] * np.uint32(0x9E3779B1)
             out.append((x >> np.uint32(17)).astype(np.int32))
     return np.concatenate(out)
 
 
 def _pieces(text: bytes):
-    """Slices that together have each n-gram once, but for those over a slice's edge."""
-    for i in range(0, max(1, len(text)), SLICE):
-        yield text[i : i + SLICE]
+    """Slices of a text with a blank on both sides, overlapping so that each n-gram starts in one and lies within it."""
+    padded = b" " + text.lower() + b" "
+    for i in range(0, len(padded), SLICE):
+        yield padded[i : i + SLICE + max(ORDERS) - 1]
 
 
 def count_bins(batches):
