@@ -13,9 +13,10 @@ With a similarity asked for (the pipeline's stage), links are pairs whose sets o
 similarity. At 0.8 fingerprints differ in about 10 bits, with a wide spread, so that no budget of bits finds all such pairs;
 candidates come from the sets instead, without misses. In any one order of the shingles, two such sets share one of their
 first n - ceil(similarity * n) + 1; shingles common in a sample come last in the order, so that few documents share one.
-Each key's documents are first compared with one of them, and after that only those in different components with each other.
-The parities of SKETCH buckets differ in at most as many places as two sets do, which rules out most pairs before the sets
-themselves are made again and compared.
+Each key's documents are first compared with one of them, and after that only those in different components with each other,
+by size class and sketch within a task, so that no list of all pairs is made.
+The parities of as many buckets as there are shingles (SKETCH at least) differ in at most as many places as two sets do, which rules out most pairs; for the rest the
+text of one comes to the other's, at most GROUP to a copy of it, and the sets are made again and compared.
 
 Null or blank texts have fingerprint zero and link like any other; a row with null doc_id takes part, and component_id is
 the smallest non-null doc_id reached. Repeated rows give a row each. An empty table gives an empty result.
@@ -36,7 +37,8 @@ CAP = 256
 PAIRS = [(0, 1), (1, 2), (2, 3), (3, 0), (0, 2), (1, 3)]
 SEED = 42
 SAMPLE, COMMON = 5_000, 500_000  # documents sampled and shingles listed for the order; they decide no result
-ROUNDS, SKETCH = 2, 1024
+ROUNDS, SKETCH, GROUP = 2, 1024, 256
+SMALL = 16
 BROADCAST_ROWS = 500_000
 
 
@@ -216,7 +218,8 @@ def shingle_sets(docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
                 sizes.append(len(h))
                 keys.append(order[:first].view(np.int64))
                 fp.append(xxhash.xxh64_intdigest(h.tobytes(), SEED))
-                odd = np.bincount((h % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH) & 1
+                width = max(SKETCH, 1 << max(len(h) - 1, 0).bit_length())  # at least as many as there are shingles
+                odd = np.bincount((h % np.uint64(width)).astype(np.int64), minlength=width) & 1
                 sketch.append(np.packbits(odd.astype(bool)).view(np.int64))
             cols = [pa.array(np.array(fp, np.uint64).view(np.int64)), pa.array(np.array(sizes, np.int64)), _lists(keys), _lists(sketch)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *cols], ["doc_id", "th", "fp", "n", "keys", "sketch"])
@@ -243,6 +246,66 @@ def _repeated(batches):
         yield pa.RecordBatch.from_arrays([pa.array(x) for x in last], ["h", "fp", "n"])
 
 
+def fold(sketch: np.ndarray, size: int) -> np.ndarray:
+    """A sketch of half as many buckets is the sum of both halves."""
+    while len(sketch) > size:
+        sketch = sketch[: len(sketch) // 2] ^ sketch[len(sketch) // 2 :]
+    return sketch
+
+
+def apart(sketch: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """In how many places the sketches of pairs differ, both with the lesser one's number of buckets."""
+    size = np.array([len(x) for x in sketch])
+    least, out = np.minimum(size[i], size[j]), np.zeros(len(i), np.int64)
+    for n in np.unique(least):
+        at = np.flatnonzero(least == n)
+        rows = np.unique(np.concatenate([i[at], j[at]]))
+        x = np.stack([fold(sketch[r], n) for r in rows]).view(np.uint64)
+        a, b = np.searchsorted(rows, i[at]), np.searchsorted(rows, j[at])
+        step = max(1, (1 << 20) // int(n))
+        for d in range(0, len(at), step):
+            out[at[d : d + step]] = np.bitwise_count(x[a[d : d + step]] ^ x[b[d : d + step]]).sum(1)
+    return out
+
+
+def _close(similarity: float):
+    """The pairs of a group (h, size), of different components, that sizes and sketches leave; no other pair is emitted.
+
+    In a group of more than SMALL sets, those outside its largest component are compared with all.
+    """
+
+    def some(at, root):
+        """Places i, j of the pairs to look at, in portions."""
+        size = np.diff(at)
+        for m in range(2, SMALL + 1):
+            base, (i, j) = at[:-1][size == m][:, None], np.triu_indices(m, 1)
+            yield (base + i).ravel(), (base + j).ravel()
+        for s, m in zip(at[:-1][size > SMALL].tolist(), size[size > SMALL].tolist(), strict=True):
+            _, which, n = np.unique(root[s : s + m], return_inverse=True, return_counts=True)
+            few = np.flatnonzero(which != n.argmax())
+            place = np.full(m, -1)
+            place[few] = np.arange(len(few))
+            for c in range(0, len(few), step := max(1, (1 << 18) // m)):
+                mine = few[c : c + step]
+                i, j = np.nonzero((which[mine][:, None] != which[None]) & (place[None] < place[mine][:, None]))
+                yield s + mine[i], s + j
+
+    def run(batches):
+        for got in whole_groups(batches, ["h", "size"]):
+            fp, n, root, home = got["fp"], got["n"], got["root"], got["own"] == got["size"]
+            for i, j in some(starts(got, ["h", "size"]), root):
+                most = (n[i] + n[j]) * ((1 - similarity) / (1 + similarity)) + 1e-6
+                ok = (root[i] != root[j]) & (home[i] | home[j]) & (np.abs(n[i] - n[j]) <= most)
+                i, j, most = i[ok], j[ok], most[ok]
+                near = apart(got["sketch"], i, j) <= most
+                i, j = i[near], j[near]
+                i, j = np.where(fp[i] < fp[j], i, j), np.where(fp[i] < fp[j], j, i)
+                if len(i):
+                    yield pa.RecordBatch.from_arrays([pa.array(v) for v in (fp[i], n[i], fp[j], n[j])], ["a", "na", "b", "nb"])
+
+    return run
+
+
 def _similar(docs: DataFrame, shingle: int, similarity: float) -> tuple[DataFrame, DataFrame]:
     """The rows' sets, and of each distinct one (fp) its component (root) under the similarity."""
     spark = docs.sparkSession
@@ -252,40 +315,67 @@ def _similar(docs: DataFrame, shingle: int, similarity: float) -> tuple[DataFram
     dealt = dealt.repartition(partitions(spark), "h").sortWithinPartitions("h")
     keyed = stash(dealt.mapInArrow(_repeated, "h long, fp long, n long"), "keyed")
     null = F.lit(-(1 << 63))
+    alone = not rows.groupBy("doc_id", "th").count().filter("count > 1").limit(1).count()
     owners = rows.groupBy("fp").agg(F.min(F.struct(F.coalesce("doc_id", null).alias("k"), "th")).alias("one"), F.first("sketch").alias("sketch"))
     owners = stash(owners.join(keyed.select("fp").distinct(), "fp", "left_semi"), "owners")
     sketches = owners.select("fp", "sketch")
     named = keyed.withColumn("root", F.col("fp"))
     edges = None
 
-    def make_sets(batches):
-        for b in batches:
-            sets = [shingle_set(x, shingle).view(np.int64) for x in binary(b.column(1))]
-            yield pa.RecordBatch.from_arrays([b.column(0), _lists(sets)], ["fp", "set"])
+    def check(batches):
+        hub, whose = None, None
+        for batch in batches:
+            a, b = [], []
+            for at, (own, other, t) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), binary(batch.column(2)), strict=True)):
+                here = shingle_set(t, shingle)
+                if other is None:
+                    hub, whose = here, own
+                    continue
+                if own != whose:
+                    raise ValueError("a pair without its other text")
+                both = len(np.intersect1d(hub, here, assume_unique=True))
+                if both >= (len(hub) + len(here) - both) * similarity - 1e-9:
+                    a.append(other)
+                    b.append(own)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    def folded(x, other):  # sets that can be similar have at most twice as many buckets
+        half = (F.size(x) / 2).cast("int")
+        sums = F.transform(F.sequence(F.lit(1), half), lambda i: F.element_at(x, i).bitwiseXOR(F.element_at(x, i + half)))
+        return F.when(F.size(x) > F.size(other), sums).otherwise(F.col(x))
 
     def near(pairs):
         most = (F.col("na") + F.col("nb")) * F.lit((1 - similarity) / (1 + similarity)) + 1e-6  # places in which the sets differ
         pairs = pairs.filter(F.abs(F.col("na") - F.col("nb")) <= most).distinct()
         pairs = pairs.join(sketches.toDF("a", "xa"), "a").join(sketches.toDF("b", "xb"), "b")
-        apart = F.aggregate(F.zip_with("xa", "xb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
-        pairs = stash(pairs.filter(apart <= most).select("a", "b", "na", "nb"), "pairs")
-        wanted = stash(owners.select("fp", "one.*").join(pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct(), "fp", "left_semi"), "wanted")
+        pairs = pairs.withColumns({"xa": folded("xa", "xb"), "xb": folded("xb", "xa")})
+        differ = F.aggregate(F.zip_with("xa", "xb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
+        pairs = stash(pairs.filter(differ <= most).select("a", "b"), "pairs")
+        # the texts of a come to that of b, which is sent once for each GROUP of them
+        groups = pairs.groupBy("b").agg(F.ceil(F.count("*") / GROUP).alias("parts"))
+        pairs = pairs.join(groups, "b").select("a", "b", F.pmod(F.xxhash64("a"), F.col("parts")).alias("part"))
+        wanted = pairs.select(F.col("a").alias("fp"), "b", "part", "a").unionByName(pairs.select(F.col("b").alias("fp"), "b", "part", F.lit(None).cast("long").alias("a")).distinct())
+        wanted = stash(owners.select("fp", "one.*").join(wanted, "fp").drop("fp"), "wanted")
         text = F.col("text").cast("string")
         texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), null).alias("k"), F.xxhash64(text).alias("th"), text.alias("text"))
         few = wanted.count() <= BROADCAST_ROWS
-        texts = texts.join(F.broadcast(wanted) if few else wanted, ["k", "th"]).select("fp", "text")
-        sets = stash(texts.mapInArrow(make_sets, "fp long, set array<long>"), "pair_sets").dropDuplicates(["fp"])
-        both = pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
-        both = both.select("a", "b", "na", "nb", F.size(F.array_intersect("sa", "sb")).alias("both"))
-        return stash(both.filter(F.col("both") >= (F.col("na") + F.col("nb") - F.col("both")) * F.lit(similarity) - 1e-9).select("a", "b"), "similar")
+        # rows equal in id and text are one
+        texts = texts if alone else texts.dropDuplicates(["k", "th"])
+        texts = texts.join(F.broadcast(wanted) if few else wanted, ["k", "th"]).select("b", "part", "a", "text")
+        dealt = texts.repartition(partitions(spark), "b", "part").sortWithinPartitions("b", "part", F.asc_nulls_first("a"))
+        return stash(dealt.select("b", "a", "text").mapInArrow(check, "a long, b long"), "similar")
 
     for turn in range(ROUNDS + 1):
         groups = named.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min(F.struct(F.xxhash64("fp", F.lit(turn)), "fp", "n", "root")).alias("hub")).filter("low <> high")
         if turn < ROUNDS:
             pairs = named.join(groups.select("h", "hub"), "h").filter("root <> hub.root").select(F.col("fp").alias("a"), F.col("n").alias("na"), F.col("hub.fp").alias("b"), F.col("hub.n").alias("nb"))
         else:
-            left = named.join(groups.select("h"), "h").select("h", "fp", "n", "root")
-            pairs = left.toDF("h", "a", "na", "ra").join(left.toDF("h", "b", "nb", "rb"), "h").filter("ra <> rb and a < b").select("a", "na", "b", "nb")
+            # similar sets differ in size by less than a class: each goes to its own class and, as a guest, to the next one
+            left = named.join(groups.select("h"), "h").join(sketches, "fp")
+            own = F.floor(F.log(F.col("n")) / F.lit(-float(np.log(similarity - 1e-3)))).cast("int")
+            left = left.select("h", "fp", "n", "root", "sketch", F.explode(F.array(own, own + 1)).alias("size"), own.alias("own"))
+            dealt = left.repartition(partitions(spark), "h", "size").sortWithinPartitions("h", "size", "fp")
+            pairs = dealt.mapInArrow(_close(similarity), "a long, na long, b long, nb long")
         found = near(pairs)
         edges = found if edges is None else edges.unionByName(found)
         roots = stash(components(edges), "roots").withColumnRenamed("node", "fp")
@@ -306,5 +396,7 @@ def keep_one(docs: DataFrame, shingle: int = 3, similarity: float | None = None)
     keys = [F.coalesce(F.col("doc_id").cast("long"), F.lit(null)).alias("__k"), F.xxhash64(F.col("text").cast("string")).alias("__th")]
     kept = docs.select("*", *keys).join(first, ["__k", "__th"], "left_semi")
     if fps.select(F.coalesce("doc_id", F.lit(null)).alias("__k"), F.col("th").alias("__th")).join(first, ["__k", "__th"], "left_semi").groupBy("__k", "__th").count().filter("count > 1").limit(1).count():
-        kept = kept.dropDuplicates(["__k", "__th"])  # equal rows are one document
+        # rows equal in id and text are one document: of those that differ elsewhere, the one with the least hash stays
+        row = [F.col(f"`{c}`") for c in docs.columns]
+        kept = kept.groupBy("__k", "__th").agg(F.min_by(F.struct(*row), F.xxhash64(*row)).alias("__row")).select("__row.*")
     return kept.select(*(F.col(f"`{c}`") for c in docs.columns))
