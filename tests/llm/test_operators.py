@@ -371,7 +371,7 @@ def test_substrings(spark, docs, monkeypatch, large):
     substrings._tables.cache_clear()
 
 
-def test_lm_scores(spark, docs):
+def test_lm(spark, docs):
     table = [(i, " ".join(RNG.choice(["alpha beta", "Gamma delta eps", "solo", "beta gamma"]) for _ in range(50))) for i in range(150)]
     table = docs([*table, (900, None), (901, "never seen words"), (None, "solo"), (1, table[1][1])])
     raw, got = table.collect(), suffixtree.score(table).collect()
