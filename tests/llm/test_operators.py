@@ -11,6 +11,7 @@ import numpy as np
 import public_tokenizers as P
 import pyarrow as pa
 import pytest
+import regex
 import tiktoken
 import xxhash
 from tokenizers import Tokenizer
@@ -99,6 +100,59 @@ def test_pii_terms_anywhere(spark, docs):
             assert {m.span() for m in re.finditer(r"(?i)\bzebrakeeper\b", far)} <= {(int(s), int(e)) for _, s, e in (x.split(":") for x in r.spans.split(","))}
 
 
+def brute_disclosure(rows):
+    """The spans of distinct (id, text) rows by the definition."""
+    total, ents, free, near, n_ent, n_both, n_term = len(rows), [], [], set(), Counter(), Counter(), Counter()
+    for _, t in rows:
+        spans = [(k, int(a), int(b)) for k, a, b in (x.split(":") for x in base(t))]
+        own = [(str(["email", "ip", "card", "phone"].index(k)) + ":" + (t[a:b].lower() if k in ("email", "ip") else re.sub("[^0-9]", "", t[a:b])), a, b) for k, a, b in spans]
+        terms = [(m[0].lower(), *m.span()) for m in regex.finditer(r"[\p{L}\p{N}]{3,}+", t or "")]
+        open_ = [x for x in terms if all(b <= x[1] or x[2] <= a for _, a, b in own)] if own else []
+        near |= {(e, w) for e, a, b in own for w, s, z in open_ if (z <= a and s >= a - pii.REACH) or (s >= b and z <= b + pii.REACH)}
+        n_ent.update({e for e, _, _ in own})
+        n_term.update({w for w, _, _ in terms})
+        n_both.update({(e, w) for e in {e for e, _, _ in own} for w in {w for w, _, _ in open_}})
+        ents.append({e for e, _, _ in own})
+        free.append(open_)
+    told = {}
+    for e, w in near:
+        if n_ent[e] >= pii.SUPPORT and n_both[e, w] >= pii.SUPPORT:
+            info = np.log2(total / n_ent[e])
+            share = np.log2(n_both[e, w] * total / (n_ent[e] * n_term[w])) / info if info > 0 else 0.0
+            if share >= pii.GENERALISE:
+                told[e, w] = 5 if share >= pii.REMOVE else 4
+    out = []
+    for (i, t), mine, places in zip(rows, ents, free, strict=True):
+        more = []
+        for w, s, z in places:
+            kind = max((told.get((e, w), 0) for e in mine), default=0)
+            more += [(kind, s, z)] if kind else []
+        out.append((i, ",".join([*base(t), *(f"{pii.KINDS[k]}:{s}:{z}" for k, s, z in sorted(more))])))
+    return sorted(out, key=repr)
+
+
+def test_pii_by_definition(spark, docs):
+    rng = random.Random(12)
+    names = ["zoe@mail.example.com", "10.20.30.40", "+49 30 1234 5678", "bo@x.org"]
+    hints = [["quartz", "zebra"], ["harbour"], ["Łódź", "mill7"], ["kettle", "x1y"]]
+    rows = []
+    for i in range(120):
+        text = [rng.choice(WORDS) for _ in range(rng.randint(3, 40))]
+        for k in rng.sample(range(4), rng.choice([0, 0, 0, 1, 1, 2])):
+            at = rng.randrange(len(text))
+            text[at:at] = rng.choice([[names[k]], [names[k], *hints[k]], [hints[k][0].upper(), "of", names[k]], [*hints[k], *text[:12], names[k]]])
+        if rng.random() < 0.1:
+            text.append(rng.choice(hints)[0])
+        rows.append((i, " ".join(text)))
+    rows += [(500, "1.2.3.4" * 30), (501, "a@b.c " * 200 + "quartz"), (502, None), (None, rows[3][1]), (503, f"zoe@mail.example.com\nquartz{names[1]}harbour zebra_zebra")]
+    want = brute_disclosure([(i, t or "") for i, t in rows])
+    assert any("general:" in x for _, x in want) and any("remove:" in x for _, x in want)
+    got = [(r.doc_id, r.spans) for r in pii.report(docs([*rows, rows[0], rows[0]])).collect()]
+    for x in [next(g for g in got if g[0] == 0)] * 2:
+        got.remove(x)
+    assert sorted(got, key=repr) == want
+
+
 def bpe_ranks():
     import base64
 
@@ -303,6 +357,22 @@ def test_hot_fingerprints(spark, monkeypatch):
     assert sorted(map(sorted, groups.values())) == sorted(map(sorted, other.values()))
 
 
+def test_group_above_pairs():
+    rng = np.random.default_rng(6)
+    open_bits = rng.choice(1 << 16, 2300, replace=False).astype(np.uint64)
+    fp = np.sort((np.uint64(0x0000_1234_5678_9ABC) | open_bits << np.uint64(48)).view(np.int64))  # segments 0 to 2 are equal
+    batch = pa.RecordBatch.from_arrays([pa.array(fp), pa.array(np.zeros(len(fp), np.int64)), pa.array(np.zeros(len(fp), np.int64))], ["fp", "k", "sub"])
+    (edges,) = simhash.link_groups([batch.slice(0, 700), batch.slice(700)])
+    forest, place = common.Forest(len(fp)), {int(x): i for i, x in enumerate(fp)}
+    for a, b in zip(edges.column(0).to_pylist(), edges.column(1).to_pylist(), strict=True):
+        forest.join(place[a], place[b])
+    want, u = common.Forest(len(fp)), fp.view(np.uint64)
+    for i in range(len(fp)):
+        for j in np.flatnonzero(np.bitwise_count(u[i] ^ u[i + 1 :]) <= 2).tolist():
+            want.join(i, i + 1 + j)
+    assert [forest.root(i) for i in range(len(fp))] == [want.root(i) for i in range(len(fp))]
+
+
 def test_decontamination(spark, docs):
     item = prose(40)
     w = item.split()
@@ -469,13 +539,15 @@ def test_embeddings(spark, monkeypatch):
     want = sorted((ids[i], sum(near(i, j) for j in index if i != j), label[i], ids[i] == label[i]) for i in index)
     assert sorted(map(tuple, embeddings.near_duplicates(df).collect())) == want
     assert embeddings.near_duplicates(df.limit(0)).count() == 0
+    odd = spark.createDataFrame([(None, [1.0, 0.0]), (7, [2.0, 0.0]), (None, [0.0, 1.0])], "vec_id long, embedding array<double>")
+    assert sorted(map(tuple, embeddings.near_duplicates(odd).collect()), key=repr) == sorted([(None, 1, 7, False), (7, 1, 7, True), (None, 0, None, True)], key=repr)
 
 
 def test_bpe(spark, docs):
     own = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe_ranks(), special_tokens={})
     table = docs(MIXED)
     got = bpe.decode(bpe.encode(table, RANKS, P.PATTERN, ("doc_id", "text")), RANKS, P.PATTERN).collect()
-    assert len(got) == len(MIXED)
+    assert len(got) == len(MIXED) and bpe.decode(bpe.encode(table.limit(0), RANKS, P.PATTERN), RANKS, P.PATTERN).count() == 0
     for r in got:
         assert np.frombuffer(r.ids, "<u4").tolist() == own.encode_ordinary(r.text or "") and bytes(r.decoded).decode() == (r.text or "") and r.n_tokens * 4 == len(r.ids)
     keys = [str(i).encode() for i in range(1000)]
