@@ -14,9 +14,9 @@ similarity. At 0.8 fingerprints differ in about 10 bits, with a wide spread, so
 candidates come from the sets instead, without misses. In any one order of the shingles, two such sets share one of their
 first n - ceil(similarity * n) + 1; shingles common in a sample come last in the order, so that few documents share one.
 Each key's documents are first compared with one of them, and after that only those in different components with each other,
-by size class and sketch within a task, so that no list of all pairs is made.
-The parities of as many buckets as there are shingles (SKETCH at least) differ in at most as many places as two sets do, which rules out most pairs; for the rest the
-text of one comes to the other's, at most GROUP to a copy of it, and the sets are made again and compared.
+by size class and sketch within a task, so that no list of all pairs is made. A sketch holds the parities of as many buckets
+as there are shingles (SKETCH at least); they differ in at most as many places as two sets do, which rules out most pairs. For
+the rest the text of one comes to the other's, at most GROUP to a copy of it, and the sets are made again and compared.
 
 Null or blank texts have fingerprint zero and link like any other; a row with null doc_id takes part, and component_id is
 the smallest non-null doc_id reached. Repeated rows give a row each. An empty table gives an empty result.
