@@ -210,18 +210,6 @@ def test_fss(spark, case):
         assert one(spatial.fss_2d(f, o, event_threshold=t, window_size=(w, w), spatial_dims=("y", "x"), zero_padding=zero)) == pytest.approx(want, rel=1e-5)
 
 
-def test_isotonic(spark):
-    y = [1, 2, 3, 0, 5, 4, 1, 7]
-    f, o, w = make(spark, [(i, float(i), float(v), float(k)) for i, (v, k) in enumerate(zip(y, [1, 1, 1, 1, 2, 1, 1, 1], strict=True))], "i long, f double, o double, w double", "i", "f", "o", "w")
-    fit = lambda **k: [r.regression for r in isotonic.isotonic_fit(f, o, **k).orderBy("fcst").collect()]
-    third = 5 / 3
-    assert fit() == pytest.approx([1, third, third, third, 10 / 3, 10 / 3, 10 / 3, 7])
-    assert fit(functional="quantile", quantile_level=0.5) == [1, 2, 2, 2, 4, 4, 4, 7]
-    assert fit(weight=w) == pytest.approx([1, third, third, third, 15 / 4, 15 / 4, 15 / 4, 7])
-    band = isotonic.isotonic_band(f, o, bootstraps=15, seed=1).collect()
-    assert len(band) == 8 and all(r.lower is None or r.lower <= r.upper for r in band)
-
-
 def test_diebold_mariano(spark):
     rows = [(s, str(t), h, float(d)) for s, h, ds in ((1, 2, [1, 2, 3, 4, NAN]), (2, 3, [2, 1, -3, -1, 0]), (3, 4, [1, 1, 1, 1, 1])) for t, d in enumerate(ds)]
     (d,) = make(spark, rows, "lead long, t string, h int, d double", ["lead", "t"], "d")

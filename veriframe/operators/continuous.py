@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from veriframe.functions.exprs import angular_difference, clip, corr, div, gmax, ieee_div
 from veriframe.plans.frame import Dims, Field, align, attach, match_missing, pointwise, reduce, resolve_dims, wmean
-from veriframe.plans.ranges import running_sums
+from veriframe.plans.ranges import previous, running_sums
+from veriframe.plans.staging import staged
 
 
 def _error(f: Column, o: Column, is_angular: bool) -> Column:
@@ -80,9 +82,9 @@ def spearmanr(fcst: Field, obs: Field, *, reduce_dims: Dims = None, preserve_dim
     """
     df, dims = align(fcst=fcst, obs=obs)
     keep = resolve_dims(dims, reduce_dims, preserve_dims)
-    pairs = df.groupBy(*keep, "fcst", "obs").agg(F.count("*").alias("n"))
+    pairs = counted = staged(df.groupBy(*keep, "fcst", "obs").agg(F.count("*").alias("n")), "pairs")
     for side in ("fcst", "obs"):
-        n = pairs.filter(F.col(side).isNotNull()).groupBy(*keep, side).agg(F.sum("n").alias("n"))
+        n = counted.filter(F.col(side).isNotNull()).groupBy(*keep, side).agg(F.sum("n").alias("n"))
         ranks = running_sums(n, keep, side, {"upto": F.col("n")}).select(*keep, side, (F.col("upto") - (F.col("n") - 1) / 2).alias(f"{side}_rank"))
         pairs = attach(pairs, ranks, [*keep, side])
     known = F.col("fcst_rank").isNotNull() & F.col("obs_rank").isNotNull()
@@ -93,7 +95,7 @@ def spearmanr(fcst: Field, obs: Field, *, reduce_dims: Dims = None, preserve_dim
     dx, dy = F.col("fcst_rank") - F.col("mx"), F.col("obs_rank") - F.col("my")
     sums = off.groupBy(*keep).agg(F.sum(n * dx * dy).alias("xy"), F.sum(n * dx * dx).alias("xx"), F.sum(n * dy * dy).alias("yy"))
     sums = sums.select(*keep, F.when((F.col("xx") > 0) & (F.col("yy") > 0), F.col("xy") / F.sqrt("xx") / F.sqrt("yy")).alias("spearmanr"))
-    return attach(pairs.select(*keep).distinct(), sums, keep) if keep else sums
+    return attach(counted.select(*keep).distinct(), sums, keep) if keep else sums
 
 
 def nse(fcst: Field, obs: Field, *, reduce_dims: Dims = None, preserve_dims: Dims = None, weights: Field | None = None, is_angular: bool = False) -> DataFrame:
@@ -264,42 +266,47 @@ def tw_huber_loss(fcst: Field, obs: Field, huber_param: float, interval_where_on
     return _weighted(lambda f, o, g, phi, dphi: 0.5 * huber_expr(f, o, huber_param, phi, dphi), "tw_huber_loss", fcst, obs, interval_where_one, interval_where_positive, reduce_dims, preserve_dims, weights)
 
 
-# Flip-flop index
+# Flip-flop index: differences of neighbours along a dimension, and the spread of all values. Neither gathers a series.
 
 
-def sector_size(angles: Column) -> Column:
-    """The smallest sector, in degrees, that covers all angles of an array: the circle without its largest gap; NULL if one is missing."""
-    a = F.array_sort(F.transform(angles, lambda x: F.pmod(x, F.lit(360.0))))
-    gaps = F.zip_with(a, F.concat(F.slice(a, 2, F.greatest(F.size(a) - 1, F.lit(0))), F.array(F.element_at(a, 1) + 360)), lambda x, y: y - x)
-    return F.when(F.exists(angles, lambda x: x.isNull()) | (F.size(angles) == 0), None).otherwise(360 - F.array_max(gaps))
+def _sectors(rows: DataFrame, keep: list[str], value: str, few: int | None) -> DataFrame:
+    """keep and __sector: the smallest sector, in degrees, that covers the known angles, which is the circle without its
+    widest gap."""
+    turned = rows.filter(F.col(value).isNotNull()).select(*keep, F.pmod(F.col(value), F.lit(360.0)).alias("__a")).distinct()
+    chain = previous(turned, keep, "__a", "__a", "__p", few)
+    ends = chain.groupBy(*keep).agg(F.max(F.col("__a") - F.col("__p")).alias("gap"), F.min("__a").alias("low"), F.max("__a").alias("high"))
+    return ends.select(*keep, (360 - F.greatest(F.coalesce("gap", F.lit(0.0)), F.col("low") + 360 - F.col("high"))).alias("__sector"))
 
 
-def flip_flop_expr(values: Column, is_angular: bool = False) -> Column:
-    """Of an array in order; NULL if a value is missing or there are fewer than three."""
-    n = F.size(values)
-    after = F.slice(values, 2, F.greatest(n - 1, F.lit(0)))
-    step = (lambda x, y: angular_difference(x, y)) if is_angular else (lambda x, y: F.abs(x - y))
-    steps = F.aggregate(F.filter(F.zip_with(values, F.concat(after, F.array(F.lit(None).cast("double"))), step), lambda x: x.isNotNull()), F.lit(0.0), lambda s, x: s + x)
-    spread = F.least(sector_size(values), F.lit(180.0)) if is_angular else F.array_max(values) - F.array_min(values)
-    return F.when((n > 2) & ~F.exists(values, lambda x: x.isNull()), (steps - spread) / (n - 2))
+def _flip_flops(rows: DataFrame, keep: list[str], is_angular: bool, few: int | None) -> DataFrame:
+    """Of rows (keep, __at, __v); NULL if a value is missing or there are fewer than three."""
+    chain = previous(rows, keep, "__at", "__v", "__p", few)
+    step = angular_difference(F.col("__v"), F.col("__p")) if is_angular else F.abs(F.col("__v") - F.col("__p"))
+    sums = chain.groupBy(*keep).agg(F.count("*").alias("n"), F.count("__v").alias("known"), F.sum(step).alias("steps"), (F.max("__v") - F.min("__v")).alias("spread"))
+    if is_angular:
+        sums = attach(sums, _sectors(rows, keep, "__v", few), keep).withColumn("spread", F.least("__sector", F.lit(180.0)))
+    index = F.when((F.col("n") > 2) & (F.col("known") == F.col("n")), (F.col("steps") - F.col("spread")) / (F.col("n") - 2))
+    return sums.select(*keep, index.alias("flip_flop_index"))
 
 
-def flip_flop_index(data: Field, sampling_dim: str, *, is_angular: bool = False, selections: dict[str, list] | None = None) -> DataFrame:
-    """The index along sampling_dim, in the order of its labels or, for each named selection, in the order listed."""
-    keep = [d for d in data.dims if d != sampling_dim]
-    df = data.df.select(*keep, F.col(sampling_dim).alias("__at"), data.column().alias("__v"))
-
-    def index(rows, order):
-        seq = F.transform(F.array_sort(F.collect_list(F.struct(order.alias("p"), F.col("__v").alias("v")))), lambda x: x["v"])
-        return rows.groupBy(*keep).agg(flip_flop_expr(seq, is_angular).alias("flip_flop_index"))
+def flip_flop_index(data: Field, sampling_dim: str, *, is_angular: bool = False, selections: dict[str, list] | None = None, few: int | None = None) -> DataFrame:
+    """The index along sampling_dim, in the order of its labels or, for each named selection, in the order listed.
 
+    A label that doesn't occur is a KeyError, which takes a job over the labels. Series of any length are dealt by ranges of
+    their labels; `few` is the number of rows up to which they are not.
+    """
+    keep = [d for d in data.dims if d != sampling_dim]
+    df = data.df.select(*keep, F.col(f"`{sampling_dim}`").alias("__at"), data.column().alias("__v"))
     if not selections:
-        return index(df, F.col("__at"))
-    out = None
-    for name, labels in selections.items():
-        part = index(df.filter(F.col("__at").isin(labels)), F.array_position(F.array(*map(F.lit, labels)), F.col("__at"))).withColumn("selection", F.lit(name))
-        out = part if out is None else out.unionByName(part)
-    return out
+        return _flip_flops(df, keep, is_angular, few)
+    kind = df.schema["__at"].dataType
+    listed = [(name, i, label) for name, labels in selections.items() for i, label in enumerate(labels)]
+    picks = df.sparkSession.createDataFrame(listed, T.StructType([T.StructField("selection", T.StringType()), T.StructField("__place", T.IntegerType()), T.StructField("__at", kind)]))
+    found = {r[0] for r in df.join(F.broadcast(picks.select("__at").distinct()), "__at").select("__at").distinct().collect()}  # of the labels listed
+    if lacking := {label for _, _, label in listed} - found:
+        raise KeyError(f"labels of {sampling_dim} that don't occur: {sorted(map(str, lacking))}")
+    rows = df.join(F.broadcast(picks), "__at").select(*keep, "selection", F.col("__place").alias("__at"), "__v")
+    return _flip_flops(rows, [*keep, "selection"], is_angular, few)
 
 
 def flip_flop_index_proportion_exceeding(data: Field, sampling_dim: str, thresholds: list[float], *, is_angular: bool = False, selections: dict[str, list] | None = None, reduce_dims: Dims = None, preserve_dims: Dims = None) -> DataFrame:
@@ -310,10 +317,10 @@ def flip_flop_index_proportion_exceeding(data: Field, sampling_dim: str, thresho
     return rows.groupBy(*keep, "threshold").agg(F.avg(hit).alias("proportion"))
 
 
-def encompassing_sector_size(data: Field, dim: str, *, skipna: bool = False) -> DataFrame:
+def encompassing_sector_size(data: Field, dim: str, *, skipna: bool = False, few: int | None = None) -> DataFrame:
+    """The smallest sector, in degrees, that covers the angles along dim; NULL if one is missing (or, with skipna, all are)."""
     keep = [d for d in data.dims if d != dim]
-    rows = data.df.select(*keep, F.struct(data.column().alias("v")).alias("x")).groupBy(*keep).agg(F.transform(F.collect_list("x"), lambda x: x["v"]).alias("all"))
-    angles = F.filter("all", lambda x: x.isNotNull()) if skipna else F.col("all")
-    return rows.select(*keep, sector_size(angles).alias("sector_size"))
-
-
+    rows = data.df.select(*keep, data.column().alias("__v"))
+    counts = rows.groupBy(*keep).agg((F.count("*") == F.count("__v")).alias("__whole"))
+    out = attach(counts, _sectors(rows, keep, "__v", few), keep)
+    return out.select(*keep, F.when(F.lit(skipna) | F.col("__whole"), F.col("__sector")).alias("sector_size"))

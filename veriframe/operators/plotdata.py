@@ -9,6 +9,7 @@ from veriframe.functions.exprs import div
 from veriframe.operators.continuous import check_alpha, check_huber
 from veriframe.plans.frame import Dims, Field, align, attach, check_binary, match_missing, resolve_dims
 from veriframe.plans.ranges import running_sums
+from veriframe.plans.staging import staged
 
 
 def roc(fcst: Field, obs: Field, thresholds: list[float] | str = "auto", *, reduce_dims: Dims = None, preserve_dims: Dims = None, weights: Field | None = None, check_args: bool = True) -> DataFrame:
@@ -33,7 +34,7 @@ def roc(fcst: Field, obs: Field, thresholds: list[float] | str = "auto", *, redu
         ts = ts if ts and ts[0] <= 0 else [0.0, *ts]
         reach = F.filter(F.array(*map(F.lit, ts)), lambda t: t <= F.col("__f"))
         rows = rows.withColumn("t", F.when(F.size(reach) > 0, F.element_at(reach, -1)))
-    sums = rows.groupBy(*keep, "t").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    sums = staged(rows.groupBy(*keep, "t").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")), "sums")
     if thresholds == "auto":
         marks = sums.select("t").distinct().unionByName(df.sparkSession.createDataFrame([(inf,), (0.0,)], "t double")).distinct()
     else:
@@ -95,56 +96,69 @@ PLACES = {"interpolated_inverted_cdf": (0.0, 1.0), "hazen": (0.5, 0.5), "weibull
 METHODS = [*PLACES, "inverted_cdf", "averaged_inverted_cdf", "closest_observation", "lower", "higher", "midpoint", "nearest"]
 
 
-def quantile_of(values: Column, q: float, method: str) -> Column:
-    """A quantile of a sorted array."""
-    n = F.size(values).cast("double")
+def places_of(n: Column, q: float, method: str) -> Column:
+    """Where a quantile of n sorted values lies: a struct of the places, from 0, of two of them and the share of the second."""
+    last = n.cast("double") - 1
+    tiny = 1e-12  # a place this near a whole number is one
 
-    def at(place):
-        i = F.greatest(F.least(place, n - 1), F.lit(0.0)).cast("int")
-        return F.element_at(values, i + 1)
+    def between(low: Column, high: Column, share: Column) -> Column:
+        inside = lambda i: F.greatest(F.least(i.cast("double"), last), F.lit(0.0)).cast("long")
+        return F.struct(inside(low).alias("low"), inside(high).alias("high"), share.alias("share"))
+
+    def at(i: Column) -> Column:
+        return between(i, i, F.lit(0.0))
 
-    tiny = 1e-12
     if method in PLACES:
         a, b = PLACES[method]
-        place = F.greatest(F.least(q * (n + 1 - a - b) + a - 1, n - 1), F.lit(0.0))
+        place = F.greatest(F.least(q * (last + 2 - a - b) + a - 1, last), F.lit(0.0))
         low = F.floor(place + tiny)
-        return at(low) + (at(low + 1) - at(low)) * F.greatest(place - low, F.lit(0.0))
-    place = q * (n - 1)
-    nq = n * q
+        return between(low, low + 1, F.greatest(place - low, F.lit(0.0)))
+    place, nq = q * last, (last + 1) * q
     if method == "lower":
         return at(F.floor(place + tiny))
     if method == "higher":
         return at(F.ceil(place - tiny))
     if method == "midpoint":
-        return (at(F.floor(place + tiny)) + at(F.ceil(place - tiny))) / 2
+        return between(F.floor(place + tiny), F.ceil(place - tiny), F.lit(0.5))
     if method == "nearest":
         return at(F.rint(place))
     if method == "inverted_cdf":
         return at(F.ceil(nq - tiny) - 1)
     if method == "averaged_inverted_cdf":
-        whole = F.abs(nq - F.rint(nq)) < tiny
-        return F.when(whole, (at(F.rint(nq) - 1) + at(F.rint(nq))) / 2).otherwise(at(F.ceil(nq) - 1))
+        return F.when(F.abs(nq - F.rint(nq)) < tiny, between(F.rint(nq) - 1, F.rint(nq), F.lit(0.5))).otherwise(at(F.ceil(nq) - 1))
     if method == "closest_observation":
-        r = nq - 0.5
-        low = F.floor(r + tiny)
-        even = (F.abs(r - low) < tiny) & (F.pmod(low, F.lit(2)) == 0)
-        return F.when(even, at(low - 1)).otherwise(at(low))
+        low = F.floor(nq - 0.5 + tiny)
+        even = (F.abs(nq - 0.5 - low) < tiny) & (F.pmod(low, F.lit(2)) == 0)
+        return at(F.when(even, low - 1).otherwise(low))
     raise ValueError(f"the method is one of {METHODS}")
 
 
-def qq(fcst: Field, obs: Field, *, quantiles: list[float], interpolation_method: str = "linear", data_source_dim: str = "data_source", reduce_dims: Dims = None, preserve_dims: Dims = None) -> DataFrame:
-    """Quantiles of both sides on the rows where both are known. linear is Spark's exact percentile, which counts distinct
-    values in partial aggregates; the other methods sort each group's values."""
+def select_quantiles(values: DataFrame, keep: list[str], value: str, quantiles: list[float], method: str, few: int | None = None) -> DataFrame:
+    """keep, quantile and value of the known values in each group: order statistics picked from running counts of the distinct
+    values, which are dealt by ranges, so that no group's values meet in one place."""
+    counts = staged(values.filter(F.col(value).isNotNull()).groupBy(*keep, value).agg(F.count("*").alias("__n")), "counts")
+    wanted = F.array(*(F.struct(F.lit(i).alias("i"), places_of(F.col("__all"), q, method).alias("p")) for i, q in enumerate(quantiles)))
+    totals = counts.groupBy(*keep).agg(F.sum("__n").alias("__all")).select(*keep, wanted.alias("__want"))
+    run = attach(running_sums(counts, keep, value, {"__upto": F.col("__n")}, few=few), totals, keep)
+    held = lambda i: (i >= F.col("__upto") - F.col("__n")) & (i < F.col("__upto"))
+    hits = run.withColumn("__want", F.filter("__want", lambda w: held(w["p"]["low"]) | held(w["p"]["high"])))
+    hits = hits.filter(F.size("__want") > 0).select(*keep, F.explode("__want").alias("w"), F.col(value).alias("__v"), "__upto", "__n")
+    low, high = (F.max(F.when(held(F.col(f"w.p.{c}")), F.col("__v"))) for c in ("low", "high"))
+    got = hits.groupBy(*keep, "w.i").agg((low + F.when(F.max("w.p.share") > 0, (high - low) * F.max("w.p.share")).otherwise(0.0)).alias("value"))
+    return got.select(*keep, F.element_at(F.array(*map(F.lit, quantiles)), F.col("i") + 1).alias("quantile"), "value")
+
+
+def qq(fcst: Field, obs: Field, *, quantiles: list[float], interpolation_method: str = "linear", data_source_dim: str = "data_source", reduce_dims: Dims = None, preserve_dims: Dims = None, few: int | None = None) -> DataFrame:
+    """Quantiles of both sides on the rows where both are known; NULL for a group without any."""
     if not all(0 <= q <= 1 for q in quantiles):
         raise ValueError("quantiles lie in [0, 1]")
+    if interpolation_method not in METHODS:
+        raise ValueError(f"the method is one of {METHODS}")
     df, dims = align(fcst=fcst, obs=obs)
-    df, keep = match_missing(df, "fcst", "obs"), resolve_dims(dims, reduce_dims, preserve_dims)
-    qs = [float(q) for q in quantiles]
-    if interpolation_method == "linear":
-        parts = [F.percentile(c, qs).alias(c) for c in ("fcst", "obs")]
-        got = df.groupBy(*keep).agg(*parts)
-    else:
-        sorted_ = df.groupBy(*keep).agg(*(F.array_sort(F.collect_list(c)).alias(c) for c in ("fcst", "obs")))
-        got = sorted_.select(*keep, *(F.when(F.size(c) > 0, F.array(*(quantile_of(F.col(c), q, interpolation_method) for q in qs))).alias(c) for c in ("fcst", "obs")))
-    pairs = F.array(*(F.struct(F.lit(c).alias(data_source_dim), F.lit(q).alias("quantile"), F.element_at(c, i + 1).alias("value")) for c in ("fcst", "obs") for i, q in enumerate(qs)))
-    return got.select(*keep, F.explode(pairs).alias("x")).select(*keep, "x.*")
+    df, keep, qs = match_missing(df, "fcst", "obs"), resolve_dims(dims, reduce_dims, preserve_dims), [float(q) for q in quantiles]
+    sides = F.explode(F.array(*(F.struct(F.lit(c).alias(data_source_dim), F.col(c).alias("__v")) for c in ("fcst", "obs")))).alias("s")
+    both = df.select(*keep, sides).select(*keep, "s.*")
+    got = select_quantiles(both, [*keep, data_source_dim], "__v", qs, interpolation_method, few)
+    groups = df.groupBy(*keep).agg(F.lit(1).alias("__one"))
+    points = F.explode(F.array(*(F.struct(F.lit(c).alias(data_source_dim), F.lit(q).alias("quantile")) for c in ("fcst", "obs") for q in qs))).alias("p")
+    return attach(groups.select(*keep, points).select(*keep, "p.*"), got.distinct(), [*keep, data_source_dim, "quantile"])

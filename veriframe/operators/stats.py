@@ -14,9 +14,11 @@ from veriframe.plans.frame import Field
 
 
 def acovf(x: np.ndarray) -> np.ndarray:
-    """Autocovariances of all lags, divided by the length."""
-    d = x - x.mean()
-    return np.correlate(d, d, "full")[len(d) - 1 :] / len(d)
+    """Autocovariances of all lags, divided by the length: the power spectrum's inverse transform, with as many zeros added as
+    there are values, so that no lag wraps around."""
+    d, n = x - x.mean(), len(x)
+    spectrum = np.fft.rfft(d, 1 << max(2 * n - 1, 1).bit_length())
+    return np.fft.irfft(spectrum * spectrum.conj())[:n] / n
 
 
 def _beta(a: float, b: float, x: float) -> float:

@@ -1,7 +1,7 @@
-"""Running sums and last values along an order, by ranges of it, so that no task works on all rows.
+"""Running sums and neighbours along an order, by ranges of it, so that no task works on all rows and no group becomes an array.
 
-Range bounds are approximate quantiles, at most MOST numbers; they decide only where a row is worked on. What is handed on
-from range to range is one row for each of them and each group.
+Rows are written once. If they are few, a window over each group does. Else they are dealt by ranges of (group, order), so a
+group, however large, lies in as many neighbouring ranges as it fills, and a range hands on one row for each group in it.
 """
 
 from __future__ import annotations
@@ -10,23 +10,25 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veriframe.plans.frame import attach
+from veriframe.plans.staging import staged
 
-MOST = 200
+FEW = 200_000  # rows that one task may sort
 RANGE = "__range"
 
 
-def ranged(df: DataFrame, by: str, descending: bool = False) -> DataFrame:
-    """df with the number of the range that the number `by` (not NULL) lies in, in order."""
-    n = min(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), MOST)
-    cuts = df.agg(F.percentile_approx(F.col(by).cast("double"), [i / n for i in range(1, n)], 10_000)).first()[0] if n > 1 else None
-    cuts = F.array(*(F.lit(float(c)) for c in sorted(set(cuts or []))))
-    number = F.size(F.filter(cuts.cast("array<double>"), lambda c: c < F.col(by)))
-    return df.withColumn(RANGE, -number if descending else number)
+def dealt(df: DataFrame, keep: list[str], by: str, descending: bool = False, few: int | None = None) -> DataFrame:
+    """df with the number of the range that its row lies in, rising along the order within a group."""
+    rows = staged(df, "rows")
+    if rows.count() <= (FEW if few is None else few):
+        return rows.withColumn(RANGE, F.lit(0))
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = F.desc(by) if descending else F.asc(by)
+    return staged(rows.repartitionByRange(n, *(F.asc(k) for k in keep), order).withColumn(RANGE, F.spark_partition_id()), "ranges")
 
 
-def running_sums(df: DataFrame, keep: list[str], by: str, sums: dict[str, Column], descending: bool = False) -> DataFrame:
+def running_sums(df: DataFrame, keep: list[str], by: str, sums: dict[str, Column], descending: bool = False, few: int | None = None) -> DataFrame:
     """df with columns of the sums over its rows up to and with each one, within the groups of keep; by has no ties there."""
-    df = ranged(df, by, descending).withColumns({f"__v_{k}": c for k, c in sums.items()})
+    df = dealt(df.withColumns({f"__v_{k}": c for k, c in sums.items()}), keep, by, descending, few)
     order = F.desc(by) if descending else F.asc(by)
     here = Window.partitionBy(*keep, RANGE).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     before = Window.partitionBy(*keep).orderBy(RANGE).rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
@@ -36,12 +38,17 @@ def running_sums(df: DataFrame, keep: list[str], by: str, sums: dict[str, Column
     return out.withColumns({k: F.coalesce(F.col(k), F.lit(0)) + F.coalesce(F.col(f"__b_{k}"), F.lit(0)) for k in sums}).drop(RANGE, *(f"__{x}_{k}" for k in sums for x in "vb"))
 
 
-def last_known(df: DataFrame, by: str, value: str, first: Column) -> DataFrame:
-    """df with value carried on to the rows after it; at a tie of by, rows with the lesser `first` come before."""
-    df = ranged(df, by).withColumn("__first", first)
-    here = Window.partitionBy(RANGE).orderBy(by, "__first").rowsBetween(Window.unboundedPreceding, 0)
-    parts = df.groupBy(RANGE).agg(F.max_by(value, F.when(F.col(value).isNotNull(), F.struct(by, "__first"))).alias("__last"))
-    before = Window.orderBy(RANGE).rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
-    parts = parts.select(RANGE, F.last("__last", ignorenulls=True).over(before).alias("__last"))
-    out = attach(df.withColumn(value, F.last(value, ignorenulls=True).over(here)), parts, [RANGE])
-    return out.withColumn(value, F.coalesce(value, "__last")).drop(RANGE, "__first", "__last")
+def previous(df: DataFrame, keep: list[str], by: str, value: str, name: str, few: int | None = None) -> DataFrame:
+    """df with the value of the row before, within the groups of keep, as name; NULL in a group's first row. by has no ties."""
+    df = dealt(df, keep, by, few=few)
+    here = Window.partitionBy(*keep, RANGE).orderBy(by)
+    before = Window.partitionBy(*keep).orderBy(RANGE)  # a row for each range
+    parts = df.groupBy(*keep, RANGE).agg(F.max_by(F.struct(F.col(value).alias("v")), F.col(by)).alias("__last"))
+    parts = parts.select(*keep, RANGE, F.lag("__last").over(before).alias("__last"))
+    out = attach(df.withColumn("__lag", F.lag(F.struct(F.col(value).alias("v"))).over(here)), parts, [*keep, RANGE])
+    return out.withColumn(name, F.coalesce("__lag", "__last")["v"]).drop(RANGE, "__lag", "__last")
+
+
+def numbered(df: DataFrame, keep: list[str], by: str, name: str, few: int | None = None) -> DataFrame:
+    """df with each row's place, from 0, in its group; by has no ties there."""
+    return running_sums(df, keep, by, {name: F.lit(1).cast("long")}, few=few).withColumn(name, F.col(name) - 1)
