@@ -37,7 +37,7 @@ def test_quantiles_of_all_methods(spark, few):
     df = spark.createDataFrame([(i, *v) for i, v in enumerate(values)], "i long, g long, f double, o double")
     f, o = (Field(df, ("g", "i"), c) for c in "fo")
     qs = [0.0, 0.1, 0.25, 0.5, 0.77, 1.0]
-    for method in plotdata.METHODS:
+    for method in plotdata.METHODS if few is None else ("linear", "midpoint", "averaged_inverted_cdf"):
         got = {(r.g, r.data_source, r["quantile"]): r.value for r in plotdata.qq(f, o, quantiles=qs, interpolation_method=method, preserve_dims="g", few=few).collect()}
         assert len(got) == 4 * 2 * len(qs) and got[9, "obs", 0.5] is None
         for g in range(3):

@@ -88,17 +88,13 @@ def test_threshold_weights_add_up(spark, positive):
         assert sum(one(tw(a, b)) for a, b in parts) == pytest.approx(one(whole))
 
 
-def test_flip_flop(spark):
-    rows = [(k, p, v) for k, vs in {0: [20, 50, 60, 30, 10, 20], 1: [20, 50, 60, 30, NAN, 20]}.items() for p, v in zip("abcdef", map(float, vs), strict=True)]
-    (d,) = make(spark, rows, "n long, p string, v double", ["n", "p"], "v")
-    assert {r.n: r.flip_flop_index for r in continuous.flip_flop_index(d, "p").collect()} == {0: 12.5, 1: None}
-    got = continuous.flip_flop_index(d, "p", selections={"one": ["b", "c", "d"], "two": ["a", "c", "e", "f"]}).filter("n = 0").collect()
-    assert {r.selection: r.flip_flop_index for r in got} == {"one": 10, "two": 25}
-    shares = continuous.flip_flop_index_proportion_exceeding(d, "p", [12.5, 13]).collect()
-    assert {r.threshold: r.proportion for r in shares} == {12.5: 1.0, 13.0: 0.0}
-    rows = [(k, i, float(v)) for k, vs in {0: [10, 350, 20], 1: [0, 240, 300], 2: [100, 0, 200]}.items() for i, v in enumerate(vs)]
-    (a,) = make(spark, rows, "n long, i long, v double", ["n", "i"], "v")
-    assert {r.n: r.flip_flop_index for r in continuous.flip_flop_index(a, "i", is_angular=True).collect()} == pytest.approx({0: 20, 1: 60, 2: 80})
+def test_flip_flop_shares(spark):
+    """Indices 4.5 (steps 4, 5 and 6 less a spread of 6, by 2) and missing; tests of the index itself are in test_ranges."""
+    rows = [(k, i, v) for k, vs in {0: [2.0, 6.0, 1.0, 7.0], 1: [1.0, NAN, 2.0, 3.0]}.items() for i, v in enumerate(vs)]
+    (d,) = make(spark, rows, "n long, i long, v double", ["n", "i"], "v")
+    assert {r.n: r.flip_flop_index for r in continuous.flip_flop_index(d, "i").collect()} == {0: 4.5, 1: None}
+    shares = continuous.flip_flop_index_proportion_exceeding(d, "i", [4.5, 5]).collect()
+    assert {r.threshold: r.proportion for r in shares} == {4.5: 1.0, 5.0: 0.0}
 
 
 def test_finley(spark):
@@ -211,23 +207,24 @@ def test_fss(spark, case):
 
 
 def test_diebold_mariano(spark):
-    rows = [(s, str(t), h, float(d)) for s, h, ds in ((1, 2, [1, 2, 3, 4, NAN]), (2, 3, [2, 1, -3, -1, 0]), (3, 4, [1, 1, 1, 1, 1])) for t, d in enumerate(ds)]
+    """Against the formula of the small-sample statistic; the distributions against numerical integrals of their densities."""
+    rng = np.random.default_rng(6)
+    series = {1: (2, rng.normal(0.4, 1, 9).tolist()), 2: (3, rng.normal(-0.2, 2, 14).tolist()), 3: (1, [0.0, 0.0, 0.0])}
+    series[1][1][4] = NAN
+    rows = [(s, f"{t:02d}", h, d) for s, (h, ds) in series.items() for t, d in enumerate(ds)]
     (d,) = make(spark, rows, "lead long, t string, h int, d double", ["lead", "t"], "d")
-    got = {r.lead: r for r in stats.diebold_mariano(d, "lead", "t", "h", method="HLN", confidence_level=0.9).collect()}
-    assert got[1]["mean"] == 2.5 and got[1].timeseries_len == 4 and got[1].confidence_gt_0 == pytest.approx(0.987326, abs=1e-6) and got[2].confidence_gt_0 == pytest.approx(0.369441, abs=1e-6) and got[3].confidence_gt_0 is None
-    t = {r.lead: r.confidence_gt_0 for r in stats.diebold_mariano(d, "lead", "t", "h", method="HLN", confidence_level=0.9, statistic_distribution="t").collect()}
-    assert t[1] == pytest.approx(0.944316, abs=1e-6) and t[2] == pytest.approx(0.377812, abs=1e-6)
-
-
-def test_bootstrap(spark):
-    a, b = (Field(spark.createDataFrame([(i, j, float(10 * i + j)) for i in range(10) for j in range(4)], f"x long, y long, {n} double"), ("x", "y"), n) for n in "ab")
-    first, second = bootstrap.block_bootstrap([a, b], {"x": 2, "y": 4}, 3, seed=5)
-    rows = first.collect()
-    assert len(rows) == 120 and {r.a for r in second.withColumnRenamed("b", "a").collect()} <= {float(10 * i + j) for i in range(10) for j in range(4)}
-    assert all(r.a % 10 == r.y for r in rows)  # a block as long as the dim keeps its order
-    by = {(r.iteration, r.x, r.y): r.a for r in rows}
-    assert all((by[i, x + 1, 0] - by[i, x, 0]) % 100 == 10 for i in (1, 2, 3) for x in (0, 2, 4, 6, 8))
-    assert sorted(map(tuple, bootstrap.block_bootstrap([a], {"x": 2, "y": 4}, 3, seed=5)[0].collect())) == sorted(map(tuple, rows))
+    for kind in ("normal", "t"):
+        got = {r.lead: r for r in stats.diebold_mariano(d, "lead", "t", "h", method="HLN", confidence_level=0.9, statistic_distribution=kind).collect()}
+        for s, (h, ds) in list(series.items())[:2]:
+            x = np.array([v for v in ds if v == v])
+            n, e = len(x), x - x.mean()
+            variance = sum((1 if k == 0 else 2) * (e[k:] * e[: n - k]).sum() / n for k in range(h)) / n
+            stat = x.mean() / np.sqrt(variance) * np.sqrt((n + 1 - 2 * h + h * (h - 1) / n) / n)
+            z = np.linspace(-200, stat, 2_000_001)
+            density = np.exp(-z * z / 2) / np.sqrt(2 * np.pi) if kind == "normal" else (1 + z * z / (n - 1)) ** (-n / 2) * np.exp(math.lgamma(n / 2) - math.lgamma((n - 1) / 2)) / np.sqrt(np.pi * (n - 1))
+            assert got[s].dm_test_stat == pytest.approx(stat) and got[s].timeseries_len == n and got[s]["mean"] == pytest.approx(x.mean())
+            assert got[s].confidence_gt_0 == pytest.approx(float(((density[1:] + density[:-1]) / 2).sum() * (z[1] - z[0])), abs=1e-5)
+        assert got[3].dm_test_stat is None and got[3].confidence_gt_0 is None
 
 
 def test_discretise_modes(spark):

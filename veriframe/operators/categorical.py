@@ -10,15 +10,15 @@ from pyspark.sql import functions as F
 
 from veriframe.functions.exprs import div, gmin, ieee_div, ln
 from veriframe.operators.discretise import compare
-from veriframe.plans.frame import Dims, Field, align, check_binary, pointwise, reduce, resolve_dims, wmean
+from veriframe.plans.checks import asserted, binary_rule, checked_weight
+from veriframe.plans.frame import Dims, Field, align, pointwise, reduce, resolve_dims, wmean
 
 
 def _rate(name: str, hit, base, fcst: Field, obs: Field, reduce_dims: Dims, preserve_dims: Dims, weights: Field | None, check_args: bool) -> DataFrame:
-    if check_args:
-        check_binary(fcst)
-        check_binary(obs)
     df, dims = align(fcst=fcst, obs=obs, **({"weight": weights} if weights is not None else {}))
-    f, o, w = F.col("fcst"), F.col("obs"), F.col("weight") if weights is not None else F.lit(1.0)
+    f, o, w = F.col("fcst"), F.col("obs"), checked_weight(F.col("weight")) if weights is not None else F.lit(1.0)
+    if check_args:
+        f, o = (asserted(c, binary_rule(c), "events must be 0 or 1") for c in (f, o))
     known = f.isNotNull() & o.isNotNull()
     num, den = F.sum(F.when(known, hit(f, o).cast("double") * w)), F.sum(F.when(known, base(o).cast("double") * w))
     return reduce(df, dims, resolve_dims(dims, reduce_dims, preserve_dims), **{name: div(num, den)})

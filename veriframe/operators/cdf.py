@@ -10,16 +10,27 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veriframe.functions.exprs import nn
+from veriframe.plans.checks import asserted
 from veriframe.plans.frame import Dims, Field, align, resolve_dims, wmean
 
 POINT = "array<struct<t:double,v:double>>"
 
 
 def gather(cdf: Field, threshold_dim: str, name: str = "cdf") -> tuple[DataFrame, list[str]]:
-    """A row for each case with the array name of (t, v)."""
+    """A row for each case with the array name of (t, v). A case that repeats a threshold makes the query fail."""
+    if threshold_dim not in cdf.dims:
+        raise ValueError(f"{threshold_dim} is not a dimension of the distributions")
     keep = [d for d in cdf.dims if d != threshold_dim]
-    point = F.struct(F.col(threshold_dim).cast("double").alias("t"), cdf.column().alias("v"))
-    return cdf.df.groupBy(*keep).agg(F.array_sort(F.collect_list(point)).alias(name)), keep
+    t = F.col(threshold_dim).cast("double")
+    points = F.array_sort(F.collect_list(F.struct(t.alias("t"), cdf.column().alias("v"))))
+    df, a = cdf.df.groupBy(*keep).agg(points.alias(name)), F.col(name)
+    return df.withColumn(name, asserted(a, F.size(F.array_distinct(F.transform(a, lambda p: p["t"]))) == F.size(a), "thresholds must be increasing")), keep
+
+
+def coords_increasing(cdf: Field, dim: str) -> DataFrame:
+    """Of each case, whether its labels along dim are all different, so that they increase in their order."""
+    keep = [d for d in cdf.dims if d != dim]
+    return cdf.df.groupBy(*keep).agg((F.count_distinct(F.col(dim)) == F.count("*")).alias("increasing"))
 
 
 def spread(df: DataFrame, keep: list[str], name: str, threshold_dim: str = "threshold", value: str = "cdf") -> DataFrame:
@@ -146,8 +157,13 @@ def decrease(a: Column) -> Column:
 
 
 def decreasing_cdfs(cdf: Field, threshold_dim: str, tolerance: float = 0.0) -> DataFrame:
+    """Of each case, whether its steps down add up to more than the tolerance. The query fails for a case with some values
+    missing and some known."""
+    if tolerance < 0:
+        raise ValueError("the tolerance must not be negative")
     df, keep = gather(cdf, threshold_dim)
-    return df.select(*keep, (decrease(F.col("cdf")) < -float(tolerance)).alias("decreasing"))
+    whole = F.forall("cdf", lambda p: p["v"].isNull()) | F.forall("cdf", lambda p: p["v"].isNotNull())
+    return df.select(*keep, asserted(decrease(F.col("cdf")) < -float(tolerance), whole, "a distribution's values must be all known or all missing").alias("decreasing"))
 
 
 def _running(a: Column, pick) -> Column:
@@ -263,17 +279,21 @@ def crps_cdf_brier_decomposition(fcst: Field, obs: Field, *, threshold_dim: str
     return rows.groupBy(*keep, threshold_dim).agg(F.avg(over + under).alias("total_penalty"), F.avg(under).alias("underforecast_penalty"), F.avg(over).alias("overforecast_penalty"))
 
 
-def adjust_fcst_for_crps(fcst: Field, threshold_dim: str, obs: Field, *, decreasing_tolerance: float = 0.0, fcst_fill_method: str = "linear", integration_method: str = "exact") -> DataFrame:
+def adjust_fcst_for_crps(fcst: Field, threshold_dim: str, obs: Field, *, decreasing_tolerance: float = 0.0, additional_thresholds: list[float] | None = None, fcst_fill_method: str = "linear", integration_method: str = "exact") -> DataFrame:
     """Distributions that decrease by more than the tolerance are replaced by that of the three (themselves, the upper and
-    the lower envelope) whose score is the worst; the first of them at a tie."""
+    the lower envelope) whose score is the worst; the first of them at a tie. One missing value makes a distribution missing.
+    additional_thresholds are those of the score."""
+    if decreasing_tolerance < 0:
+        raise ValueError("the tolerance must not be negative")
     df, cases = gather(fcst, threshold_dim, "f")
+    df = df.withColumn("f", once(propagate_nan(F.col("f"))))
     shared = [d for d in cases if d in obs.dims]
     df = df.join(obs.df.select(*obs.dims, obs.column().alias("obs")), shared) if shared else df.crossJoin(obs.df.select(*obs.dims, obs.column().alias("obs")))
     keep = list(dict.fromkeys([*cases, *obs.dims]))
 
     kinds = F.array(*(F.struct(F.lit(-i).alias("order"), a.alias("a")) for i, a in enumerate((F.col("f"), upper_envelope(F.col("f")), lower_envelope(F.col("f"))))))
     rows = df.withColumn("bad", decrease(F.col("f")) < -float(decreasing_tolerance)).withColumn("kind", F.explode(kinds)).filter((F.col("kind.order") == 0) | F.col("bad"))
-    rows = rows.withColumn("full", once(with_thresholds(F.col("kind.a"), F.array("obs")))).withColumn("full", once(fill(F.col("full"), fcst_fill_method)))
+    rows = rows.withColumn("full", once(with_thresholds(F.col("kind.a"), F.array("obs", *(F.lit(float(t)) for t in additional_thresholds or []))))).withColumn("full", once(fill(F.col("full"), fcst_fill_method)))
     under, over = (_exact if integration_method == "exact" else _trapz)(F.col("full"), F.col("obs"), None)
     rows = rows.withColumn("score", F.coalesce(under + over, F.lit(-1.0)))
     best = rows.groupBy(*keep).agg(F.max_by("kind.a", F.struct("score", "kind.order")).alias("__f"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from veriframe.functions.exprs import angular_difference, clip, corr, div, gmax, ieee_div
+from veriframe.plans.checks import asserted, checked_weight
 from veriframe.plans.frame import Dims, Field, align, attach, match_missing, pointwise, reduce, resolve_dims, wmean
 from veriframe.plans.ranges import previous, running_sums
 from veriframe.plans.staging import staged
@@ -38,7 +39,7 @@ def mean_error(fcst: Field, obs: Field, **options) -> DataFrame:
 
 def _matched(fcst: Field, obs: Field, reduce_dims: Dims, preserve_dims: Dims, weights: Field | None = None):
     df, dims = align(fcst=fcst, obs=obs, **({"weight": weights} if weights is not None else {}))
-    return match_missing(df, "fcst", "obs"), dims, resolve_dims(dims, reduce_dims, preserve_dims), F.col("weight") if weights is not None else None
+    return match_missing(df, "fcst", "obs"), dims, resolve_dims(dims, reduce_dims, preserve_dims), checked_weight(F.col("weight")) if weights is not None else None
 
 
 def multiplicative_bias(fcst: Field, obs: Field, *, reduce_dims: Dims = None, preserve_dims: Dims = None, weights: Field | None = None) -> DataFrame:
@@ -98,8 +99,12 @@ def spearmanr(fcst: Field, obs: Field, *, reduce_dims: Dims = None, preserve_dim
     return attach(counted.select(*keep).distinct(), sums, keep) if keep else sums
 
 
-def nse(fcst: Field, obs: Field, *, reduce_dims: Dims = None, preserve_dims: Dims = None, weights: Field | None = None, is_angular: bool = False) -> DataFrame:
-    """Nash-Sutcliffe efficiency: the observations' mean is unweighted, both errors are weighted."""
+def nse(fcst: Field, obs: Field, *, reduce_dims: Dims = None, preserve_dims: Dims = None, weights: Field | None = None, is_angular: bool = False, include_components: bool = False) -> DataFrame:
+    """Nash-Sutcliffe efficiency: the observations' mean is unweighted, both errors are weighted.
+
+    With components also fcst_error, obs_variance and no_variance, which tells where the observations don't vary, so that
+    the efficiency is minus infinity, or NULL for perfect forecasts.
+    """
     df, dims, keep, w = _matched(fcst, obs, reduce_dims, preserve_dims, weights)
     f, o = F.col("fcst"), F.col("obs")
     if keep == dims:
@@ -107,7 +112,9 @@ def nse(fcst: Field, obs: Field, *, reduce_dims: Dims = None, preserve_dims: Dim
     low = df.groupBy(*keep).agg(F.avg("obs").alias("mean"))
     joined = attach(df, low, keep)
     off = _error(F.col("mean"), o, is_angular)
-    return reduce(joined, dims, keep, nse=1 - ieee_div(wmean(F.pow(_error(f, o, is_angular), 2), w), wmean(F.pow(off, 2), w)))
+    out = reduce(joined, dims, keep, fcst_error=wmean(F.pow(_error(f, o, is_angular), 2), w), obs_variance=wmean(F.pow(off, 2), w))
+    out = out.withColumn("nse", 1 - ieee_div(F.col("fcst_error"), F.col("obs_variance")))
+    return out.withColumn("no_variance", F.col("obs_variance") == 0) if include_components else out.select(*keep, "nse")
 
 
 def check_alpha(alpha: float) -> None:
@@ -159,11 +166,9 @@ def quantile_score(fcst: Field, obs: Field, alpha: float, *, reduce_dims: Dims =
 def quantile_interval_score(lower: Field, upper: Field, obs: Field, lower_level: float, upper_level: float, *, reduce_dims: Dims = None, preserve_dims: Dims = None, weights: Field | None = None, check_args: bool = True) -> DataFrame:
     if not 0 < lower_level < upper_level < 1:
         raise ValueError("levels must satisfy 0 < lower < upper < 1")
-    if check_args and align(lo=lower, up=upper)[0].filter("lo > up").limit(1).count():
-        raise ValueError("a lower quantile is above the upper one")
 
     def parts(lo, up, o):
-        width = up - lo
+        width = asserted(up - lo, lo <= up, "a lower quantile is above the upper one") if check_args else up - lo
         over, under = gmax(lo - o, F.lit(0.0)) / lower_level, gmax(o - up, F.lit(0.0)) / (1 - upper_level)
         return {"interval_width_penalty": width, "overprediction_penalty": over, "underprediction_penalty": under, "total": width + over + under}
 
@@ -274,18 +279,18 @@ def _sectors(rows: DataFrame, keep: list[str], value: str, few: int | None) -> D
     widest gap."""
     turned = rows.filter(F.col(value).isNotNull()).select(*keep, F.pmod(F.col(value), F.lit(360.0)).alias("__a")).distinct()
     chain = previous(turned, keep, "__a", "__a", "__p", few)
-    ends = chain.groupBy(*keep).agg(F.max(F.col("__a") - F.col("__p")).alias("gap"), F.min("__a").alias("low"), F.max("__a").alias("high"))
-    return ends.select(*keep, (360 - F.greatest(F.coalesce("gap", F.lit(0.0)), F.col("low") + 360 - F.col("high"))).alias("__sector"))
+    ends = chain.groupBy(*keep).agg(F.max(F.col("__a") - F.col("__p")).alias("__gap"), F.min("__a").alias("__low"), F.max("__a").alias("__high"))
+    return ends.select(*keep, (360 - F.greatest(F.coalesce("__gap", F.lit(0.0)), F.col("__low") + 360 - F.col("__high"))).alias("__sector"))
 
 
 def _flip_flops(rows: DataFrame, keep: list[str], is_angular: bool, few: int | None) -> DataFrame:
     """Of rows (keep, __at, __v); NULL if a value is missing or there are fewer than three."""
     chain = previous(rows, keep, "__at", "__v", "__p", few)
     step = angular_difference(F.col("__v"), F.col("__p")) if is_angular else F.abs(F.col("__v") - F.col("__p"))
-    sums = chain.groupBy(*keep).agg(F.count("*").alias("n"), F.count("__v").alias("known"), F.sum(step).alias("steps"), (F.max("__v") - F.min("__v")).alias("spread"))
+    sums = chain.groupBy(*keep).agg(F.count("*").alias("__n"), F.count("__v").alias("__known"), F.sum(step).alias("__steps"), (F.max("__v") - F.min("__v")).alias("__spread"))
     if is_angular:
-        sums = attach(sums, _sectors(rows, keep, "__v", few), keep).withColumn("spread", F.least("__sector", F.lit(180.0)))
-    index = F.when((F.col("n") > 2) & (F.col("known") == F.col("n")), (F.col("steps") - F.col("spread")) / (F.col("n") - 2))
+        sums = attach(sums, _sectors(rows, keep, "__v", few), keep).withColumn("__spread", F.least("__sector", F.lit(180.0)))
+    index = F.when((F.col("__n") > 2) & (F.col("__known") == F.col("__n")), (F.col("__steps") - F.col("__spread")) / (F.col("__n") - 2))
     return sums.select(*keep, index.alias("flip_flop_index"))
 
 

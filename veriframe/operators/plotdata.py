@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from veriframe.functions.exprs import div
 from veriframe.operators.continuous import check_alpha, check_huber
-from veriframe.plans.frame import Dims, Field, align, attach, check_binary, match_missing, resolve_dims
+from veriframe.plans.checks import asserted, binary_rule
+from veriframe.plans.frame import Dims, Field, align, attach, match_missing, resolve_dims
 from veriframe.plans.ranges import running_sums
 from veriframe.plans.staging import staged
 
@@ -16,13 +17,13 @@ def roc(fcst: Field, obs: Field, thresholds: list[float] | str = "auto", *, redu
     """POD and POFD at each threshold (fcst >= threshold), with infinity added, and the area under the curve, AUC.
 
     Rows are first summed by forecast value, and running sums over those give every threshold, in place of a comparison of
-    each row with each threshold. With given thresholds a value counts at the largest one that it reaches.
+    each row with each threshold. With given thresholds a value counts at the largest one that it reaches. With check_args the
+    query fails where a forecast isn't a probability or an observation isn't 0 or 1.
     """
-    if check_args:
-        if fcst.df.filter(~fcst.column().between(0.0, 1.0)).limit(1).count():
-            raise ValueError("probabilities must lie in [0, 1]")
-        check_binary(obs)
     df, dims = align(__f=fcst, __o=obs, **({"__w": weights} if weights is not None else {}))
+    if check_args:
+        df = df.withColumn("__f", asserted(F.col("__f"), F.col("__f").between(0.0, 1.0), "probabilities must lie in [0, 1]"))
+        df = df.withColumn("__o", asserted(F.col("__o"), binary_rule(F.col("__o")), "observations must be 0 or 1"))
     keep = resolve_dims(dims, reduce_dims, preserve_dims)
     w = F.col("__w") if weights is not None else F.lit(1.0)
     rows = df.filter("__f is not null and __o is not null").select(*keep, "__f", (F.col("__o") * w).alias("pos"), ((1 - F.col("__o")) * w).alias("neg"))

@@ -7,15 +7,20 @@ from pyspark.sql import functions as F
 
 from veriframe.functions.exprs import clip, gmax, gmin
 from veriframe.operators.discretise import compare
-from veriframe.plans.frame import Dims, Field, align, check_binary, pointwise, reduce, resolve_dims, wmean
+from veriframe.plans.checks import asserted, binary_rule
+from veriframe.plans.frame import Dims, Field, align, pointwise, reduce, resolve_dims, wmean
 
 
 def brier_score(fcst: Field, obs: Field, *, reduce_dims: Dims = None, preserve_dims: Dims = None, weights: Field | None = None, check_args: bool = True) -> DataFrame:
-    if check_args:
-        if fcst.df.filter(~fcst.column().between(0.0, 1.0)).limit(1).count():
-            raise ValueError("probabilities must lie in [0, 1]")
-        check_binary(obs)
-    return pointwise(lambda f, o: F.pow(f - o, 2), "brier_score", reduce_dims, preserve_dims, weights, fcst=fcst, obs=obs)
+    """With check_args the query fails where a forecast isn't a probability or an observation isn't 0 or 1."""
+
+    def score(f, o):
+        if check_args:
+            f = asserted(f, f.between(0.0, 1.0), "probabilities must lie in [0, 1]")
+            o = asserted(o, binary_rule(o), "observations must be 0 or 1")
+        return F.pow(f - o, 2)
+
+    return pointwise(score, "brier_score", reduce_dims, preserve_dims, weights, fcst=fcst, obs=obs)
 
 
 def members(fcst: Field, ensemble_dim: str) -> Field:

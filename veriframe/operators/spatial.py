@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from veriframe.plans.frame import Dims, Field, align, resolve_dims
+from veriframe.plans.frame import Dims, Field, align, attach, resolve_dims
 
 
 def _event(op: str, threshold: float):
@@ -15,62 +15,66 @@ def _event(op: str, threshold: float):
     return ops[op]
 
 
+def _window_sums(df: DataFrame, line: list[str], along: str, size: int) -> DataFrame:
+    """df's f and o summed over `size` neighbours along a dense line, at the first of them; places without so many go.
+
+    A sum is the difference of two running sums, so the work is that of the cells whatever the window's size.
+    """
+    here = Window.partitionBy(*line).orderBy(along)
+    upto = here.rowsBetween(Window.unboundedPreceding, 0)
+    df = df.withColumns({f"__{c}": F.sum(c).over(upto) for c in "fo"})
+    df = df.withColumns({c: F.lead(f"__{c}", size - 1).over(here) - F.coalesce(F.lag(f"__{c}", 1).over(here), F.lit(0)) for c in "fo"})
+    return df.filter("f is not null").drop("__f", "__o")
+
+
 def fss_components(fcst: Field, obs: Field, *, event_threshold: float = 0.0, window_size: tuple[int, int], spatial_dims: tuple[str, str], zero_padding: bool = False, op: str = ">") -> tuple[DataFrame, list[str]]:
     """Of each field the mean squares of the window counts (fcst, obs) and of their difference.
 
-    Spatial dims hold grid positions as integers. Only events are rows: an event adds one to the windows that hold it, so
-    the work is events times window size, and two one-dimensional sums (rows, then columns) make it events times its sides.
-    Missing values are no events. With zero padding the windows reach over all four edges, one row and column more than the
-    grid has.
+    Spatial dims hold grid positions as integers. The grid is made whole (cells without a row, and missing values, are no
+    events), and window counts come from running sums along its rows and then along its columns; a task holds one line. With
+    zero padding the windows reach over all four edges, one row and column more than the grid has. Without any window the
+    parts are NULL.
     """
+    if min(window_size) < 1:
+        raise ValueError("window sizes must be positive")
     y, x = spatial_dims
-    wy, wx = window_size
     df, dims = align(f=fcst, o=obs)
     other = [d for d in dims if d not in spatial_dims]
     hit = _event(op, event_threshold)
-    cell = lambda c: F.coalesce(hit(F.col(c)).cast("int"), F.lit(0))
+    cell = lambda c: F.coalesce(hit(F.col(c)).cast("long"), F.lit(0).cast("long"))
     df = df.select(*other, F.col(y).cast("long").alias("__y"), F.col(x).cast("long").alias("__x"), cell("f").alias("f"), cell("o").alias("o"))
-    edges = [F.min("__y").alias("y0"), F.max("__y").alias("y1"), F.min("__x").alias("x0"), F.max("__x").alias("x1")]
-    grid = df.groupBy(*other).agg(*edges)
-
-    def join(a):
-        on = [F.col(f"a.{d}").eqNullSafe(F.col(f"g.{d}")) for d in other]
-        a, g = a.alias("a"), grid.alias("g")
-        return (a.join(g, on) if other else a.crossJoin(g)).select("a.*", "g.y0", "g.y1", "g.x0", "g.x1")
-
-    pad_y, pad_x = (wy // 2, wx // 2) if zero_padding else (0, 0)
-    more = 1 if zero_padding else 0
-    # a window is known by its first cell; inside: y0 .. y1 - wy + 1, padded: y0 - pad .. y1 - pad + 1
-    first_y, last_y = F.col("y0") - pad_y, (F.col("y1") - pad_y + more if zero_padding else F.col("y1") - wy + 1)
-    first_x, last_x = F.col("x0") - pad_x, (F.col("x1") - pad_x + more if zero_padding else F.col("x1") - wx + 1)
-    events = join(df.filter("f + o > 0"))
-    sums = [F.sum("f").alias("f"), F.sum("o").alias("o")]
-    box = ["y0", "y1", "x0", "x1"]
-    span_x = F.sequence(F.greatest(first_x, F.col("__x") - wx + 1), F.least(last_x, F.col("__x")))
-    span_y = F.sequence(F.greatest(first_y, F.col("__y") - wy + 1), F.least(last_y, F.col("__y")))
-    rows = events.filter(F.greatest(first_x, F.col("__x") - wx + 1) <= F.least(last_x, F.col("__x"))).withColumn("wx", F.explode(span_x)).groupBy(*other, *box, "__y", "wx").agg(*sums)
-    rows = rows.filter(F.greatest(first_y, F.col("__y") - wy + 1) <= F.least(last_y, F.col("__y"))).withColumn("wy", F.explode(span_y)).groupBy(*other, "wx", "wy").agg(*sums)
+    grid = df.groupBy(*other).agg(F.min("__y").alias("y0"), F.max("__y").alias("y1"), F.min("__x").alias("x0"), F.max("__x").alias("x1"))
+
+    def span(d: str, size: int) -> Column:
+        # padded windows start size // 2 before the grid, and the last one as many before the place after it
+        before, after = (size // 2, size - size // 2) if zero_padding else (0, 0)
+        return F.sequence(F.col(f"{d}0") - before, F.col(f"{d}1") + after)
+
+    lines = grid.select(*other, F.explode(span("y", window_size[0])).alias("__y"), span("x", window_size[1]).alias("xs"))
+    empty = lines.select(*other, "__y", F.explode("xs").alias("__x"), F.lit(0).cast("long").alias("f"), F.lit(0).cast("long").alias("o"))
+    whole = empty.unionByName(df.filter("f + o > 0")).repartition(*other, "__y").groupBy(*other, "__y", "__x").agg(F.max("f").alias("f"), F.max("o").alias("o"))
+    rows = _window_sums(whole, [*other, "__y"], "__x", window_size[1])
+    windows = _window_sums(rows, [*other, "__x"], "__y", window_size[0])
     f, o = F.col("f").cast("double"), F.col("o").cast("double")
-    squares = rows.groupBy(*other).agg(F.sum(f * f).alias("f2"), F.sum(o * o).alias("o2"), F.sum((f - o) * (f - o)).alias("d2"))
-    n = (last_y - first_y + 1) * (last_x - first_x + 1)
-    on = [F.col(f"g.{d}").eqNullSafe(F.col(f"s.{d}")) for d in other]
-    both = grid.alias("g").join(squares.alias("s"), on, "left") if other else grid.alias("g").crossJoin(squares.alias("s"))
-    means = [F.coalesce(F.col(f"s.{c}"), F.lit(0.0)) / n for c in ("f2", "o2", "d2")]
-    return both.select(*(F.col(f"g.{d}").alias(d) for d in other), *(m.alias(c) for m, c in zip(means, ("fcst_part", "obs_part", "diff_part"), strict=True))), other
+    parts = windows.groupBy(*other).agg(F.avg(f * f).alias("fcst_part"), F.avg(o * o).alias("obs_part"), F.avg((f - o) * (f - o)).alias("diff_part"))
+    return attach(grid.select(*other), parts, other) if other else parts, other
 
 
 def fss_2d(fcst: Field, obs: Field, *, event_threshold: float, window_size: tuple[int, int], spatial_dims: tuple[str, str], zero_padding: bool = False, reduce_dims: Dims = None, preserve_dims: Dims = None, threshold_operator: str = ">") -> DataFrame:
-    """Averages the components over the reduced dimensions, then 1 - diff / (fcst + obs), within [0, 1]; 0 without events."""
+    """Averages the components over the reduced dimensions, then 1 - diff / (fcst + obs), within [0, 1]; 0 without events, NULL without windows."""
     parts, other = fss_components(fcst, obs, event_threshold=event_threshold, window_size=window_size, spatial_dims=spatial_dims, zero_padding=zero_padding, op=threshold_operator)
     keep = resolve_dims(other, reduce_dims, preserve_dims)
     means = parts.groupBy(*keep).agg(F.avg("fcst_part").alias("f"), F.avg("obs_part").alias("o"), F.avg("diff_part").alias("d"))
     total = F.col("f") + F.col("o")
-    return means.select(*keep, F.when(total > 0, F.greatest(F.least(1 - F.col("d") / total, F.lit(1.0)), F.lit(0.0))).otherwise(0.0).alias("fss"))
+    return means.select(*keep, F.when(total > 0, F.greatest(F.least(1 - F.col("d") / total, F.lit(1.0)), F.lit(0.0))).when(total == 0, 0.0).alias("fss"))
 
 
 def fss_2d_binary(fcst: Field, obs: Field, **options) -> DataFrame:
     return fss_2d(fcst, obs, event_threshold=0.0, threshold_operator="identity", **options)
 
 
-def fss_2d_single_field(fcst: Field, obs: Field, **options) -> DataFrame:
-    return fss_2d(fcst, obs, **options)
+def fss_2d_single_field(fcst: Field, obs: Field, *, event_threshold: float, window_size: tuple[int, int], spatial_dims: tuple[str, str], zero_padding: bool = False, threshold_operator: str = ">") -> DataFrame:
+    """The score of one pair of fields, which have no other dimensions."""
+    if {*fcst.dims, *obs.dims} != set(spatial_dims):
+        raise ValueError("the fields have the two spatial dimensions only")
+    return fss_2d(fcst, obs, event_threshold=event_threshold, window_size=window_size, spatial_dims=spatial_dims, zero_padding=zero_padding, threshold_operator=threshold_operator)

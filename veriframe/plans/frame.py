@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 
@@ -9,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veriframe.functions.exprs import nn
+from veriframe.plans.checks import Watch, checked_weight, watched, weight_rules
 
 Dims = str | Iterable[str] | None
 
@@ -53,6 +55,11 @@ def resolve_dims(dims: Iterable[str], reduce_dims: Dims = None, preserve_dims: D
     return [d for d in dims if (d in named) == (preserve_dims is not None)]
 
 
+def dims_complement(dims: Iterable[str], named: Dims) -> list[str]:
+    """The dims that aren't named, in order."""
+    return resolve_dims(dims, reduce_dims=[] if named is None else named)
+
+
 def check_dims(dims: Iterable[str], expected: Iterable[str], mode: str = "equal") -> None:
     a, b = set(dims), set(expected)
     fits = {"equal": a == b, "subset": a <= b, "superset": a >= b, "proper subset": a < b, "proper superset": a > b, "disjoint": not a & b}
@@ -127,16 +134,28 @@ def aggregate(values: Field, reduce_dims: Dims = None, preserve_dims: Dims = Non
     given = {"__x": values} | ({"__w": weights} if weights is not None else {})
     df, dims = align(**given)
     keep = resolve_dims(dims, reduce_dims, preserve_dims)
+    if weights is not None and keep == dims:
+        warnings.warn("weights are ignored, as every dimension is kept", UserWarning, stacklevel=2)
+        return reduce(df, dims, keep, **{values.value: (wmean if method == "mean" else wsum)(F.col("__x"))})
     f = wmean if method == "mean" else wsum
-    return reduce(df, dims, keep, **{values.value: f(F.col("__x"), F.col("__w") if weights is not None else None)})
+    return reduce(df, dims, keep, **{values.value: f(F.col("__x"), checked_weight(F.col("__w")) if weights is not None else None)})
+
+
+def watch_weights(weights: Field) -> tuple[Field, Watch]:
+    """The weights, and a watch that warns of missing and negative ones once a query has read them."""
+    df, watch = watched(weights.df, weight_rules(weights.column()))
+    return Field(df, weights.dims, weights.value), watch
 
 
-def check_weights(weights: Field) -> None:
-    """One action: no missing and no negative weight, and one above zero."""
+def check_weights(weights: Field, *, raise_error: bool = True) -> None:
+    """One action: no missing and no negative weight, and one above zero; else an error, or a warning."""
     w = weights.column()
     row = weights.df.agg(F.coalesce(F.bool_or(w.isNull()), F.lit(False)), F.coalesce(F.bool_or(w < 0), F.lit(False)), F.coalesce(F.bool_or(w > 0), F.lit(False))).first()
     if row[0] or row[1] or not row[2]:
-        raise ValueError("weights must be known, not negative, and not all zero")
+        message = "weights must be known, not negative, and not all zero"
+        if raise_error:
+            raise ValueError(message)
+        warnings.warn(message, UserWarning, stacklevel=2)
 
 
 def check_binary(values: Field) -> None:
@@ -148,7 +167,7 @@ def pointwise(expr, name: str, reduce_dims: Dims, preserve_dims: Dims, weights:
     """The shape most measures share: align, evaluate expr over the named columns, take the (weighted) mean."""
     df, dims = align(**fields, **({"weight": weights} if weights is not None else {}))
     keep = resolve_dims(dims, reduce_dims, preserve_dims)
-    w = F.col("weight") if weights is not None else None
+    w = checked_weight(F.col("weight")) if weights is not None else None
     got = expr(*(F.col(n) for n in fields))
     got = got if isinstance(got, dict) else {name: got}
     return reduce(df, dims, keep, **{k: wmean(v, w) for k, v in got.items()})

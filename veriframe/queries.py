@@ -9,7 +9,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from veriframe.functions.exprs import latitude_weight
@@ -127,6 +128,31 @@ _by_flags("tw_quantile_score", f"avg(CASE WHEN o < f THEN 0.8 ELSE -0.2 END * ({
 _by_flags("tw_expectile_score", f"avg(0.5 * CASE WHEN o < f THEN 0.8 ELSE 0.2 END * {_BREGMAN})", _on_v1(continuous.tw_expectile_score, 0.2, (2, 6)))
 _K = "greatest(least(f - o, 2), -2)"
 _by_flags("tw_huber_loss", f"avg(0.25 * ({_phi('o')} - {_phi('(' + _K + ' + o)')} + {_K} * 4 * {_g('f')}) + 0 * f)", _on_v1(continuous.tw_huber_loss, 2, (2, 6)))
+
+
+def _rise(x: str, a: float = 1, b: float = 3, c: float = 5, d: float = 8) -> str:
+    """Integral of a weight that rises from a to b, is 1 up to c, and falls until d."""
+    top = (b - a) / 2 + c - b
+    return f"(CASE WHEN {x} < {a} THEN 0 WHEN {x} < {b} THEN ({x} - {a}) ** 2 / {2.0 * (b - a)} WHEN {x} < {c} THEN {(b - a) / 2} + {x} - {b} WHEN {x} < {d} THEN {top} + ({x} - {c}) - ({x} - {c}) ** 2 / {2.0 * (d - c)} ELSE {top + (d - c) / 2} END)"
+
+
+def _twice(x: str, a: float = 1, b: float = 3, c: float = 5, d: float = 8) -> str:
+    """Four times the integral of _rise."""
+    at_b, slope_b = (b - a) ** 2 / 6, (b - a) / 2
+    at_c, slope_c = at_b + slope_b * (c - b) + (c - b) ** 2 / 2, slope_b + c - b
+    at_d, slope_d = at_c + slope_c * (d - c) + (d - c) ** 2 / 3, slope_c + (d - c) / 2
+    return f"4 * (CASE WHEN {x} < {a} THEN 0 WHEN {x} < {b} THEN ({x} - {a}) ** 3 / {6.0 * (b - a)} WHEN {x} < {c} THEN {at_b} + {slope_b} * ({x} - {b}) + ({x} - {b}) ** 2 / 2 WHEN {x} < {d} THEN {at_c} + {slope_c} * ({x} - {c}) + ({x} - {c}) ** 2 / 2 - ({x} - {c}) ** 3 / {6.0 * (d - c)} ELSE {at_d} + {slope_d} * ({x} - {d}) END)"
+
+
+_TRAP = {"interval_where_positive": (1, 8)}
+_TRAP_BREGMAN = f"({_twice('o')} - {_twice('f')} - 4 * {_rise('f')} * (o - f))"
+_by_flags("tw_squared_error_trapezoid", f"avg(0.5 * {_TRAP_BREGMAN})", _on_v1(continuous.tw_squared_error, (3, 5), **_TRAP), value="tw_squared_error")
+_by_flags("tw_absolute_error_trapezoid", f"avg(abs({_rise('f')} - {_rise('o')}) + 0 * f)", _on_v1(continuous.tw_absolute_error, (3, 5), **_TRAP), value="tw_absolute_error")
+_by_flags("tw_quantile_score_trapezoid", f"avg(CASE WHEN o < f THEN 0.8 ELSE -0.2 END * ({_rise('f')} - {_rise('o')}) + 0 * f)", _on_v1(continuous.tw_quantile_score, 0.2, (3, 5), **_TRAP), value="tw_quantile_score")
+_by_flags("tw_expectile_score_trapezoid", f"avg(0.5 * CASE WHEN o < f THEN 0.8 ELSE 0.2 END * {_TRAP_BREGMAN})", _on_v1(continuous.tw_expectile_score, 0.2, (3, 5), **_TRAP), value="tw_expectile_score")
+_by_flags("tw_huber_loss_trapezoid", f"avg(0.25 * ({_twice('o')} - {_twice('(' + _K + ' + o)')} + {_K} * 4 * {_rise('f')}) + 0 * f)", _on_v1(continuous.tw_huber_loss, 2, (3, 5), **_TRAP), value="tw_huber_loss")
+_by_flags("tw_absolute_error_above", "avg(abs(greatest(f, 4) - greatest(o, 4)) + 0 * f)", _on_v1(continuous.tw_absolute_error, (4, float("inf"))), value="tw_absolute_error")
+_by_flags("tw_squared_error_below", "avg((least(f, 4) - least(o, 4)) * (CASE WHEN f <= 4 AND o <= 4 THEN f - o WHEN f > 4 AND o > 4 THEN 0 WHEN o > 4 THEN f + 4 - 2 * o ELSE 4 - o END) + 0 * f)", _on_v1(continuous.tw_squared_error, (float("-inf"), 4)), value="tw_squared_error")
 _by_flags("kge", "1 - sqrt((corr(f, o) - 1) ** 2 + (stddev_pop(f) / stddev_pop(o) - 1) ** 2 + (avg(f) / avg(o) - 1) ** 2)", lambda s, d: continuous.kge(*v2(s, d), preserve_dims=KEYS), V2_SQL, "v2")
 _by_flags("pearsonr", "corr(f, o)", lambda s, d: continuous.pearsonr(*v2(s, d), preserve_dims=KEYS), V2_SQL, "v2")
 
@@ -136,6 +162,12 @@ def nse(spark, sf_dir):
     return rounded(continuous.nse(*v2(spark, sf_dir), preserve_dims=KEYS), "nse")
 
 
+@query(f"WITH {V2_SQL}, m AS (SELECT *, avg(o) OVER (PARTITION BY l_returnflag, l_linestatus) AS mo FROM v2) SELECT l_returnflag, l_linestatus, round(avg((f - o) ** 2), 2) AS fcst_error, round(avg((mo - o) ** 2), 2) AS obs_variance, round(1 - avg((f - o) ** 2) / avg((mo - o) ** 2), 6) AS nse, avg((mo - o) ** 2) = 0 AS no_variance FROM m GROUP BY ALL")
+def nse_components(spark, sf_dir):
+    got = continuous.nse(*v2(spark, sf_dir), preserve_dims=KEYS, include_components=True)
+    return rounded(rounded(got, "nse"), "fcst_error", "obs_variance", places=2)
+
+
 @query(f"""WITH {V1_SQL}, r AS (SELECT l_returnflag, l_linestatus, f, o,
  CASE WHEN f IS NOT NULL THEN rank() OVER (PARTITION BY l_returnflag, l_linestatus ORDER BY f NULLS LAST) + (count(*) OVER (PARTITION BY l_returnflag, l_linestatus, f) - 1) / 2.0 END AS rf,
  rank() OVER (PARTITION BY l_returnflag, l_linestatus ORDER BY o) + (count(*) OVER (PARTITION BY l_returnflag, l_linestatus, o) - 1) / 2.0 AS ro FROM v1)
@@ -230,6 +262,23 @@ def risk_matrix_score(spark, sf_dir):
     return rounded(categorical.risk_matrix_score(Field(df, dims, "f"), Field(df, dims, "o"), w, "sev", "p"), "risk_matrix_score")
 
 
+@query("""WITH x AS (SELECT doc_id, s.sev, CASE s.sev WHEN 1 THEN quality * 0.5 ELSE quality * 0.2 END AS f, CASE s.sev WHEN 1 THEN toxic ELSE toxic * quality END AS o FROM labels, (VALUES (1), (2)) AS s(sev)),
+scale(row, col, level) AS (VALUES (1, 0, 0), (1, 1, 1), (1, 2, 3), (2, 0, 0), (2, 1, 1), (2, 2, 2), (3, 0, 0), (3, 1, 0), (3, 2, 1), (4, 0, 0), (4, 1, 0), (4, 2, 0)), levels(level, w) AS (VALUES (1, 1.0), (2, 2.5), (3, 4.0)), probs(row, p) AS (VALUES (1, 0.6), (2, 0.4), (3, 0.1)),
+low AS (SELECT l.level, w, col, max(row) AS row FROM scale AS s JOIN levels AS l ON s.level >= l.level WHERE row < 4 GROUP BY ALL), new AS (SELECT *, max(row) OVER (PARTITION BY level ORDER BY col ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen FROM low),
+d AS (SELECT p, col AS sev, sum(w) AS w FROM new JOIN probs USING (row) WHERE seen IS NULL OR row > seen GROUP BY ALL), g AS (SELECT p, sev, coalesce(w, 0) AS w FROM probs CROSS JOIN (VALUES (1), (2)) AS v(sev) LEFT JOIN d USING (p, sev)),
+c AS (SELECT doc_id, sum(CASE WHEN o = 0 AND f >= p THEN p WHEN o = 1 AND f < p THEN 1 - p ELSE 0 END * w) AS v FROM x JOIN g USING (sev) GROUP BY doc_id)
+SELECT round(avg(v), 6) AS risk_matrix_score FROM c""")
+def weights_from_warning_scaling(spark, sf_dir):
+    """The risk matrix measure with weights that come from a matrix of warning levels."""
+    df = _table(spark, sf_dir, "labels").withColumn("sev", F.explode(F.array(F.lit(1), F.lit(2))))
+    first = F.col("sev") == 1
+    df = df.select("doc_id", "sev", F.when(first, F.col("quality") * 0.5).otherwise(F.col("quality") * 0.2).alias("f"), F.when(first, F.col("toxic")).otherwise(F.col("toxic") * F.col("quality")).alias("o"))
+    w = categorical.weights_from_warning_scaling(spark, [[0, 1, 3], [0, 1, 2], [0, 0, 1], [0, 0, 0]], [1.0, 2.5, 4.0], "sev", [1, 2], "p", [0.1, 0.4, 0.6])
+    w = Field(w.df.withColumn("sev", F.col("sev").cast("int")), w.dims, w.value)
+    dims = ("doc_id", "sev")
+    return rounded(categorical.risk_matrix_score(Field(df, dims, "f"), Field(df, dims, "o"), w, "sev", "p"), "risk_matrix_score")
+
+
 @query(f"WITH {V3_SQL} SELECT l_linestatus, round(avg((f - o) ** 2), 6) AS brier_score FROM v3 GROUP BY ALL")
 def brier_score(spark, sf_dir):
     return rounded(probability.brier_score(*v3(spark, sf_dir), preserve_dims="l_linestatus"), "brier_score")
@@ -311,6 +360,18 @@ def murphy_thetas(spark, sf_dir):
     return plotdata.murphy_thetas([f], o, "huber", huber_a=2, left_limit_delta=0.01)
 
 
+@query(f"WITH {V1_SQL} SELECT f AS theta FROM v1 WHERE f IS NOT NULL UNION SELECT o FROM v1")
+def murphy_thetas_quantile(spark, sf_dir):
+    f, o, _ = v1(spark, sf_dir)
+    return plotdata.murphy_thetas([f], o, "quantile")
+
+
+@query(f"WITH {V1_SQL} SELECT unnest([f, f - 0.25]) AS theta FROM v1 WHERE f IS NOT NULL UNION SELECT o FROM v1")
+def murphy_thetas_expectile(spark, sf_dir):
+    f, o, _ = v1(spark, sf_dir)
+    return plotdata.murphy_thetas([f], o, "expectile", left_limit_delta=0.25)
+
+
 @query(f"""WITH {V2_SQL}, q AS (SELECT l_linestatus, quantile_cont(f, [0.1, 0.5, 0.9]) AS fq, quantile_cont(o, [0.1, 0.5, 0.9]) AS oq FROM v2 GROUP BY ALL)
 SELECT l_linestatus, s.n AS data_source, CAST([0.1, 0.5, 0.9][i] AS DOUBLE) AS quantile, round(CASE s.n WHEN 'fcst' THEN fq[i] ELSE oq[i] END, 4) AS value FROM q, range(1, 4) AS r(i), (VALUES ('fcst'), ('obs')) AS s(n)""")
 def qq(spark, sf_dir):
@@ -409,12 +470,32 @@ def isotonic_fit(spark, sf_dir):
     return rounded(isotonic.isotonic_fit(*v3(spark, sf_dir)), "regression")
 
 
-@query()
+@query(f"""WITH {V1_SQL}, r AS (SELECT f, o FROM v1 WHERE f IS NOT NULL AND o IS NOT NULL), g AS (SELECT f, count(*) AS n FROM r GROUP BY f),
+lo AS (SELECT a.f AS i, b.f AS j, quantile_cont(o, 0.75) AS m FROM g AS a JOIN g AS b ON a.f <= b.f JOIN r ON r.f BETWEEN a.f AND b.f GROUP BY ALL)
+SELECT g.f AS fcst, round((SELECT max(v) FROM (SELECT lo.i, min(lo.m) AS v FROM lo WHERE lo.i <= g.f AND lo.j >= g.f GROUP BY lo.i)), 6) AS regression, g.n AS count FROM g""")
 def isotonic_quantile(spark, sf_dir):
     f, o, _ = v1(spark, sf_dir)
     return rounded(isotonic.isotonic_fit(f, o, functional="quantile", quantile_level=0.75), "regression")
 
 
+@query(f"""WITH {V1_SQL}, r AS (SELECT f, o, w FROM v1 WHERE f IS NOT NULL AND o IS NOT NULL), g AS (SELECT f, count(*) AS n, sum(w) AS w, sum(o * w) AS s FROM r GROUP BY f),
+lo AS (SELECT a.f AS i, b.f AS j, sum(c.s) / sum(c.w) AS m FROM g AS a JOIN g AS b ON a.f <= b.f JOIN g AS c ON c.f BETWEEN a.f AND b.f GROUP BY ALL)
+SELECT g.f AS fcst, round((SELECT max(v) FROM (SELECT lo.i, min(lo.m) AS v FROM lo WHERE lo.i <= g.f AND lo.j >= g.f GROUP BY lo.i)), 6) AS regression, g.n AS count FROM g""")
+def isotonic_weighted(spark, sf_dir):
+    f, o, w = v1(spark, sf_dir)
+    return rounded(isotonic.isotonic_fit(f, o, weight=w), "regression")
+
+
+@query(f"""WITH {V1_SQL}, r AS (SELECT f, o, count(*) AS c FROM v1 WHERE f IS NOT NULL AND o IS NOT NULL GROUP BY ALL), g AS (SELECT f, sum(c) AS n FROM r GROUP BY f),
+cum AS (SELECT a.f AS i, b.f AS j, o, sum(sum(c)) OVER (PARTITION BY a.f, b.f ORDER BY o) AS upto, sum(sum(c)) OVER (PARTITION BY a.f, b.f) AS total FROM g AS a JOIN g AS b ON a.f <= b.f JOIN r ON r.f BETWEEN a.f AND b.f GROUP BY a.f, b.f, o),
+lo AS (SELECT i, j, min(o) FILTER (upto >= ceil(0.4 * total)) AS m FROM cum GROUP BY ALL)
+SELECT g.f AS fcst, (SELECT max(v) FROM (SELECT lo.i, min(lo.m) AS v FROM lo WHERE lo.i <= g.f AND lo.j >= g.f GROUP BY lo.i)) AS regression, CAST(g.n AS BIGINT) AS count FROM g""")
+def isotonic_solver(spark, sf_dir):
+    """An own functional: the least value that 40 % of the observations don't exceed."""
+    f, o, _ = v1(spark, sf_dir)
+    return isotonic.isotonic_fit(f, o, functional=None, solver=lambda v, _: float(np.sort(v)[int(np.ceil(0.4 * len(v))) - 1]))
+
+
 @query()
 def isotonic_band(spark, sf_dir):
     return isotonic.isotonic_band(*_labels(spark, sf_dir), bootstraps=20, seed=3)
@@ -429,6 +510,23 @@ def flip_flop_index(spark, sf_dir):
     return rounded(continuous.flip_flop_index(Field(hourly(spark, sf_dir), ("event_type", "hour"), "v"), "hour"), "flip_flop_index")
 
 
+@query(f"""WITH {_HOURLY}, p AS (SELECT event_type, hour(hour) AS k, avg(v) AS v FROM h GROUP BY ALL), c(selection, i, k) AS (VALUES ('day', 1, 8), ('day', 2, 11), ('day', 3, 14), ('day', 4, 17), ('back', 1, 23), ('back', 2, 12), ('back', 3, 0)),
+s AS (SELECT event_type, selection, v, lag(v) OVER (PARTITION BY event_type, selection ORDER BY i) AS p FROM p JOIN c USING (k))
+SELECT event_type, selection, round((sum(abs(v - p)) - (max(v) - min(v))) / (count(*) - 2), 6) AS flip_flop_index FROM s GROUP BY ALL""")
+def flip_flop_selections(spark, sf_dir):
+    hours = hourly(spark, sf_dir).groupBy("event_type", F.hour("hour").alias("k")).agg(F.avg("v").alias("v"))
+    picks = {"day": [8, 11, 14, 17], "back": [23, 12, 0]}
+    return rounded(continuous.flip_flop_index(Field(hours, ("event_type", "k"), "v"), "k", selections=picks), "flip_flop_index")
+
+
+@query(f"""WITH {_HOURLY}, s AS (SELECT event_type, v * 3.6 AS v, lag(v * 3.6) OVER (PARTITION BY event_type ORDER BY hour) AS p FROM h), d AS (SELECT event_type, count(*) AS n, sum(CASE WHEN abs(v - p) % 360 <= 180 THEN abs(v - p) % 360 ELSE 360 - abs(v - p) % 360 END) AS steps FROM s GROUP BY ALL),
+a AS (SELECT DISTINCT event_type, v * 3.6 % 360 AS a FROM h), g AS (SELECT event_type, coalesce(lead(a) OVER w, first_value(a) OVER w + 360) - a AS gap FROM a WINDOW w AS (PARTITION BY event_type ORDER BY a ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))
+SELECT event_type, round((any_value(steps) - least(360 - max(gap), 180)) / (any_value(n) - 2), 6) AS flip_flop_index FROM d JOIN g USING (event_type) GROUP BY event_type""")
+def flip_flop_angular(spark, sf_dir):
+    turned = hourly(spark, sf_dir).withColumn("v", F.col("v") * 3.6)
+    return rounded(continuous.flip_flop_index(Field(turned, ("event_type", "hour"), "v"), "hour", is_angular=True), "flip_flop_index")
+
+
 @query(f"""WITH {_HOURLY}, s AS (SELECT event_type, v, lag(v) OVER (PARTITION BY event_type ORDER BY hour) AS p FROM h), i AS (SELECT event_type, (sum(abs(v - p)) - (max(v) - min(v))) / (count(*) - 2) AS i FROM s GROUP BY ALL)
 SELECT CAST(t AS DOUBLE) AS threshold, round(avg(CASE WHEN i >= t THEN 1.0 ELSE 0.0 END), 6) AS proportion FROM i, (VALUES (5.0), (20.0), (40.0)) AS x(t) GROUP BY ALL""")
 def flip_flop_index_proportion_exceeding(spark, sf_dir):
@@ -442,37 +540,55 @@ def encompassing_sector_size(spark, sf_dir):
     return rounded(continuous.encompassing_sector_size(Field(df, ("user_id", "event_id"), "angle"), "event_id", skipna=True), "sector_size")
 
 
-_GRID = """c AS (SELECT day(ts) AS y, hour(ts) AS x, coalesce(sum(value) FILTER (event_type = 'click'), 0) AS f, coalesce(sum(value) FILTER (event_type = 'view'), 0) AS o FROM events GROUP BY ALL),
-g AS (SELECT y, x, CASE WHEN coalesce(f, 0) > 100 THEN 1 ELSE 0 END AS f, CASE WHEN coalesce(o, 0) > 100 THEN 1 ELSE 0 END AS o FROM range(1, 31) AS a(y) CROSS JOIN range(0, 24) AS b(x) LEFT JOIN c USING (y, x))"""
+_GRID = """c AS (SELECT CAST(ts AS DATE) - DATE '1970-01-01' AS y, hour(ts) AS x, coalesce(sum(value) FILTER (event_type = 'click'), 0) AS f, coalesce(sum(value) FILTER (event_type = 'view'), 0) AS o FROM events GROUP BY ALL),
+e AS (SELECT min(y) AS y0, max(y) AS y1, min(x) AS x0, max(x) AS x1 FROM c),
+g AS (SELECT y, x, CASE WHEN coalesce(f, 0) > 100 THEN 1 ELSE 0 END AS f, CASE WHEN coalesce(o, 0) > 100 THEN 1 ELSE 0 END AS o FROM (SELECT unnest(range(y0, y1 + 1)) AS y FROM e) AS a CROSS JOIN (SELECT unnest(range(x0, x1 + 1)) AS x FROM e) AS b LEFT JOIN c USING (y, x))"""
+_FSS = "SELECT round(coalesce(greatest(1 - sum((f - o) ** 2) / nullif(sum(f ** 2) + sum(o ** 2), 0), 0), 0), 6) AS fss FROM s"
+_INNER = f"WITH {_GRID}, s AS (SELECT a.y, a.x, sum(b.f) AS f, sum(b.o) AS o FROM g AS a JOIN g AS b ON b.y BETWEEN a.y AND a.y + 2 AND b.x BETWEEN a.x AND a.x + 3, e WHERE a.y <= y1 - 2 AND a.x <= x1 - 3 GROUP BY ALL) {_FSS}"
 
 
 def _grid(spark, sf_dir) -> tuple[Field, Field]:
+    """Days since 1970 by hours, as the table has them."""
     e = _table(spark, sf_dir, "events")
     kind = lambda k: F.coalesce(F.sum(F.when(F.col("event_type") == k, F.col("value"))), F.lit(0.0))
-    cells = e.groupBy(F.dayofmonth("ts").alias("y"), F.hour("ts").alias("x")).agg(kind("click").alias("f"), kind("view").alias("o"))
-    full = spark.range(30 * 24).select((F.floor(F.col("id") / 24) + 1).cast("int").alias("y"), F.pmod("id", F.lit(24)).cast("int").alias("x"))
-    df = full.join(cells, ["y", "x"], "left").fillna(0.0, ["f", "o"])
+    df = e.groupBy(F.unix_date(F.to_date("ts")).alias("y"), F.hour("ts").alias("x")).agg(kind("click").alias("f"), kind("view").alias("o"))
     return Field(df, ("y", "x"), "f"), Field(df, ("y", "x"), "o")
 
 
-@query(f"""WITH {_GRID}, s AS (SELECT a.y, a.x, sum(b.f) AS f, sum(b.o) AS o FROM g AS a JOIN g AS b ON b.y BETWEEN a.y AND a.y + 2 AND b.x BETWEEN a.x AND a.x + 3 WHERE a.y <= 28 AND a.x <= 20 GROUP BY ALL)
-SELECT round(coalesce(greatest(1 - sum((f - o) ** 2) / nullif(sum(f ** 2) + sum(o ** 2), 0), 0), 0), 6) AS fss FROM s""")
+@query(_INNER)
 def fss_2d(spark, sf_dir):
     return rounded(spatial.fss_2d(*_grid(spark, sf_dir), event_threshold=100, window_size=(3, 4), spatial_dims=("y", "x")), "fss")
 
 
-@query(f"""WITH {_GRID}, s AS (SELECT a.y, b.x, coalesce(sum(g.f), 0) AS f, coalesce(sum(g.o), 0) AS o FROM range(0, 31) AS a(y) CROSS JOIN range(-2, 23) AS b(x) LEFT JOIN g ON g.y BETWEEN a.y AND a.y + 2 AND g.x BETWEEN b.x AND b.x + 3 GROUP BY ALL)
-SELECT round(coalesce(greatest(1 - sum((f - o) ** 2) / nullif(sum(f ** 2) + sum(o ** 2), 0), 0), 0), 6) AS fss FROM s""")
+@query(f"""WITH {_GRID}, s AS (SELECT a.y, b.x, coalesce(sum(g.f), 0) AS f, coalesce(sum(g.o), 0) AS o FROM (SELECT unnest(range(y0 - 1, y1 + 1)) AS y FROM e) AS a CROSS JOIN (SELECT unnest(range(x0 - 2, x1)) AS x FROM e) AS b
+LEFT JOIN g ON g.y BETWEEN a.y AND a.y + 2 AND g.x BETWEEN b.x AND b.x + 3 GROUP BY ALL) {_FSS}""")
 def fss_2d_padded(spark, sf_dir):
     return rounded(spatial.fss_2d(*_grid(spark, sf_dir), event_threshold=100, window_size=(3, 4), spatial_dims=("y", "x"), zero_padding=True), "fss")
 
 
-@query(f"""WITH {_GRID}, s AS (SELECT a.y, a.x, sum(b.f) AS f, sum(b.o) AS o FROM g AS a JOIN g AS b ON b.y BETWEEN a.y AND a.y + 2 AND b.x BETWEEN a.x AND a.x + 3 WHERE a.y <= 28 AND a.x <= 20 GROUP BY ALL)
-SELECT round(coalesce(greatest(1 - sum((f - o) ** 2) / nullif(sum(f ** 2) + sum(o ** 2), 0), 0), 0), 6) AS fss FROM s""")
+@query(_INNER)
 def fss_2d_binary(spark, sf_dir):
-    f, o = (x.map(lambda c: (c > 100).cast("double")) for x in _grid(spark, sf_dir))
-    both = Field(f.df.join(o.df.select("y", "x", F.col("o").alias("__o")), ["y", "x"]).drop("o").withColumnRenamed("__o", "o"), ("y", "x"), "f")
-    return rounded(spatial.fss_2d_binary(both, Field(both.df, ("y", "x"), "o"), window_size=(3, 4), spatial_dims=("y", "x")), "fss")
+    f, o = _grid(spark, sf_dir)
+    both = f.df.withColumns({c: (F.col(c) > 100).cast("double") for c in ("f", "o")})
+    return rounded(spatial.fss_2d_binary(Field(both, f.dims, "f"), Field(both, o.dims, "o"), window_size=(3, 4), spatial_dims=("y", "x")), "fss")
+
+
+@query(_INNER)
+def fss_2d_single_field(spark, sf_dir):
+    return rounded(spatial.fss_2d_single_field(*_grid(spark, sf_dir), event_threshold=100, window_size=(3, 4), spatial_dims=("y", "x")), "fss")
+
+
+@query("""WITH c AS (SELECT user_id % 10 AS k, CAST(ts AS DATE) - DATE '1970-01-01' AS y, hour(ts) AS x, coalesce(sum(value) FILTER (event_type = 'click'), 0) AS f, coalesce(sum(value) FILTER (event_type = 'view'), 0) AS o FROM events GROUP BY ALL),
+e AS (SELECT k, min(y) AS y0, max(y) AS y1, min(x) AS x0, max(x) AS x1 FROM c GROUP BY k), a AS (SELECT k, unnest(range(y0, y1 - 3)) AS y FROM e), b AS (SELECT k, unnest(range(x0, x1 - 5)) AS x FROM e),
+s AS (SELECT k, a.y, b.x, count(*) FILTER (c.f > 20) AS f, count(*) FILTER (c.o > 20) AS o FROM a JOIN b USING (k) LEFT JOIN c USING (k) WHERE c.y BETWEEN a.y AND a.y + 4 AND c.x BETWEEN b.x AND b.x + 6 GROUP BY ALL),
+p AS (SELECT k, sum(CAST(f AS DOUBLE) ** 2) AS f, sum(CAST(o AS DOUBLE) ** 2) AS o, sum(CAST(f - o AS DOUBLE) ** 2) AS d FROM s GROUP BY k), m AS (SELECT f / n AS f, o / n AS o, d / n AS d FROM p JOIN (SELECT k, (y1 - y0 - 3) * (x1 - x0 - 5) AS n FROM e) USING (k))
+SELECT round(greatest(1 - avg(d) / (avg(f) + avg(o)), 0), 6) AS fss FROM m""")
+def fss_2d_fields(spark, sf_dir):
+    """The mean over ten fields, each a tenth of the users."""
+    e = _table(spark, sf_dir, "events")
+    kind = lambda k: F.coalesce(F.sum(F.when(F.col("event_type") == k, F.col("value"))), F.lit(0.0))
+    df = e.groupBy((F.col("user_id") % 10).alias("k"), F.unix_date(F.to_date("ts")).alias("y"), F.hour("ts").alias("x")).agg(kind("click").alias("f"), kind("view").alias("o"))
+    return rounded(spatial.fss_2d(Field(df, ("k", "y", "x"), "f"), Field(df, ("k", "y", "x"), "o"), event_threshold=20, window_size=(5, 7), spatial_dims=("y", "x")), "fss")
 
 
 _DM = f"""WITH {_HOURLY}, d AS (SELECT event_type, hour, v - 50 AS d, row_number() OVER (PARTITION BY event_type ORDER BY hour) AS i FROM h),
@@ -491,9 +607,22 @@ def diebold_mariano_hln(spark, sf_dir):
     return rounded(got.select("event_type", "mean", "timeseries_len", "dm_test_stat"), "mean", "dm_test_stat")
 
 
-@query()
+# The fit by least squares on grids of the logarithm of the range, each ten times finer about the best of the one before
+_HG_LEVEL = """g{k} AS MATERIALIZED (SELECT event_type, {grid} AS r FROM {source} CROSS JOIN range(-40, 41) AS s(i)),
+f{k} AS MATERIALIZED (SELECT event_type, r, sum(exp(-3 * lag / exp(r)) * acv) AS ea, sum(exp(-6 * lag / exp(r))) AS ee, sum(acv * acv) AS aa FROM g{k} JOIN a USING (event_type) GROUP BY ALL),
+b{k} AS MATERIALIZED (SELECT event_type, arg_min(r, aa - CASE WHEN ea > 0 THEN ea * ea / ee ELSE 0 END) AS r, arg_min(greatest(ea / ee, 0), aa - CASE WHEN ea > 0 THEN ea * ea / ee ELSE 0 END) AS s FROM f{k} GROUP BY ALL)"""
+_HG = f"""WITH {_HOURLY}, d AS (SELECT event_type, hour, v - 50 AS d, row_number() OVER (PARTITION BY event_type ORDER BY hour) AS i FROM h),
+m AS MATERIALIZED (SELECT event_type, avg(d) AS mean, count(*) AS n FROM d GROUP BY ALL), e AS MATERIALIZED (SELECT event_type, i, d.d - mean AS e, n FROM d JOIN m USING (event_type)),
+a AS MATERIALIZED (SELECT x.event_type, y.i - x.i AS lag, sum(x.e * y.e) / any_value(x.n) AS acv FROM e AS x JOIN e AS y ON x.event_type = y.event_type AND y.i >= x.i AND y.i - x.i < greatest((x.n - 1) // 2, 3) GROUP BY ALL),
+{_HG_LEVEL.format(k=0, grid="4.0 + s.i * 0.25", source="m")}, {_HG_LEVEL.format(k=1, grid="b0.r + s.i * 0.025", source="b0")}, {_HG_LEVEL.format(k=2, grid="b1.r + s.i * 0.0025", source="b1")}, {_HG_LEVEL.format(k=3, grid="b2.r + s.i * 0.00025", source="b2")},
+v AS (SELECT event_type, any_value(s) + 2 * sum(s * exp(-3 * lag / exp(r))) AS v FROM (SELECT event_type, s, r, unnest(range(1, n)) AS lag FROM b3 JOIN m USING (event_type)) GROUP BY ALL)
+SELECT event_type, round(mean, 6) AS mean, n AS timeseries_len, round(mean / sqrt(v / n), 3) AS dm_test_stat FROM v JOIN m USING (event_type)"""
+
+
+@query(_HG)
 def diebold_mariano_hg(spark, sf_dir):
-    return stats.diebold_mariano(_differences(spark, sf_dir), "event_type", "hour", "h", method="HG")
+    got = stats.diebold_mariano(_differences(spark, sf_dir), "event_type", "hour", "h", method="HG")
+    return rounded(rounded(got.select("event_type", "mean", "timeseries_len", "dm_test_stat"), "mean"), "dm_test_stat", places=3)
 
 
 def _user_cdf(spark, sf_dir) -> tuple[Field, Field]:
@@ -538,6 +667,27 @@ def integrate_square_piecewise_linear(spark, sf_dir):
     return rounded(cdf.integrate_square_piecewise_linear(_user_cdf(spark, sf_dir)[0], "threshold"), "integral")
 
 
+_HOLED = """p AS (SELECT user_id, t, c, CASE WHEN t % 30 <> 10 AND t < 170 THEN c END AS v FROM t), q AS (SELECT user_id, t, c, v FROM p UNION ALL SELECT user_id, x, NULL, NULL FROM u, (VALUES (5.0), (45.0), (215.0)) AS a(x)),
+k AS (SELECT *, last_value(CASE WHEN v IS NOT NULL THEN {'t': t, 'v': v} END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS lo, first_value(CASE WHEN v IS NOT NULL THEN {'t': t, 'v': v} END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY t ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS hi FROM q)"""
+
+
+def _holed(spark, sf_dir) -> Field:
+    f, _ = _user_cdf(spark, sf_dir)
+    return Field(f.df.withColumn("cdf", F.when((F.col("threshold") % 30 != 10) & (F.col("threshold") < 170), F.col("cdf"))), f.dims, "cdf")
+
+
+@query(f"""WITH {_USERS}, p AS (SELECT user_id, t, CASE WHEN t % 30 <> 10 AND t < 170 THEN c END AS v FROM t), k AS (SELECT *, last_value(v IGNORE NULLS) OVER w AS lo, first_value(v IGNORE NULLS) OVER x AS hi FROM p
+WINDOW w AS (PARTITION BY user_id ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), x AS (PARTITION BY user_id ORDER BY t ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) SELECT user_id, t AS threshold, round(coalesce(lo, hi), 6) AS cdf FROM k""")
+def fill_cdf(spark, sf_dir):
+    return rounded(cdf.fill_cdf(_holed(spark, sf_dir), "threshold", "forward", 1), "cdf")
+
+
+@query(f"""WITH {_USERS}, {_HOLED}, n AS (SELECT user_id, arg_max(CASE WHEN v IS NOT NULL THEN {{'t': t, 'v': v}} END, t, 2) FILTER (v IS NOT NULL) AS ends FROM q GROUP BY ALL)
+SELECT user_id, t AS threshold, round(greatest(least(CASE WHEN v IS NOT NULL THEN v WHEN hi IS NULL THEN ends[2].v + (ends[1].v - ends[2].v) * (t - ends[2].t) / (ends[1].t - ends[2].t) ELSE lo.v + (hi.v - lo.v) * (t - lo.t) / (hi.t - lo.t) END, 1), 0), 6) AS cdf FROM k JOIN n USING (user_id)""")
+def add_thresholds(spark, sf_dir):
+    return rounded(cdf.add_thresholds(_holed(spark, sf_dir), "threshold", [5, 45, 215], "linear"), "cdf")
+
+
 _BENT = "b AS (SELECT user_id, t, CASE WHEN t % 40 = 20 THEN c - 0.1 ELSE c END AS c FROM t)"
 
 
@@ -558,12 +708,15 @@ def decreasing_cdfs(spark, sf_dir):
     return cdf.decreasing_cdfs(_bent(spark, sf_dir)[0], "threshold", 0.15)
 
 
-@query(f"""WITH {_USERS}, {_BENT}, e AS (SELECT user_id, 0 AS kind, t, c FROM b UNION ALL SELECT user_id, 1, t, max(c) OVER (PARTITION BY user_id ORDER BY t) FROM b UNION ALL SELECT user_id, 2, t, min(c) OVER (PARTITION BY user_id ORDER BY t DESC) FROM b),
-z AS (SELECT user_id, kind, t, c, lead(t) OVER w AS t2, lead(c) OVER w AS c2 FROM e WINDOW w AS (PARTITION BY user_id, kind ORDER BY t)),
-p AS (SELECT user_id, kind, o, t AS a, c AS x, t2 AS b, c2 AS y FROM z JOIN u USING (user_id) WHERE t2 IS NOT NULL AND (o <= t OR o >= t2)
+_USERS_ONCE = _USERS.replace("u AS (", "u AS MATERIALIZED (", 1).replace("t AS (", "t AS MATERIALIZED (", 1)
+
+
+@query(f"""WITH {_USERS_ONCE}, {_BENT}, e AS MATERIALIZED (SELECT user_id, 0 AS kind, t, c FROM b UNION ALL SELECT user_id, 1, t, max(c) OVER (PARTITION BY user_id ORDER BY t) FROM b UNION ALL SELECT user_id, 2, t, min(c) OVER (PARTITION BY user_id ORDER BY t DESC) FROM b),
+z AS MATERIALIZED (SELECT user_id, kind, t, c, lead(t) OVER w AS t2, lead(c) OVER w AS c2 FROM e WINDOW w AS (PARTITION BY user_id, kind ORDER BY t)),
+p AS MATERIALIZED (SELECT user_id, kind, o, t AS a, c AS x, t2 AS b, c2 AS y FROM z JOIN u USING (user_id) WHERE t2 IS NOT NULL AND (o <= t OR o >= t2)
 UNION ALL SELECT user_id, kind, o, t, c, o, c + (c2 - c) * (o - t) / (t2 - t) FROM z JOIN u USING (user_id) WHERE o > t AND o < t2
 UNION ALL SELECT user_id, kind, o, o, c + (c2 - c) * (o - t) / (t2 - t), t2, c2 FROM z JOIN u USING (user_id) WHERE o > t AND o < t2),
-k AS (SELECT user_id, kind, sum(CASE WHEN b <= o THEN (b - a) * (x * x + x * y + y * y) / 3 ELSE (b - a) * ((1 - x) ** 2 + (1 - x) * (1 - y) + (1 - y) ** 2) / 3 END) AS v FROM p GROUP BY ALL),
+k AS MATERIALIZED (SELECT user_id, kind, sum(CASE WHEN b <= o THEN (b - a) * (x * x + x * y + y * y) / 3 ELSE (b - a) * ((1 - x) ** 2 + (1 - x) * (1 - y) + (1 - y) ** 2) / 3 END) AS v FROM p GROUP BY ALL),
 best AS (SELECT user_id, kind FROM k QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY v DESC, kind) = 1)
 SELECT user_id, t AS threshold, round(c, 6) AS cdf FROM e JOIN best USING (user_id, kind)""")
 def adjust_fcst_for_crps(spark, sf_dir):
@@ -589,6 +742,27 @@ def block_bootstrap_whole(spark, sf_dir):
     return rounded(bootstrap.block_bootstrap([Field(e, ("event_type", "day"), "v")], {"day": n}, 3, seed=1)[0], "v", places=3)
 
 
+@query("""WITH d AS (SELECT count(DISTINCT CAST(ts AS DATE)) AS n FROM events WHERE value IS NOT NULL), k AS (SELECT count(DISTINCT event_type) AS k FROM events WHERE value IS NOT NULL)
+SELECT i AS iteration, n * k AS n_rows, n AS n_days, n - (n + 4) // 5 AS contiguous, 0 AS mixed_days, 0 AS mixed_types FROM d, k, range(1, 9) AS r(i)""")
+def block_bootstrap_invariants(spark, sf_dir):
+    """Days in blocks of five and, within them, event types in blocks of two. A value tells the day and type that it comes
+    from: days of a block follow each other, a day comes whole, and types are drawn once for a block of days."""
+    e = _table(spark, sf_dir, "events").filter("value is not null").select(F.to_date("ts").alias("day"), "event_type").distinct()
+    days, types = (Window.orderBy(c) for c in ("day", "event_type"))  # labels of two dims, not rows
+    days = e.select("day").distinct().withColumn("d", F.row_number().over(days) - 1)
+    types = e.select("event_type").distinct().withColumn("k", F.row_number().over(types) - 1)
+    full = F.broadcast(types).crossJoin(days).withColumn("v", (F.col("d") * 100 + F.col("k")).cast("double"))
+    n = days.count()
+    got = bootstrap.block_bootstrap([Field(full.select("day", "event_type", "v"), ("day", "event_type"), "v")], {"day": 5, "event_type": 2}, 8, seed=11)[0]
+    at = got.join(F.broadcast(days), "day").join(F.broadcast(types), "event_type").select("iteration", "d", "k", F.floor(F.col("v") / 100).alias("fd"), F.pmod("v", F.lit(100.0)).alias("fk"))
+    by_day = at.groupBy("iteration", "d").agg(F.count("*").alias("rows"), F.min("fd").alias("fd"), (F.count_distinct("fd") - 1).alias("mixed"))
+    step = F.pmod(F.col("fd") - F.lag("fd").over(Window.partitionBy("iteration").orderBy("d")), F.lit(n)) == 1
+    by_day = by_day.withColumn("step", (step & (F.col("d") % 5 > 0)).cast("int"))
+    out = by_day.groupBy("iteration").agg(F.sum("rows").alias("n_rows"), F.count("*").alias("n_days"), F.sum("step").alias("contiguous"), F.sum("mixed").alias("mixed_days"))
+    kinds = at.groupBy("iteration", F.floor(F.col("d") / 5), "k").agg((F.count_distinct("fk") - 1).alias("mixed")).groupBy("iteration").agg(F.sum("mixed").alias("mixed_types"))
+    return out.join(kinds, "iteration").select("iteration", *(F.col(c).cast("long").alias(c) for c in ("n_rows", "n_days", "contiguous", "mixed_days", "mixed_types")))
+
+
 @query()
 def block_bootstrap(spark, sf_dir):
     e = hourly(spark, sf_dir).withColumn("day", F.to_date("hour")).groupBy("event_type", "day").agg(F.avg("v").alias("v"))
