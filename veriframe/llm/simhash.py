@@ -13,8 +13,9 @@ With a similarity asked for (the pipeline's stage), links are pairs whose sets o
 similarity. At 0.8 fingerprints differ in about 10 bits, with a wide spread, so that no budget of bits finds all such pairs;
 candidates come from the sets instead, without misses. In any one order of the shingles, two such sets share one of their
 first n - ceil(similarity * n) + 1; shingles common in a sample come last in the order, so that few documents share one.
-Each key's documents are first compared with one of them, and after that only those in different components with each other,
-by size class and sketch within a task, so that no list of all pairs is made. A sketch holds the parities of as many buckets
+Each key's documents are first compared with one of them (the same for keys with the same documents), then, as long as they
+lie in different components, with one that each key draws by itself, which brings a large group many meeting points at the
+cost of its keys; and after ROUNDS of that those still apart with each other, by size class and sketch within a task. A sketch holds the parities of as many buckets
 as there are shingles (SKETCH at least); they differ in at most as many places as two sets do, which rules out most pairs. For
 the rest the text of one comes to the other's, at most GROUP to a copy of it, and the sets are made again and compared.
 
@@ -37,7 +38,7 @@ CAP = 256
 PAIRS = [(0, 1), (1, 2), (2, 3), (3, 0), (0, 2), (1, 3)]
 SEED = 42
 SAMPLE, COMMON = 5_000, 500_000  # documents sampled and shingles listed for the order; they decide no result
-ROUNDS, SKETCH, GROUP = 2, 1024, 256
+ROUNDS, SKETCH, GROUP = 3, 1024, 256
 SMALL = 16
 BROADCAST_ROWS = 500_000
 
@@ -366,7 +367,9 @@ def _similar(docs: DataFrame, shingle: int, similarity: float) -> tuple[DataFram
         return stash(dealt.select("b", "a", "text").mapInArrow(check, "a long, b long"), "similar")
 
     for turn in range(ROUNDS + 1):
-        groups = named.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min(F.struct(F.xxhash64("fp", F.lit(turn)), "fp", "n", "root")).alias("hub")).filter("low <> high")
+        # first one document for all of a group's keys, then one for each key
+        rank = F.xxhash64("fp", F.lit(turn), *(["h"] if turn else []))
+        groups = named.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min(F.struct(rank, "fp", "n", "root")).alias("hub")).filter("low <> high")
         if turn < ROUNDS:
             pairs = named.join(groups.select("h", "hub"), "h").filter("root <> hub.root").select(F.col("fp").alias("a"), F.col("n").alias("na"), F.col("hub.fp").alias("b"), F.col("hub.n").alias("nb"))
         else:
