@@ -131,6 +131,16 @@ def brute_disclosure(rows):
     return sorted(out, key=repr)
 
 
+def test_pii_many_entities_in_a_text(spark, docs):
+    """Entities that each stand by a word of their own: the work is that of the pairs near each other, not of all."""
+    n = 2500
+    text = " ".join(f"10.{i // 65536}.{i // 256 % 256}.{i % 256} own{i}x" for i in range(n))
+    table = docs([(1, text), (2, text + " end"), *((10 + i, "plain words") for i in range(40))])
+    got = {r.doc_id: r for r in pii.report(table).collect()}
+    assert got[1].n_ip == got[2].n_ip == n and got[1].spans.count("remove") == n and "remove" not in got[10].spans
+
+
+
 def test_pii_by_definition(spark, docs):
     rng = random.Random(12)
     names = ["zoe@mail.example.com", "10.20.30.40", "+49 30 1234 5678", "bo@x.org"]
