@@ -119,3 +119,32 @@ def test_window_sums(spark, zero_padding):
         spatial.fss_2d_single_field(f, o, **options)
     wide = {**options, "window_size": (20, 20), "zero_padding": False}
     assert spatial.fss_2d(f, o, **wide).first().fss is None
+
+
+@pytest.mark.parametrize("few", [None, 0])
+def test_trapezoids_over_all_thresholds(spark, few):
+    """Each case on the grid of all thresholds and observations: lines between own points, cut off at 0 and 1 beyond them."""
+    cases = {}
+    for k in range(12):
+        ts = sorted(RNG.sample(range(1000), RNG.randint(2, 5)))
+        cases[k] = [(t / 100, v) for t, v in zip(ts, sorted(round(RNG.uniform(0.1, 0.9), 3) for _ in ts), strict=True)]
+    cases[3] = [(4.0, 0.5), (5.0, 0.5)]
+    obs = {k: round(RNG.uniform(-2, 12), 2) for k in cases} | {4: cases[4][0][0], 5: 30.0, 6: -5.0}
+    extra = [-7.0, 5.55, 40.0]
+    grid = np.array(sorted({t for c in cases.values() for t, _ in c} | set(obs.values()) | {*extra, 1.0, 2.0}))  # the last two are of a case without values
+    want = {}
+    for k, points in cases.items():
+        t, v = map(np.array, zip(*points, strict=True))
+        i = np.clip(np.searchsorted(t, grid, "right") - 1, 0, len(t) - 2)
+        f = np.clip(v[i] + (v[i + 1] - v[i]) * (grid - t[i]) / (t[i + 1] - t[i]), 0, 1)
+        step = grid >= obs[k]
+        under, over = np.where(step, 0, f**2), np.where(step, (f - 1) ** 2, 0)
+        want[k] = [float(((x[1:] + x[:-1]) / 2 * np.diff(grid)).sum()) for x in (under, over)]
+    df = spark.createDataFrame([(k, t, v) for k, c in cases.items() for t, v in c] + [(99, 1.0, None), (99, 2.0, 0.4)], "k long, t double, p double")
+    o = spark.createDataFrame([*obs.items(), (99, 1.0)], "k long, o double")
+    options = {"threshold_dim": "t", "additional_thresholds": extra, "integration_method": "trapz", "threshold_union": "all", "include_components": True, "few": few}
+    got = {r.k: r for r in cdf.crps_cdf(Field(df, ("k", "t"), "p"), Field(o, ("k",), "o"), preserve_dims="k", **options).collect()}
+    assert got.pop(99).crps is None
+    assert {k: [r.underforecast_penalty, r.overforecast_penalty] for k, r in got.items()} == {k: pytest.approx(v, abs=1e-9) for k, v in want.items()}
+    with pytest.raises(ValueError):
+        cdf.crps_cdf(Field(df, ("k", "t"), "p"), Field(o, ("k",), "o"), threshold_dim="t", threshold_union="some")

@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 
 from veriframe.functions.exprs import nn
 from veriframe.plans.checks import asserted
-from veriframe.plans.frame import Dims, Field, align, resolve_dims, wmean
+from veriframe.plans.frame import Dims, Field, align, attach, resolve_dims, wmean
+from veriframe.plans.ranges import previous, running_sums
+from veriframe.plans.staging import staged
 
 POINT = "array<struct<t:double,v:double>>"
 
@@ -223,15 +225,76 @@ def _trapz(a: Column, obs: Column, weight: Column | None) -> tuple[Column, Colum
     return total - over, over
 
 
-def crps_cdf(fcst: Field, obs: Field, *, threshold_dim: str = "threshold", threshold_weight: Field | None = None, additional_thresholds: list[float] | None = None, propagate_nans: bool = True, fcst_fill_method: str = "linear", threshold_weight_fill_method: str = "forward", integration_method: str = "exact", reduce_dims: Dims = None, preserve_dims: Dims = None, weights: Field | None = None, include_components: bool = False) -> DataFrame:
+def _crossings(a: Column) -> Column:
+    """Where the lines through the first and the last two known points leave [0, 1], outwards of them."""
+    known = F.filter(a, lambda p: p["v"].isNotNull())
+
+    def leaves(end: int, inner: int, outwards: int) -> Column:
+        p, q = F.element_at(known, end), F.element_at(known, inner)
+        slope = (p["v"] - q["v"]) / (p["t"] - q["t"])
+        goal = F.when(slope * outwards > 0, 1.0).when(slope * outwards < 0, 0.0)
+        return F.when(slope != 0, p["t"] + (goal - p["v"]) / slope)
+
+    both = F.array(leaves(1, 2, -1), leaves(-1, -2, 1))
+    return F.when(F.size(known) > 1, F.filter(both, lambda x: x.isNotNull()))
+
+
+def _trapz_over_all(df: DataFrame, extra: list[float], method: str, few: int | None) -> DataFrame:
+    """df's cases (f, obs) with the penalties __u and __o by trapezoids over the thresholds of all cases, their observations and
+    the extra ones, without a row for each case and threshold.
+
+    A distribution is a line between its own points, so its square is a parabola, and the trapezoids over a segment are its
+    integral plus the slope's square times a sum of h^3 / 6 over the gaps h within. Running sums of that over all thresholds
+    give it for any segment by its two ends. Three places take a neighbour among all thresholds: the observation, where the
+    integrand jumps within the gap before it, and the ends of the tails, where a line is cut off at 0 or 1.
+    """
+    spark, kept = df.sparkSession, df.columns
+    df = staged(df.withColumn("__case", F.monotonically_increasing_id()), "cases")
+    given = spark.createDataFrame([(float(t),) for t in extra], "t double")
+    every = df.select(F.explode(F.transform("f", lambda p: p["t"])).alias("t")).unionByName(df.select(F.col("obs").alias("t"))).unionByName(given)
+    chain = previous(every.filter("t is not null").distinct(), [], "t", "t", "p", few)
+    union = staged(running_sums(chain, [], "t", {"k": F.lit(1), "e": F.coalesce(F.pow(F.col("t") - F.col("p"), 3) / 6, F.lit(0.0))}, few=few), "union")
+    ends = union.agg(F.min("t").alias("low"), F.max("t").alias("high")).first()
+    df = df.withColumn("__cuts", F.filter(_crossings(F.col("f")), lambda x: x.between(ends["low"], ends["high"])) if method == "linear" and ends["low"] is not None else F.array().cast("array<double>"))
+    cuts = df.select("__case", F.explode("__cuts").alias("t"))
+    ranked = union.select("t", F.lit(1).alias("n")).unionByName(cuts.select("t", F.lit(0).alias("n"))).groupBy("t").agg(F.max("n").alias("n"))
+    ranked = attach(cuts, running_sums(ranked, [], "t", {"k": F.col("n")}, few=few).select("t", "k"), ["t"])
+    sides = ranked.select("__case", F.explode(F.array("k", F.col("k") + 1)).alias("k")).join(union.select("k", "t"), "k")
+    df = attach(df, sides.groupBy("__case").agg(F.collect_set("t").alias("__near")), ["__case"])
+    more = F.concat(F.array("obs", *(F.lit(t).cast("double") for t in (ends["low"], ends["high"]))), F.coalesce("__near", F.array().cast("array<double>")))
+    df = df.withColumn("f", once(with_thresholds(F.col("f"), more))).withColumn("f", once(fill(F.col("f"), method)))
+    points = df.select("__case", F.explode("f").alias("x")).select("__case", F.col("x.t").alias("t"), F.col("x.v").alias("v"))
+    points = points.join(union.select("t", "p", "e"), "t").groupBy("__case").agg(F.array_sort(F.collect_list(F.struct("t", "v", "e", "p"))).alias("__f"))
+    df = attach(df, points, ["__case"])
+    o = F.col("obs")
+
+    def part(p, q):
+        slope = (q["v"] - p["v"]) / (q["t"] - p["t"])
+        return slope * slope * (q["e"] - p["e"])
+
+    def rest(p, q):
+        flip = lambda x: F.struct(x["t"].alias("t"), (1 - x["v"]).alias("v"))
+        return square_integral(flip(p), flip(q))
+
+    at = F.element_at(F.filter("__f", lambda p: p["t"] == o), 1)
+    gap = F.coalesce(o - at["p"], F.lit(0.0)) / 2  # before the observation its side of the integrand ends, from it on the other begins
+    under = _total(_segments(F.col("__f"), lambda p, q: F.when(q["t"] <= o, square_integral(p, q) + part(p, q)).otherwise(0.0))) - gap * at["v"] * at["v"]
+    over = _total(_segments(F.col("__f"), lambda p, q: F.when(p["t"] >= o, rest(p, q) + part(p, q)).otherwise(0.0))) + gap * F.pow(1 - at["v"], 2)
+    return df.select(*kept, under.alias("__u"), over.alias("__o"))
+
+
+def crps_cdf(fcst: Field, obs: Field, *, threshold_dim: str = "threshold", threshold_weight: Field | None = None, additional_thresholds: list[float] | None = None, propagate_nans: bool = True, fcst_fill_method: str = "linear", threshold_weight_fill_method: str = "forward", integration_method: str = "exact", reduce_dims: Dims = None, preserve_dims: Dims = None, weights: Field | None = None, include_components: bool = False, threshold_union: str = "case", few: int | None = None) -> DataFrame:
     """Integral of weight * (F - 1{t >= obs})^2 over the thresholds of the case, those given, and the observation.
 
     With the exact method weights are 0 or 1 and hold from a threshold to the next. The trapezoidal method takes the
-    thresholds of the case and the observation, not those of other cases. An observation beyond the thresholds extends
-    the distribution by the fill method.
+    thresholds of the case and the observation or, with threshold_union "all" (without a threshold_weight), the thresholds
+    and observations of all cases. An observation beyond the thresholds extends the distribution by the fill method.
     """
-    if integration_method not in ("exact", "trapz"):
-        raise ValueError("integration_method is exact or trapz")
+    if integration_method not in ("exact", "trapz") or threshold_union not in ("case", "all"):
+        raise ValueError("integration_method is exact or trapz, threshold_union is case or all")
+    over_all = threshold_union == "all" and integration_method == "trapz"
+    if over_all and threshold_weight is not None:
+        raise ValueError("a threshold_weight goes with the thresholds of each case")
     df, cases = gather(fcst, threshold_dim, "f")
     other, dims = align(obs=obs, **({"weight": weights} if weights is not None else {}))
     shared = [d for d in cases if d in other.columns]
@@ -244,14 +307,19 @@ def crps_cdf(fcst: Field, obs: Field, *, threshold_dim: str = "threshold", thres
         df = df.join(w, on) if on else df.crossJoin(w)
         extra = F.concat(extra, F.transform("w", lambda p: p["t"]))
     given = propagate_nan(F.col("f")) if propagate_nans else F.col("f")
-    df = df.withColumn("f", once(given)).withColumn("f", once(with_thresholds(F.col("f"), extra))).withColumn("f", once(fill(F.col("f"), fcst_fill_method)))
+    df = df.withColumn("f", once(given))
+    if over_all:
+        df = _trapz_over_all(df, additional_thresholds or [], fcst_fill_method, few)
+    else:
+        df = df.withColumn("f", once(with_thresholds(F.col("f"), extra))).withColumn("f", once(fill(F.col("f"), fcst_fill_method)))
     w = None
     if threshold_weight is not None:
         df = df.withColumn("w", once(with_thresholds(F.col("w"), F.transform("f", lambda p: p["t"]))))
         df = df.withColumn("w", once(fill(F.col("w"), threshold_weight_fill_method, 2 if threshold_weight_fill_method == "linear" else 1)))
         w = F.col("w")
-    under, over = (_exact if integration_method == "exact" else _trapz)(F.col("f"), F.col("obs"), w)
-    df = df.withColumn("__u", under).withColumn("__o", over)
+    if not over_all:
+        under, over = (_exact if integration_method == "exact" else _trapz)(F.col("f"), F.col("obs"), w)
+        df = df.withColumn("__u", under).withColumn("__o", over)
     known = F.col("obs").isNotNull() & F.col("__u").isNotNull() & F.col("__o").isNotNull() & ~F.exists("f", lambda p: p["v"].isNull())
     parts = {"crps": F.col("__u") + F.col("__o")}
     if include_components:

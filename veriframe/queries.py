@@ -656,6 +656,16 @@ def crps_cdf_trapz(spark, sf_dir):
     return rounded(cdf.crps_cdf(*_user_cdf(spark, sf_dir), integration_method="trapz"), "crps")
 
 
+@query(f"""WITH {_USERS}, a AS MATERIALIZED (SELECT DISTINCT t FROM t UNION SELECT o FROM u), w AS (SELECT u.user_id, o, a.t, s.t AS t1, s.c AS c1, s.t2, s.c2 FROM u CROSS JOIN a ASOF JOIN s ON u.user_id = s.user_id AND a.t >= s.t),
+h AS (SELECT user_id, t, o, CASE WHEN t2 IS NULL OR t = t1 THEN c1 ELSE c1 + (c2 - c1) * (t - t1) / (t2 - t1) END AS f FROM w), g AS (SELECT user_id, t, CASE WHEN t < o THEN f * f ELSE 0 END AS under, CASE WHEN t >= o THEN (f - 1) ** 2 ELSE 0 END AS over FROM h),
+k AS (SELECT user_id, (t - lag(t) OVER w) * (under + lag(under) OVER w) / 2 AS under, (t - lag(t) OVER w) * (over + lag(over) OVER w) / 2 AS over FROM g WINDOW w AS (PARTITION BY user_id ORDER BY t)), m AS (SELECT user_id, sum(under) AS under, sum(over) AS over FROM k GROUP BY ALL)
+SELECT round(avg(under + over), 6) AS crps, round(avg(under), 6) AS underforecast_penalty, round(avg(over), 6) AS overforecast_penalty FROM m""")
+def crps_cdf_trapz_union(spark, sf_dir):
+    """Trapezoids over the thresholds and observations of all users."""
+    got = cdf.crps_cdf(*_user_cdf(spark, sf_dir), integration_method="trapz", threshold_union="all", include_components=True)
+    return rounded(got, "crps", "underforecast_penalty", "overforecast_penalty")
+
+
 @query(f"WITH {_USERS} SELECT t AS threshold, round(avg((c - CASE WHEN t >= o THEN 1 ELSE 0 END) ** 2), 6) AS total_penalty, round(avg(CASE WHEN t < o THEN c ** 2 ELSE 0 END), 6) AS underforecast_penalty, round(avg(CASE WHEN t >= o THEN (c - 1) ** 2 ELSE 0 END), 6) AS overforecast_penalty FROM t JOIN u USING (user_id) GROUP BY ALL")
 def crps_cdf_brier_decomposition(spark, sf_dir):
     got = cdf.crps_cdf_brier_decomposition(*_user_cdf(spark, sf_dir))
