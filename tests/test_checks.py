@@ -3,11 +3,13 @@
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from veriframe.operators import categorical, cdf, continuous, plotdata, probability, spatial
 from veriframe.plans.checks import watched
 from veriframe.plans.frame import Field, aggregate, check_weights, dims_complement, watch_weights
+from veriframe.sources import samples, series
 
 RNG = random.Random(3)
 
@@ -54,6 +56,19 @@ def test_rules_warn_after_the_query(spark):
     assert dims_complement("abc", ["b"]) == ["a", "c"] and dims_complement("ab", None) == ["a", "b"]
 
 
+def test_series(spark):
+    f, o = samples.simple_forecast_pandas(), samples.simple_observations_pandas()
+    assert series.mae(f, o) == 2.0 and series.mse(f, o) == pytest.approx(((f - o) ** 2).mean()) and series.rmse(f, o) == pytest.approx(((f - o) ** 2).mean() ** 0.5)
+    turned = pd.Series([350.0, 10.0, None], index=["a", "b", "c"]), pd.Series([10.0, 350.0, 5.0, 7.0], index=["b", "a", "c", "z"])
+    assert series.mae(*turned) == 0 and series.mae(turned[0], turned[1].shift(1), is_angular=True) == 20
+    assert series.mse(pd.Series([None], dtype=float), pd.Series([1.0])) is None
+    df = spark.createDataFrame([(i, j, float(i * j), float(i + j)) for i in range(4) for j in range(3)], "x long, y long, f double, o double")
+    a, b = (series.series_of(Field(df, ("x", "y"), c)) for c in "fo")
+    assert series.mse(a, b) == pytest.approx(np.mean([(i * j - i - j) ** 2 for i in range(4) for j in range(3)]))
+    with pytest.raises(ValueError):
+        series.mse(a, f)
+
+
 def test_distribution_rules(spark):
     df = spark.createDataFrame([("a", 1.0, 0.2), ("a", 2.0, None), ("b", 1.0, 0.5), ("b", 2.0, 0.4), ("c", 1.0, None), ("c", 2.0, None)], "k string, t double, p double")
     f = Field(df, ("k", "t"), "p")

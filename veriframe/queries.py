@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from veriframe.functions.exprs import latitude_weight
 from veriframe.operators import bootstrap, categorical, cdf, continuous, discretise, isotonic, plotdata, probability, spatial, stats
 from veriframe.plans.frame import Field, aggregate
+from veriframe.sources import series
 from veriframe.streaming import running
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -157,6 +158,16 @@ _by_flags("kge", "1 - sqrt((corr(f, o) - 1) ** 2 + (stddev_pop(f) / stddev_pop(o
 _by_flags("pearsonr", "corr(f, o)", lambda s, d: continuous.pearsonr(*v2(s, d), preserve_dims=KEYS), V2_SQL, "v2")
 
 
+@query("""WITH e AS (SELECT value AS f, user_id % 100 AS o, abs(value - user_id % 100) * 3.0 % 360 AS a FROM events) SELECT round(avg((f - o) ** 2), 6) AS mse, round(sqrt(avg((f - o) ** 2)), 6) AS rmse, round(avg(abs(f - o)), 6) AS mae,
+round(avg(CASE WHEN a <= 180 THEN a ELSE 360 - a END), 6) AS mae_angular FROM e""")
+def series_measures(spark, sf_dir):
+    """Measures of two series whose rows meet by event_id."""
+    e = _table(spark, sf_dir, "events")
+    f, o = (series.series_of(Field(e.select("event_id", c.cast("double").alias("v")), ("event_id",), "v")) for c in (F.col("value"), F.col("user_id") % 100))
+    got = (series.mse(f, o), series.rmse(f, o), series.mae(f, o), series.mae(f * 3, o * 3, is_angular=True))
+    return rounded(spark.createDataFrame([got], "mse double, rmse double, mae double, mae_angular double"), "mse", "rmse", "mae", "mae_angular")
+
+
 @query(f"WITH {V2_SQL}, m AS (SELECT *, avg(o) OVER (PARTITION BY l_returnflag, l_linestatus) AS mo FROM v2) SELECT l_returnflag, l_linestatus, round(1 - avg((f - o) ** 2) / avg((mo - o) ** 2), 6) AS nse FROM m GROUP BY ALL")
 def nse(spark, sf_dir):
     return rounded(continuous.nse(*v2(spark, sf_dir), preserve_dims=KEYS), "nse")

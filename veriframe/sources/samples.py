@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,6 +25,14 @@ def simple_observations(spark: SparkSession) -> Field:
     return _simple(spark, SIMPLE_OBSERVATIONS, "obs")
 
 
+def simple_forecast_pandas() -> pd.Series:
+    return pd.Series(SIMPLE_FORECAST)
+
+
+def simple_observations_pandas() -> pd.Series:
+    return pd.Series(SIMPLE_OBSERVATIONS)
+
+
 def _grid(spark: SparkSession, large: bool) -> DataFrame:
     n_lat, n_lon, n_time = (364, 720, 240) if large else (10, 20, 10)
     cell = spark.range(n_lat * n_lon * n_time)
