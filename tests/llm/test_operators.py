@@ -583,7 +583,7 @@ def test_pipeline(spark, docs, tmp_path):
     out = {r.doc_id: r for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
     own = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe_ranks(), special_tokens={})
     assert sorted(out) == [1, 5, 6] and own.decode(np.frombuffer(out[1].ids, "<u4").tolist()) == text
-    assert "[EMAIL]" in own.decode(np.frombuffer(out[5].ids, "<u4").tolist()) and len(queries.QUERIES) == 10
+    assert "[EMAIL]" in own.decode(np.frombuffer(out[5].ids, "<u4").tolist()) and len(queries.QUERIES) == 13
 
 
 def test_pipeline_odd_tables(spark, docs, tmp_path):
