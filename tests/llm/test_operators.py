@@ -601,3 +601,20 @@ def test_pipeline_odd_tables(spark, docs, tmp_path):
         left = sorted(r.doc_id for r in stage.collect())
         assert left == ([2, 5, 5, 6] if rows is table else [])
         assert corpus_pipeline.STAGES[-1][1](spark, stage, str(tmp_path)).count() == len(left)
+
+
+def test_pipeline_keeps_clashing_columns(spark, docs, tmp_path):
+    """Columns with names that stages use within come back with their own values."""
+    import corpus_pipeline
+
+    names = ["__k", "__th", "row", "__spans", "__units", "__order", "__lang_pred", "__score", "spans", "th"]
+    spark.createDataFrame([(1, prose(30))], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    same = prose(60)
+    table = docs([(1, same), (1, same), (2, same), (3, f"{prose(40)} bo@mail.example.com"), (4, prose(50)), (None, prose(70))])
+    table = table.selectExpr("*", *(f"concat('{n} ', doc_id) as `{n}`" for n in names))
+    want = {r.doc_id: [r[n] for n in names] for r in table.collect()}
+    stage = common.stash(table, "clash")
+    for _, f in corpus_pipeline.STAGES[:-1]:
+        stage = common.stash(f(spark, stage, str(tmp_path)), "clash")
+        assert stage.columns == table.columns and all([r[n] for n in names] == want[r.doc_id] for r in stage.collect())
+    assert sorted((r.doc_id for r in stage.collect()), key=repr) == [1, 3, 4, None]

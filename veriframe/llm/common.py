@@ -45,6 +45,11 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def packed(df: DataFrame) -> Column:
+    """All columns of df as one, row, so that columns added beside it can't clash with them."""
+    return F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row")
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

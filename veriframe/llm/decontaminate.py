@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veriframe.llm.common import ascii_lower, stash
+from veriframe.llm.common import ascii_lower, packed, stash
 
 SIZE = 5
 THRESHOLD = 0.8
@@ -116,4 +116,5 @@ def decontaminate(docs: DataFrame, items: DataFrame, by_row: bool = False) -> Da
     """docs without the rows that contain an item; unless by_row, also without all other rows of their doc_id (null is one)."""
     key = ["__k", "__th"] if by_row else ["__k"]
     hit = stash(_contained(docs, items).select(*key).distinct(), "hits")
-    return _join(docs.withColumns(_key(docs)), hit, hit.count(), key, "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
+    keyed = docs.select(packed(docs), *(c.alias(k) for k, c in _key(docs).items()))
+    return _join(keyed, hit, hit.count(), key, "left_anti").select("row.*")

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veriframe.llm.common import Forest, binary, components, drop_shuffles, partitions, small_batches, starts, stash, whole_groups
+from veriframe.llm.common import Forest, binary, components, drop_shuffles, packed, partitions, small_batches, starts, stash, whole_groups
 
 BITS = 2
 CAP = 256
@@ -397,9 +397,8 @@ def keep_one(docs: DataFrame, shingle: int = 3, similarity: float | None = None)
     first = first.join(reps.select("fp", "root"), "fp").groupBy("root").agg(F.min("one").alias("one"))
     first = stash(first.select(F.coalesce("one.doc_id", F.lit(null)).alias("__k"), F.col("one.th").alias("__th")), "kept")
     keys = [F.coalesce(F.col("doc_id").cast("long"), F.lit(null)).alias("__k"), F.xxhash64(F.col("text").cast("string")).alias("__th")]
-    kept = docs.select("*", *keys).join(first, ["__k", "__th"], "left_semi")
+    kept = docs.select(packed(docs), *keys).join(first, ["__k", "__th"], "left_semi")
     if fps.select(F.coalesce("doc_id", F.lit(null)).alias("__k"), F.col("th").alias("__th")).join(first, ["__k", "__th"], "left_semi").groupBy("__k", "__th").count().filter("count > 1").limit(1).count():
         # rows equal in id and text are one document: of those that differ elsewhere, the one with the least hash stays
-        row = [F.col(f"`{c}`") for c in docs.columns]
-        kept = kept.groupBy("__k", "__th").agg(F.min_by(F.struct(*row), F.xxhash64(*row)).alias("__row")).select("__row.*")
-    return kept.select(*(F.col(f"`{c}`") for c in docs.columns))
+        kept = kept.groupBy("__k", "__th").agg(F.min_by("row", F.xxhash64("row")).alias("row"))
+    return kept.select("row.*")

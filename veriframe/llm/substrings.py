@@ -1,4 +1,4 @@
-"""Removal of repeated 400-byte strings by a blockwise difference-cover suffix sort (operator 7).
+"""Removal of repeated 400-byte strings by blockwise ranks of difference-cover samples and suffix buckets (operator 7).
 
 Positions of a document whose offset modulo V is in a difference cover D are its sample; any two suffixes reach sample
 positions together within V bytes. The rank class of a sample position names the CORE bytes from it. A string of
