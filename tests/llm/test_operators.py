@@ -350,6 +350,32 @@ def test_similar_documents(spark, docs, monkeypatch):
     kept = simhash.keep_one(table, shingle=5, similarity=0.8)
     assert sorted((r.doc_id for r in kept.collect()), key=repr) == sorted(set(comp), key=repr) and kept.columns == table.columns
     assert len(set(comp)) < len(simhash.keep_one(table, shingle=5).collect()) and simhash.keep_one(table.limit(0), 5, 0.8).count() == 0
+    monkeypatch.setattr(simhash, "ROUNDS", 0)  # all is left to blocks
+    monkeypatch.setattr(simhash, "BLOCK", 4)
+    kept = simhash.keep_one(table, shingle=5, similarity=0.8)
+    assert sorted((r.doc_id for r in kept.collect()), key=repr) == sorted(set(comp), key=repr)
+
+
+def test_one_template_in_many_documents(spark, docs):
+    rng = random.Random(8)
+    line = [f"t{k}" for k in range(40)]
+    texts = [" ".join(line + [f"w{rng.randrange(10**9)}" for _ in range(rng.randint(10, 60))]) for _ in range(3000)]
+    copies = [t.rsplit(" ", 1)[0] for t in texts[:200]]  # one shingle less
+    grams = [frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) for w in map(str.split, texts + copies)]
+    # the template has 36 shingles: those of two documents are similar only if few others are there
+    ends: dict[int, list[int]] = {}
+    for k, g in enumerate(grams):
+        ends.setdefault(len(g), []).append(k)
+    label = list(range(len(grams)))
+    for k in range(len(grams)):
+        for n in range(len(grams[k]), int(len(grams[k]) / 0.8) + 1):
+            for other in ends.get(n, []):
+                both = 36 if other not in (k + 3000, k - 3000) else len(grams[k] & grams[other])
+                if other != k and both >= 0.8 * (len(grams[k]) + n - both) - 1e-9:
+                    a, b = sorted((label[k], label[other]))
+                    label = [a if x == b else x for x in label] if a != b else label
+    got = simhash.keep_one(docs(list(enumerate(texts + copies))), shingle=5, similarity=0.8)
+    assert sorted(r.doc_id for r in got.collect()) == sorted(set(label))
 
 
 def test_hot_fingerprints(spark, monkeypatch):

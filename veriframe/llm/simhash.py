@@ -15,8 +15,8 @@ candidates come from the sets instead, without misses. In any one order of the s
 first n - ceil(similarity * n) + 1; shingles common in a sample come last in the order, so that few documents share one.
 Each key's documents are first compared with one of them (the same for keys with the same documents), then, as long as they
 lie in different components, with one that each key draws by itself, which brings a large group many meeting points at the
-cost of its keys; and after ROUNDS of that those still apart with each other, by size class and sketch within a task. A sketch holds the parities of as many buckets
-as there are shingles (SKETCH at least); they differ in at most as many places as two sets do, which rules out most pairs. For
+cost of its keys; and after ROUNDS of that those still outside a group's largest component with all of it, by size class and
+sketch, in blocks of BLOCK rows, so that no task holds a group. A sketch holds the parities of as many buckets as there are shingles (SKETCH at least); they differ in at most as many places as two sets do, which rules out most pairs. For
 the rest the text of one comes to the other's, at most GROUP to a copy of it, and the sets are made again and compared.
 
 Null or blank texts have fingerprint zero and link like any other; a row with null doc_id takes part, and component_id is
@@ -39,7 +39,7 @@ PAIRS = [(0, 1), (1, 2), (2, 3), (3, 0), (0, 2), (1, 3)]
 SEED = 42
 SAMPLE, COMMON = 5_000, 500_000  # documents sampled and shingles listed for the order; they decide no result
 ROUNDS, SKETCH, GROUP = 3, 1024, 256
-SMALL = 16
+SMALL, BLOCK = 16, 1024
 BROADCAST_ROWS = 500_000
 
 
@@ -269,34 +269,58 @@ def apart(sketch: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return out
 
 
-def _close(similarity: float):
-    """The pairs of a group (h, size), of different components, that sizes and sketches leave; no other pair is emitted.
+def _blocks(open_: DataFrame) -> DataFrame:
+    """Work items (h, size, p, q) of the groups (h, size), with about BLOCK rows of a role each.
 
-    In a group of more than SMALL sets, those outside its largest component are compared with all.
+    Rows outside a group's largest component (few) are compared with all of the group. Both are dealt to blocks, and item
+    (p, q) holds block p of the few (first) and block q of all (second). A group of one component needs no comparison.
     """
+    counts = open_.groupBy("h", "size", "root").agg(F.count("*").alias("m"))
+    groups = counts.groupBy("h", "size").agg(F.sum("m").alias("all"), F.max(F.struct("m", "root")).alias("top")).filter(F.col("all") > F.col("top.m"))
+    groups = groups.select("h", "size", F.col("top.root").alias("top"), F.ceil((F.col("all") - F.col("top.m")) / BLOCK).alias("np"), F.ceil(F.col("all") / BLOCK).alias("nq"))
+    rows = open_.join(groups, ["h", "size"]).withColumn("few", F.col("root") != F.col("top"))
+    rows = rows.withColumns({k: F.pmod(F.xxhash64("fp"), F.col(n)) for k, n in (("p", "np"), ("q", "nq"))})
+
+    def item(p, q, first, second):
+        return F.struct(p.alias("p"), q.alias("q"), first.alias("first"), second.alias("second"))
+
+    def upto(n):
+        return F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
+
+    second = F.transform(upto("np"), lambda p: item(p, F.col("q"), F.col("few") & (p == F.col("p")), F.lit(True)))
+    first = F.transform(F.filter(upto("nq"), lambda q: F.col("few") & (q != F.col("q"))), lambda q: item(F.col("p"), q, F.lit(True), F.lit(False)))
+    return rows.select("h", "size", "fp", "n", "root", "own", "few", F.explode(F.concat(second, first)).alias("at")).select("h", "size", "fp", "n", "root", "own", "few", "at.*")
+
+
+def _close(similarity: float):
+    """The pairs of an item (h, size, p, q), of different components, that sizes and sketches leave; no other pair is emitted."""
+
+    def some(at, got):
+        """Places i, j of the pairs to look at, each in one item, in portions."""
+        fp, root, first, second, few = (got[c] for c in ("fp", "root", "first", "second", "few"))
+
+        def mine(i, j):
+            return first[i] & second[j] & (root[i] != root[j]) & ~(few[j] & (fp[j] < fp[i]))
 
-    def some(at, root):
-        """Places i, j of the pairs to look at, in portions."""
         size = np.diff(at)
         for m in range(2, SMALL + 1):
             base, (i, j) = at[:-1][size == m][:, None], np.triu_indices(m, 1)
-            yield (base + i).ravel(), (base + j).ravel()
+            i, j = (base + i).ravel(), (base + j).ravel()
+            ok = mine(i, j) | mine(j, i)
+            yield i[ok], j[ok]
         for s, m in zip(at[:-1][size > SMALL].tolist(), size[size > SMALL].tolist(), strict=True):
-            _, which, n = np.unique(root[s : s + m], return_inverse=True, return_counts=True)
-            few = np.flatnonzero(which != n.argmax())
-            place = np.full(m, -1)
-            place[few] = np.arange(len(few))
-            for c in range(0, len(few), step := max(1, (1 << 18) // m)):
-                mine = few[c : c + step]
-                i, j = np.nonzero((which[mine][:, None] != which[None]) & (place[None] < place[mine][:, None]))
-                yield s + mine[i], s + j
+            left, right = (s + np.flatnonzero(x[s : s + m]) for x in (first, second))
+            for c in range(0, len(left), step := max(1, (1 << 18) // m)):
+                i, j = np.nonzero(mine(left[c : c + step, None], right[None]))
+                yield left[c + i], right[j]
 
     def run(batches):
-        for got in whole_groups(batches, ["h", "size"]):
-            fp, n, root, home = got["fp"], got["n"], got["root"], got["own"] == got["size"]
-            for i, j in some(starts(got, ["h", "size"]), root):
+        keys = ["h", "size", "p", "q"]
+        for got in whole_groups(batches, keys):
+            fp, n, home = got["fp"], got["n"], got["own"] == got["size"]
+            for i, j in some(starts(got, keys), got):
                 most = (n[i] + n[j]) * ((1 - similarity) / (1 + similarity)) + 1e-6
-                ok = (root[i] != root[j]) & (home[i] | home[j]) & (np.abs(n[i] - n[j]) <= most)
+                ok = (home[i] | home[j]) & (np.abs(n[i] - n[j]) <= most)
                 i, j, most = i[ok], j[ok], most[ok]
                 near = apart(got["sketch"], i, j) <= most
                 i, j = i[near], j[near]
@@ -374,10 +398,10 @@ def _similar(docs: DataFrame, shingle: int, similarity: float) -> tuple[DataFram
             pairs = named.join(groups.select("h", "hub"), "h").filter("root <> hub.root").select(F.col("fp").alias("a"), F.col("n").alias("na"), F.col("hub.fp").alias("b"), F.col("hub.n").alias("nb"))
         else:
             # similar sets differ in size by less than a class: each goes to its own class and, as a guest, to the next one
-            left = named.join(groups.select("h"), "h").join(sketches, "fp")
             own = F.floor(F.log(F.col("n")) / F.lit(-float(np.log(similarity - 1e-3)))).cast("int")
-            left = left.select("h", "fp", "n", "root", "sketch", F.explode(F.array(own, own + 1)).alias("size"), own.alias("own"))
-            dealt = left.repartition(partitions(spark), "h", "size").sortWithinPartitions("h", "size", "fp")
+            left = named.join(groups.select("h"), "h").select("h", "fp", "n", "root", F.explode(F.array(own, own + 1)).alias("size"), own.alias("own"))
+            left = _blocks(stash(left, "open")).join(sketches, "fp")
+            dealt = left.repartition(partitions(spark), "h", "size", "p", "q").sortWithinPartitions("h", "size", "p", "q", "fp")
             pairs = dealt.mapInArrow(_close(similarity), "a long, na long, b long, nb long")
         found = near(pairs)
         edges = found if edges is None else edges.unionByName(found)
