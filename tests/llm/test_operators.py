@@ -574,6 +574,10 @@ def test_embeddings(spark, monkeypatch):
     label = components(ids, index, lambda i, j: i == j or near(i, j))
     want = sorted((ids[i], sum(near(i, j) for j in index if i != j), label[i], ids[i] == label[i]) for i in index)
     assert sorted(map(tuple, embeddings.near_duplicates(df).collect())) == want
+    monkeypatch.setattr(embeddings, "TILE", 4)
+    monkeypatch.setattr(embeddings, "MOST", 8 * 8 * 4)  # many tiles, spans of several
+    monkeypatch.setattr(embeddings, "BLOCK", 10)
+    assert sorted(map(tuple, embeddings.near_duplicates(df).collect())) == want
     assert embeddings.near_duplicates(df.limit(0)).count() == 0
     odd = spark.createDataFrame([(None, [1.0, 0.0]), (7, [2.0, 0.0]), (None, [0.0, 1.0])], "vec_id long, embedding array<double>")
     assert sorted(map(tuple, embeddings.near_duplicates(odd).collect()), key=repr) == sorted([(None, 1, 7, False), (7, 1, 7, True), (None, 0, None, True)], key=repr)
