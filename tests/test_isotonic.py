@@ -81,6 +81,22 @@ def test_quantile_and_solver(spark, case):
     assert got == pytest.approx(want)
 
 
+@pytest.mark.parametrize("size", [10_000, 60])
+def test_counted_solver(spark, size):
+    """It gets distinct values with their counts, whatever the number of pairs."""
+    cases = [(a, round(b), 1) for a, b, _ in CASES["two halves"]] * 5
+    f, o, _ = fields(spark, cases)
+    distinct = len({b for _, b, _ in cases})
+
+    def lower(v, w, c):
+        assert len(v) <= distinct and (np.diff(v) > 0).all() and (w == 1).all()
+        return float(v[np.searchsorted(np.cumsum(c), np.ceil(0.3 * c.sum()))])
+
+    want = pooled(cases, lambda v, w: float(np.sort(v)[int(np.ceil(0.3 * len(v))) - 1]))
+    got = {r.fcst: r.regression for r in isotonic.isotonic_fit(f, o, functional=None, solver=lower, counted=True, range_rows=size).collect()}
+    assert got == pytest.approx(want)
+
+
 @pytest.mark.parametrize("functional", ["mean", "quantile"])
 def test_band(spark, functional):
     """The draws are those of the operator; fits, interpolation and quantiles are made here anew."""

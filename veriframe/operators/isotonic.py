@@ -121,8 +121,10 @@ def quantile_of(values: np.ndarray, counts: np.ndarray, q: float) -> float:
     return low + (high - low) * (place - np.floor(place))
 
 
-def functional_of(functional: str | None, quantile_level: float | None, solver: Callable | None, weighted: bool) -> Mean | Multiset:
+def functional_of(functional: str | None, quantile_level: float | None, solver: Callable | None, weighted: bool, counted: bool = False) -> Mean | Multiset:
     if solver is not None:
+        if counted:
+            return Multiset(solver)
         if weighted:
             return Multiset(lambda a, b, c: solver(np.repeat(a, c.astype(int)), np.repeat(b, c.astype(int))))
         return Multiset(lambda a, b, c: solver(np.repeat(a, c.astype(int)), np.ones(int(c.sum()))))
@@ -290,10 +292,12 @@ def quantile_rows(values: np.ndarray, q: float) -> np.ndarray:
     return held[at, low] + (held[at, high] - held[at, low]) * (place - low)
 
 
-def isotonic_fit(fcst: Field, obs: Field, *, weight: Field | None = None, functional: str | None = "mean", quantile_level: float | None = None, solver: Callable | None = None, bootstraps: int | None = None, confidence_level: float = 0.9, min_non_nan: int = 1, report_bootstrap_results: bool = False, seed: int = 0, range_rows: int = RANGE_ROWS) -> DataFrame:
+def isotonic_fit(fcst: Field, obs: Field, *, weight: Field | None = None, functional: str | None = "mean", quantile_level: float | None = None, solver: Callable | None = None, bootstraps: int | None = None, confidence_level: float = 0.9, min_non_nan: int = 1, report_bootstrap_results: bool = False, counted: bool = False, seed: int = 0, range_rows: int = RANGE_ROWS) -> DataFrame:
     """fcst (distinct values, as rows), regression and count; with bootstraps also lower and upper, the ends of the band.
 
-    functional is mean or quantile, or None with a solver(values, weights) in its place. bootstraps refits are made of pairs
+    functional is mean or quantile, or None with a solver(values, weights) in its place, which gets each observation of a
+    block. A counted solver(values, weights, counts) gets the distinct ones in order of values, and how often each occurs, so
+    that its memory doesn't grow with the pairs. bootstraps refits are made of pairs
     drawn with replacement: each pair's number of copies is a Poisson variable (so a refit's size varies about the number of
     pairs) of its values and the seed. A refit is interpolated between its own forecasts, and has no value outside of them;
     a band needs min_non_nan values. report_bootstrap_results adds them all as the array bootstrap_results.
@@ -302,7 +306,7 @@ def isotonic_fit(fcst: Field, obs: Field, *, weight: Field | None = None, functi
         raise ValueError("bootstraps must be a positive whole number")
     if not 0 < confidence_level < 1:
         raise ValueError("confidence_level must be between 0 and 1")
-    kind, spark, b = functional_of(functional, quantile_level, solver, weight is not None), fcst.df.sparkSession, bootstraps or 0
+    kind, spark, b = functional_of(functional, quantile_level, solver, weight is not None, counted), fcst.df.sparkSession, bootstraps or 0
     df, _ = align(fcst=fcst, obs=obs, **({"weight": weight} if weight is not None else {}))
     w = F.col("weight") if weight is not None else F.lit(1.0)
     rows = df.filter("fcst is not null and obs is not null").select("fcst", "obs", w.alias("w")).filter("w is not null")

@@ -504,7 +504,12 @@ SELECT g.f AS fcst, (SELECT max(v) FROM (SELECT lo.i, min(lo.m) AS v FROM lo WHE
 def isotonic_solver(spark, sf_dir):
     """An own functional: the least value that 40 % of the observations don't exceed."""
     f, o, _ = v1(spark, sf_dir)
-    return isotonic.isotonic_fit(f, o, functional=None, solver=lambda v, _: float(np.sort(v)[int(np.ceil(0.4 * len(v))) - 1]))
+
+    def solver(values, _, counts):
+        upto = np.cumsum(counts)
+        return float(values[np.searchsorted(upto, np.ceil(0.4 * upto[-1]))])
+
+    return isotonic.isotonic_fit(f, o, functional=None, solver=solver, counted=True)
 
 
 @query()
