@@ -9,7 +9,7 @@ from fractions import Fraction
 import numpy as np
 import pytest
 
-from veriframe.llm import infill, queries, toxicity, whiten
+from veriframe.llm import bpe, infill, queries, simhash, toxicity, whiten
 
 RNG = random.Random(5)
 WORDS = ["".join(RNG.choice("abcdefghé") for _ in range(RNG.randint(2, 8))) for _ in range(300)]
@@ -165,3 +165,36 @@ def test_toxicity_without_labels(spark, docs):
 
 def test_registered():
     assert {"op11_fill_in_middle", "op12_whitening", "op13_toxicity"} <= set(queries.QUERIES) and "op11_fill_in_middle" in queries.SQL
+
+
+def test_stage_by_fingerprints(spark, docs):
+    """The pipeline's near-duplicate stage links by fingerprints first: candidates connect exactly those within BITS."""
+    rng = random.Random(5)
+    base = [[f"w{rng.randrange(500)}" for _ in range(400)] for _ in range(12)]
+    texts = [" ".join(t) for t in base] + [" ".join([*t[:k], "new", *t[k + 1 :]]) for t in base for k in (3, 399)] + [None, "one two", "one  two"]
+    sets = simhash.shingle_sets(docs(list(enumerate(texts))), 5, 0.8)
+    rows = {r.fp: r.sim for r in sets.collect()}
+    assert {r.doc_id: r.sim for r in sets.collect()} == {i: simhash.fingerprint((t or "").encode(), 5) for i, t in enumerate(texts)}
+
+    def classes(links):
+        up = {x: x for x in rows}
+
+        def root(x):
+            return x if up[x] == x else root(up[x])
+
+        for a, b in links:
+            up[max(root(a), root(b))] = min(root(a), root(b))
+        return {x: root(x) for x in rows}
+
+    want = classes([(a, b) for a in rows for b in rows if bin((rows[a] ^ rows[b]) & (1 << 64) - 1).count("1") <= simhash.BITS])
+    got = classes([(r.a, r.b) for r in simhash.fingerprint_pairs(sets).collect()])
+    assert got == want and len(set(want.values())) < len(rows)
+
+
+def test_lately(monkeypatch):
+    monkeypatch.setattr(bpe, "LATELY", 4)
+    some = bpe.Lately()
+    for i in range(40):
+        some[i] = i
+        assert some[0] == 0 and len(some) <= 4 and len(some.older) <= 4  # what is still met stays
+    assert some[20] is None and some[39] == 39

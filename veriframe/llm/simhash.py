@@ -10,8 +10,9 @@ group leaves 16 bits open, so it has at most 65,536 members, and is linked throu
 pairs. Nothing is dropped. A task emits a spanning forest of each group's links, never all its pairs.
 
 With a similarity asked for (the pipeline's stage), links are pairs whose sets of shingles have at least that Jaccard
-similarity. At 0.8 fingerprints differ in about 10 bits, with a wide spread, so that no budget of bits finds all such pairs;
-candidates come from the sets instead, without misses. In any one order of the shingles, two such sets share one of their
+similarity. Candidates are first those within BITS, by fingerprints and chains as above, and their sets are compared. At 0.8
+fingerprints differ in about 10 bits, with a wide spread, so that no budget of bits finds all such pairs; the check of what
+these components leave apart goes by the sets, without misses. In any one order of the shingles, two such sets share one of their
 first n - ceil(similarity * n) + 1; shingles common in a sample come last in the order, so that few documents share one.
 Each key's documents are first compared with one of them (the same for keys with the same documents), then, as long as they
 lie in different components, with one that each key draws by itself, which brings a large group many meeting points at the
@@ -49,11 +50,22 @@ def fingerprint(text: bytes, shingle: int = 3) -> int:
         return 0
     size = min(shingle, len(words))
     grams = map(b" ".join, zip(*(words[i:] for i in range(size)), strict=False))
-    n, ones, digest = len(words) - size + 1, np.zeros(64, np.int64), xxhash.xxh64_intdigest
-    for at in range(0, n, 1 << 14):
-        m = min(1 << 14, n - at)
-        h = np.fromiter((digest(g, SEED) for _, g in zip(range(m), grams, strict=False)), np.uint64, m)
-        ones += np.unpackbits(h.view(np.uint8).reshape(m, 8), axis=1, bitorder="little").sum(0, dtype=np.int32)
+    n, digest = len(words) - size + 1, xxhash.xxh64_intdigest
+
+    def blocks():
+        for at in range(0, n, 1 << 14):
+            m = min(1 << 14, n - at)
+            yield np.fromiter((digest(g, SEED) for _, g in zip(range(m), grams, strict=False)), np.uint64, m)
+
+    return majority(blocks())
+
+
+def majority(blocks) -> int:
+    """The bits set in over half of the hashes, which come in blocks, as a signed long; zero if there are none."""
+    n, ones = 0, np.zeros(64, np.int64)
+    for h in blocks:
+        n += len(h)
+        ones += np.unpackbits(h.view(np.uint8).reshape(len(h), 8), axis=1, bitorder="little").sum(0, dtype=np.int32)
     return int(np.packbits(2 * ones > n, bitorder="little").view("<i8")[0])
 
 
@@ -170,12 +182,17 @@ def near_duplicates(docs: DataFrame, shingle: int = 3) -> DataFrame:
 
 def shingle_set(text: bytes, shingle: int) -> np.ndarray:
     """The distinct hashes of a text's shingles, sorted."""
+    return np.unique(shingle_hashes(text, shingle))
+
+
+def shingle_hashes(text: bytes, shingle: int) -> np.ndarray:
+    """The hashes of a text's shingles, repeats included."""
     words = text.lower().split()
     if not words:
         return np.zeros(0, np.uint64)
     size = min(shingle, len(words))
     grams = map(b" ".join, zip(*(words[i:] for i in range(size)), strict=False))
-    return np.unique(np.fromiter((xxhash.xxh64_intdigest(g, SEED) for g in grams), np.uint64, len(words) - size + 1))
+    return np.fromiter((xxhash.xxh64_intdigest(g, SEED) for g in grams), np.uint64, len(words) - size + 1)
 
 
 def _common(docs: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
@@ -201,16 +218,19 @@ def _lists(some: list[np.ndarray]) -> pa.Array:
 
 
 def shingle_sets(docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """doc_id, th, fp (digest of the set), n (its size), keys (its first shingles in the common order) and sketch of each row."""
+    """doc_id, th, fp (digest of the set), sim (fingerprint), n (the set's size), keys (its first shingles in the common order)
+    and sketch of each row."""
     small_batches(docs.sparkSession)
     hold = docs.sparkSession.sparkContext.broadcast(_common(docs, shingle))
 
     def run(batches):
         known, often = hold.value
         for b in batches:
-            sizes, keys, fp, sketch = [], [], [], []
+            sizes, keys, fp, sim, sketch = [], [], [], [], []
             for x in binary(b.column(2)):
-                h = shingle_set(x, shingle)
+                h = shingle_hashes(x, shingle)
+                sim.append(majority(h[at : at + (1 << 14)] for at in range(0, len(h), 1 << 14)))
+                h = np.unique(h)
                 first = len(h) - int(np.ceil(similarity * len(h) - 1e-9)) + 1 if len(h) else 0
                 order = h
                 if len(known) and len(h):
@@ -222,12 +242,22 @@ def shingle_sets(docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
                 width = max(SKETCH, 1 << max(len(h) - 1, 0).bit_length())  # at least as many as there are shingles
                 odd = np.bincount((h % np.uint64(width)).astype(np.int64), minlength=width) & 1
                 sketch.append(np.packbits(odd.astype(bool)).view(np.int64))
-            cols = [pa.array(np.array(fp, np.uint64).view(np.int64)), pa.array(np.array(sizes, np.int64)), _lists(keys), _lists(sketch)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *cols], ["doc_id", "th", "fp", "n", "keys", "sketch"])
+            cols = [pa.array(np.array(fp, np.uint64).view(np.int64)), pa.array(np.array(sim, np.int64)), pa.array(np.array(sizes, np.int64)), _lists(keys), _lists(sketch)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *cols], ["doc_id", "th", "fp", "sim", "n", "keys", "sketch"])
 
     text = F.col("text").cast("string")
     rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64(text).alias("th"), text.alias("text"))
-    return rows.mapInArrow(run, "doc_id long, th long, fp long, n long, keys array<long>, sketch array<long>")
+    return rows.mapInArrow(run, "doc_id long, th long, fp long, sim long, n long, keys array<long>, sketch array<long>")
+
+
+def fingerprint_pairs(sets: DataFrame) -> DataFrame:
+    """Pairs (a, na, b, nb) of sets (fp, n) that connect all whose fingerprints (sim) are within BITS; no other components."""
+    sets = sets.groupBy("fp").agg(F.min("sim").alias("sim"), F.min("n").alias("n"))
+    hubs = stash(sets.groupBy("sim").agg(F.min(F.struct("fp", "n")).alias("hub")), "hubs")
+    equal = sets.join(hubs, "sim").filter("fp <> hub.fp").select(F.col("fp").alias("a"), F.col("n").alias("na"), F.col("hub.fp").alias("b"), F.col("hub.n").alias("nb"))
+    near = links(hubs.select(F.col("sim").alias("fp")))
+    near = near.join(hubs.toDF("a", "one"), "a").join(hubs.toDF("b", "two"), "b")
+    return equal.unionByName(near.select(F.col("one.fp").alias("a"), F.col("one.n").alias("na"), F.col("two.fp").alias("b"), F.col("two.n").alias("nb")))
 
 
 def _repeated(batches):
@@ -344,8 +374,6 @@ def _similar(docs: DataFrame, shingle: int, similarity: float) -> tuple[DataFram
     owners = rows.groupBy("fp").agg(F.min(F.struct(F.coalesce("doc_id", null).alias("k"), "th")).alias("one"), F.first("sketch").alias("sketch"))
     owners = stash(owners.join(keyed.select("fp").distinct(), "fp", "left_semi"), "owners")
     sketches = owners.select("fp", "sketch")
-    named = keyed.withColumn("root", F.col("fp"))
-    edges = None
 
     def check(batches):
         hub, whose = None, None
@@ -390,6 +418,12 @@ def _similar(docs: DataFrame, shingle: int, similarity: float) -> tuple[DataFram
         dealt = texts.repartition(partitions(spark), "b", "part").sortWithinPartitions("b", "part", F.asc_nulls_first("a"))
         return stash(dealt.select("b", "a", "text").mapInArrow(check, "a long, b long"), "similar")
 
+    def rooted(edges):
+        roots = stash(components(edges), "roots").withColumnRenamed("node", "fp")
+        return roots, keyed.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+    edges = near(fingerprint_pairs(rows))
+    roots, named = rooted(edges)
     for turn in range(ROUNDS + 1):
         # first one document for all of a group's keys, then one for each key
         rank = F.xxhash64("fp", F.lit(turn), *(["h"] if turn else []))
@@ -403,10 +437,8 @@ def _similar(docs: DataFrame, shingle: int, similarity: float) -> tuple[DataFram
             left = _blocks(stash(left, "open")).join(sketches, "fp")
             dealt = left.repartition(partitions(spark), "h", "size", "p", "q").sortWithinPartitions("h", "size", "p", "q", "fp")
             pairs = dealt.mapInArrow(_close(similarity), "a long, na long, b long, nb long")
-        found = near(pairs)
-        edges = found if edges is None else edges.unionByName(found)
-        roots = stash(components(edges), "roots").withColumnRenamed("node", "fp")
-        named = keyed.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+        edges = edges.unionByName(near(pairs))
+        roots, named = rooted(edges)
     return rows, rows.select("fp").distinct().join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
 
 
