@@ -4,12 +4,13 @@ import hashlib
 import math
 import random
 import re
+import zlib
 from fractions import Fraction
 
 import numpy as np
 import pytest
 
-from veriframe.llm import bpe, infill, queries, simhash, toxicity, whiten
+from veriframe.llm import bpe, infill, queries, simhash, suffixtree, toxicity, whiten
 
 RNG = random.Random(5)
 WORDS = ["".join(RNG.choice("abcdefghé") for _ in range(RNG.randint(2, 8))) for _ in range(300)]
@@ -198,3 +199,18 @@ def test_lately(monkeypatch):
         some[i] = i
         assert some[0] == 0 and len(some) <= 4 and len(some.older) <= 4  # what is still met stays
     assert some[20] is None and some[39] == 39
+
+
+def test_support_does_not_grow(spark, docs):
+    """A run that occurs twice is listed in a corpus of any size."""
+    rng = random.Random(8)
+    train = [i for i in range(60) if zlib.crc32(str(i).encode()) % 10][:40]
+    texts = {i: " ".join(f"f{rng.randrange(50)}" for _ in range(8000)) for i in train}
+    for i in train[:2]:
+        texts[i] += " rareone raretwo"
+    held = next(i for i in range(1000, 2000) if zlib.crc32(str(i).encode()) % 10 == 0)
+    got = {r.doc_id: r for r in suffixtree.score(docs([*texts.items(), (held, "rareone raretwo")])).collect()}[held]
+    total, kinds = 40 * 8001 + 4, 53
+    root = [np.log10((c + 0.1) / (total + 0.1 * (kinds + 1))) for c in (2, 2, 40)]
+    assert got.train_tokens == total and got.base_score == pytest.approx(sum(root))
+    assert got.score == pytest.approx(root[0] + 2 * np.log10(2 / 3))
