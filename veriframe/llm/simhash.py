@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veriframe.llm.common import Forest, binary, components, drop_shuffles, packed, partitions, small_batches, starts, stash, whole_groups
+from veriframe.llm.common import Forest, binary, drop_shuffles, packed, partitions, small_batches, stars, starts, stash, whole_groups
 
 BITS = 2
 CAP = 256
@@ -168,7 +168,7 @@ def _roots(docs: DataFrame, shingle: int) -> tuple[DataFrame, DataFrame]:
     """The rows' fingerprints; of each distinct one its least doc_id (rep) and its component's least fingerprint (root)."""
     fps = stash(fingerprints(docs, shingle), "simhash")
     reps = fps.groupBy("fp").agg(F.min("doc_id").alias("rep"))
-    roots = components(links(reps.select("fp")))
+    roots = stars(links(reps.select("fp")))
     return fps, reps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
 
 
@@ -419,11 +419,10 @@ def _similar(docs: DataFrame, shingle: int, similarity: float) -> tuple[DataFram
         return stash(dealt.select("b", "a", "text").mapInArrow(check, "a long, b long"), "similar")
 
     def rooted(edges):
-        roots = stash(components(edges), "roots").withColumnRenamed("node", "fp")
+        roots = stars(edges).withColumnRenamed("node", "fp")
         return roots, keyed.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
 
-    edges = near(fingerprint_pairs(rows))
-    roots, named = rooted(edges)
+    roots, named = rooted(near(fingerprint_pairs(rows)))
     for turn in range(ROUNDS + 1):
         # first one document for all of a group's keys, then one for each key
         rank = F.xxhash64("fp", F.lit(turn), *(["h"] if turn else []))
@@ -437,8 +436,7 @@ def _similar(docs: DataFrame, shingle: int, similarity: float) -> tuple[DataFram
             left = _blocks(stash(left, "open")).join(sketches, "fp")
             dealt = left.repartition(partitions(spark), "h", "size", "p", "q").sortWithinPartitions("h", "size", "p", "q", "fp")
             pairs = dealt.mapInArrow(_close(similarity), "a long, na long, b long, nb long")
-        edges = edges.unionByName(near(pairs))
-        roots, named = rooted(edges)
+        roots, named = rooted(roots.toDF("a", "b").unionByName(near(pairs)))  # earlier links are their stars
     return rows, rows.select("fp").distinct().join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
 
 
