@@ -1,0 +1,30 @@
+"""What operator 8 leaves in the shared folder, and the rows it deals."""
+
+import pathlib
+
+import numpy as np
+import pyarrow as pa
+
+from veriframe.llm import common, suffixtree
+
+
+def test_tables_of_a_level_go(spark, docs):
+    before = set(pathlib.Path(common.shared_dir(spark).removeprefix("file:")).iterdir())
+    table = docs([(i, " ".join(["alpha beta gamma", "gamma beta delta"][(i + k) % 2] for k in range(i % 7))) for i in range(60)])
+    assert suffixtree.score(table).count() == 60
+    new = [p.name.split("-")[0] for p in set(pathlib.Path(common.shared_dir(spark).removeprefix("file:")).iterdir()) - before]
+    assert "numbered" in new and not {"counted", "listed", "meetings"} & set(new) and new.count("runs") == 1
+
+
+def test_runs_that_cannot_be_listed_are_one_row():
+    """Of each context one row names its parent, and words whose shorter run isn't listed are counted together."""
+    ids = np.array([1, 2, 1, 3, 1, 4, 1, 2], "<i8")
+    listed = np.zeros(1 << 17, np.int64)
+    code = suffixtree.mix(np.zeros(1, np.int64), np.array([2]))[0]
+    listed[code >> 6 & len(listed) - 1] |= np.int64(1) << np.int64(code & 63)
+    hold = type("Hold", (), {"value": (None, listed)})
+    out = list(suffixtree._count_runs(1, hold)([pa.RecordBatch.from_arrays([pa.array([ids.tobytes()], pa.binary())], ["ids"])]))
+    got = pa.Table.from_batches(out).to_pylist()
+    one = suffixtree.mix(np.zeros(1, np.int64), np.array([1]))[0]
+    assert sorted((r["word"] or 0, r["n"]) for r in got if r["ctx"] == one) == [(0, 2), (2, 2)]
+    assert sum(r["n"] for r in got) == 7 and sum(r["parent"] is not None for r in got) == len({r["ctx"] for r in got})
