@@ -297,6 +297,8 @@ def test_language_side_by_side(spark, docs, monkeypatch, langs):
     assert (langid.tally(raw) == sum(np.bincount(x, minlength=langid.BINS) for x in whole)).all() and not langid.tally([]).any()
     for some in ([b"", b"", b"a", b"", b""], raw[::-1], [raw[5], raw[5], b""]):
         assert (langid.tally(some) == sum(np.bincount(langid.bins(b" " + x.lower() + b" "), minlength=langid.BINS) for x in some)).all()
+    at = np.arange(3 * langid.CELLS + 5, dtype=np.int32) % (langid.BINS + 1)
+    assert (langid.counted(at) == np.bincount(at)).all() and not langid.counted(at[:0]).any()
     weights, want = np.ascontiguousarray(model.weights[: langid.BINS, : model.code.shape[1]]), []
     for at in whole[:-1]:
         total = np.bincount(at, minlength=langid.BINS) @ weights if len(at) > langid.BINS else weights[at].sum(0)
